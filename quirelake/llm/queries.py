@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import exact_dedup, language_id, quality, secret_scan, url_filter
+from quirelake.llm import exact_dedup, fingerprint, language_id, packing, quality, secret_scan, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,3 +87,14 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op1_secret_scan": op1_secret_scan, "op3_language_id": op3_language_id, "op6_quality": op6_quality}
+
+
+def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_report(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES |= {"op9_fingerprint": op9_fingerprint, "op10_packing": op10_packing}
