@@ -36,6 +36,23 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bit_filter(keys: DataFrame, *columns: str, bits: int) -> DataFrame:
+    """A filter of a fixed number of bits for the given keys: at most bits / 64 rows (word, mask), whatever the input.
+
+    It only saves work: a key that is not there passes by chance, more often the fuller the filter is.
+    """
+    bit = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    set_ = keys.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("bit"))
+    return settle(set_.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("mask")))
+
+
+def passing(df: DataFrame, held: DataFrame, *columns: str, bits: int) -> DataFrame:
+    """df with the column _passes: whether the filter may hold the key. The filter is broadcast; its size is fixed."""
+    bit = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    met = df.withColumns({"word": F.shiftright(bit, 6), "_bit": (bit % 64).cast("int")}).join(F.broadcast(held), "word", "left")
+    return met.withColumn("_passes", F.coalesce(F.getbit("mask", F.col("_bit")) == 1, F.lit(False))).drop("word", "mask", "_bit")
+
+
 def text_column(df: DataFrame):
     """The text with null as empty."""
     return F.coalesce(F.col("text"), F.lit(""))

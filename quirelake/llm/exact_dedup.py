@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import settle, text_column
+from quirelake.llm.common import bit_filter, passing, settle, text_column
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 256
@@ -25,20 +25,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
 
 
-def _slot(*keys: Column) -> tuple[Column, Column]:
-    """Row and mask of a key in the filter."""
-    bit = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
-    return F.expr("0L") + F.shiftright(bit, 6), bit.bitwiseAND(F.lit(63)).cast("int")
-
-
 def _repeated(rows: DataFrame) -> DataFrame:
-    """The filter (word, mask) of the (length, prefix) keys met twice or more, at most FILTER_BITS / 64 rows."""
+    """The (length, prefix) keys met twice or more."""
     by_length = rows.groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1").select("norm_len")
     by_prefix = rows.groupBy("norm_len", "prefix_hash").agg(F.count("*").alias("n")).where("n > 1")
-    survivors = by_prefix.join(by_length, "norm_len", "left_semi")
-    word, bit = _slot(F.col("norm_len"), F.col("prefix_hash"))
-    masks = survivors.select(word.alias("word"), F.expr("1L").alias("one"), bit.alias("bit"))
-    return masks.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("mask"))
+    return by_prefix.join(by_length, "norm_len", "left_semi")
 
 
 def digests(docs: DataFrame, everywhere: bool = False) -> DataFrame:
@@ -48,10 +39,8 @@ def digests(docs: DataFrame, everywhere: bool = False) -> DataFrame:
     """
     norm = docs.select("doc_id", text_column(docs).alias("raw")).select("doc_id", F.length("raw").alias("n_code"), normalised(F.col("raw")).alias("norm"))
     keyed = norm.withColumns({"norm_len": F.length("norm"), "prefix_hash": F.xxhash64(F.left("norm", F.lit(PREFIX)))})
-    bits = settle(_repeated(keyed.select("norm_len", "prefix_hash")))
-    word, bit = _slot(F.col("norm_len"), F.col("prefix_hash"))
-    hit = F.coalesce(F.getbit("mask", F.col("bit")) == 1, F.lit(False))
-    met = keyed.withColumns({"word": word, "bit": bit}).join(F.broadcast(bits), "word", "left").withColumn("survivor", hit)
+    repeated = bit_filter(_repeated(keyed.select("norm_len", "prefix_hash")), "norm_len", "prefix_hash", bits=FILTER_BITS)
+    met = passing(keyed, repeated, "norm_len", "prefix_hash", bits=FILTER_BITS).withColumnRenamed("_passes", "survivor")
     full = F.sha2("norm", 256)
     return met.select("doc_id", "n_code", (full if everywhere else F.when(F.col("survivor"), full)).alias("text_sha256"), "survivor")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import exact_dedup, fingerprint, language_id, packing, quality, secret_scan, url_filter
+from quirelake.llm import exact_dedup, fingerprint, language_id, ngram_join, packing, quality, secret_scan, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,3 +98,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op9_fingerprint": op9_fingerprint, "op10_packing": op10_packing}
+
+
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(_documents(spark, sf_dir).select("doc_id", "text"), k=3, num=90)
+
+
+QUERIES |= {"op7_ngram_join": op7_ngram_join}
