@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import exact_dedup, fingerprint, language_id, ngram_join, packing, quality, secret_scan, url_filter
+from quirelake.llm import exact_dedup, fingerprint, language_id, ngram_join, packing, quality, secret_scan, substring_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,3 +105,10 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_ngram_join": op7_ngram_join}
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text")).drop("kept_text")
+
+
+QUERIES |= {"op8_substring_dedup": op8_substring_dedup}
