@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import exact_dedup, fingerprint, language_id, ngram_join, packing, quality, secret_scan, substring_dedup, url_filter
+from quirelake.llm import exact_dedup, fingerprint, language_id, ngram_join, packing, pieces, quality, secret_scan, substring_dedup, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,3 +112,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op8_substring_dedup": op8_substring_dedup}
+
+
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    coded = pieces.encode(docs)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES |= {"op4_pieces": op4_pieces}
