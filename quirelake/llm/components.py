@@ -16,18 +16,17 @@ def components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of a link (columns a, b); component is the smallest id that links lead to.
 
     In turn each node's larger neighbours, then its smaller ones, are hung on the smallest id near it, until nothing
-    changes. A node's neighbours are never gathered: minima are aggregated and joined back, both sides shuffled
-    plainly, so that a hub's rows can be split.
+    changes. A node's neighbours are never gathered: minima are aggregated and joined back.
     """
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = settle(edges), None
     while (now := _state(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settle(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        edges = settle(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = settle(edges.groupBy("u").agg(F.min("v").alias("m")))
-        hung = edges.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = settle(hung.select("e.u", "e.v").where("u <> v").distinct())
     roots = edges.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
-    return settle(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -10,6 +10,9 @@ Skew. Equal sets are one node before the join. A key that many nodes share (an e
 out for all nodes with at most S such keys: a linked partner agrees in one more word at least. Nodes with more, as in
 large groups of near copies, keep them. Within a key, members are first compared with one centre, and again only
 across components that the links so far leave apart, so that work is linear in a group that hangs together.
+
+A second, compact sketch of single bits (a shingle flips one of about 4 D bits) prunes the proposed pairs: its Hamming
+distance never exceeds the symmetric difference either. Only pairs that pass it fetch their sets.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from quirelake.llm.components import components
 FREQUENT = 64
 #: Spare sketch words, as a share of the words that the pigeonhole needs.
 SPARE = 0.08
-#: Bits of the broadcast filters (at most 1 << 19 rows of two longs).
-FILTER_BITS = 1 << 25
+#: Bits of the broadcast filters (at most 1 << 17 rows of two longs).
+FILTER_BITS = 1 << 23
 #: Rounds of one centre a key before all pairs across components are compared.
 ROUNDS = 6
 
@@ -72,29 +75,42 @@ def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     return shingle_sets(words, at, k)
 
 
+def bit_sketch(hashes: np.ndarray, c: int, far: int) -> np.ndarray:
+    """The parity of the set in about 4 * far single bits, as words."""
+    size = 64 * max(4, -(-far // 16))
+    own = mix64(hashes ^ np.uint64((c + 7) * 0xD1B54A32D192ED03 % (1 << 64)))
+    parity = np.bincount((((own >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)).astype(np.int64), minlength=size) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.uint64)
+
+
 def sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(doc_id, n, k1, k2, keys, cut, spare1, spare2): a set's size, 128 bits that tell it from others, the keys of its
-    first band and then of its second, the number of the first ones, and the bands' spare words."""
+    """A row for each band of each text's set: doc_id, n (the set's size), k1 and k2 (128 bits that tell it from others),
+    first (whether it is the text's first row), band, spare, keys (of the word sketch), bits (of the bit sketch). An
+    empty set has one row without a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, 1 << 34)
         for batch in batches:
             rows = []
-            for hashes in _sets(batch, k):
-                found = bands.of(len(hashes)) if len(hashes) else []
-                sizes = [bands.words(c) for c in found]
-                keys = [sketch(hashes, c, w) for c, (w, _) in zip(found, sizes, strict=True)]
-                spare = [s for _, s in sizes] + [0, 0]
+            for i, hashes in enumerate(_sets(batch, k)):
                 whole = mix64(hashes)
-                rows.append((len(hashes), np.bitwise_xor.reduce(whole), whole.sum(dtype=np.uint64), np.concatenate(keys) if keys else hashes[:0], len(keys[0]) if keys else 0, *spare[:2]))
-            n, k1, k2, keys, cut, spare1, spare2 = zip(*rows, strict=True) if rows else ((),) * 7
+                one = (i, len(hashes), np.bitwise_xor.reduce(whole), whole.sum(dtype=np.uint64))
+                if not len(hashes):
+                    rows.append((*one, True, None, 0, hashes, hashes))
+                for c in bands.of(len(hashes)) if len(hashes) else ():
+                    words, spare = bands.words(c)
+                    rows.append((*one, rows[-1][0] != i if rows else True, c, spare, sketch(hashes, c, words), bit_sketch(hashes, c, words - 1 - spare)))
+            i, n, k1, k2, first, band, spare, keys, bits = zip(*rows, strict=True) if rows else ((),) * 9
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (k1, k2)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), *longs, lists_of_longs(list(keys)), *(pa.array(x, pa.int32()) for x in (cut, spare1, spare2))],
-                names=["doc_id", "n", "k1", "k2", "keys", "cut", "spare1", "spare2"],
-            )
-
-    schema = "doc_id long, n long, k1 long, k2 long, keys array<long>, cut int, spare1 int, spare2 int"
+                [
+                    batch.column("doc_id").cast(pa.int64()).take(pa.array(i, pa.int64())), pa.array(n, pa.int64()), *longs, pa.array(first, pa.bool_()),
+                    pa.array(band, pa.int32()), pa.array(spare, pa.int32()), lists_of_longs(list(keys)), lists_of_longs(list(bits)),
+                ],
+                names=["doc_id", "n", "k1", "k2", "first", "band", "spare", "keys", "bits"],
+            )
+
+    schema = "doc_id long, n long, k1 long, k2 long, first boolean, band int, spare int, keys array<long>, bits array<long>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -109,28 +125,37 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hashes array<long>")
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
-    """(key, node) of the sketch words that propose partners, after frequent keys are left out where they can be."""
-    all_keys = nodes.select("doc_id", F.posexplode("keys").alias("pos", "key"), "cut").select("key", F.col("doc_id").alias("node"), (F.col("pos") >= F.col("cut")).alias("second"))
+def _entries(heads: DataFrame) -> DataFrame:
+    """(key, node, band) of the sketch words that propose partners, after frequent keys are left out where they can be."""
+    all_keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "band")
     shared = settle(all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     held = bit_filter(shared, "key", bits=FILTER_BITS)
     some = passing(all_keys, held, "key", bits=FILTER_BITS).where("_passes").drop("_passes")
     met = settle(some.join(shared, "key"))
     often = met.where(F.col("n") > FREQUENT)
     if often.isEmpty():
-        return met.select("key", "node")
-    counts = settle(often.groupBy("node", "second").agg(F.count("*").alias("n_often")))
-    spare = nodes.select(F.col("doc_id").alias("node"), "spare1", "spare2").join(counts, "node")
-    crowded = settle(spare.where(F.col("n_often") > F.when(F.col("second"), F.col("spare2")).otherwise(F.col("spare1"))).select("node", "second"))
-    return settle(met.where(F.col("n") <= FREQUENT).select("key", "node").unionByName(often.join(crowded, ["node", "second"], "left_semi").select("key", "node")))
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are linked."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("h_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("h_b"))
-    met = pairs.join(left, "a").join(right, "b").where((F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num))
-    common = F.size(F.array_intersect("h_a", "h_b"))
+        return met.select("key", "node", "band")
+    counts = often.groupBy("node", "band").agg(F.count("*").alias("n_often"))
+    spare = heads.select(F.col("doc_id").alias("node"), "band", "spare").join(counts, ["node", "band"])
+    crowded = spare.where("n_often > spare").select("node", "band")
+    return settle(met.where(F.col("n") <= FREQUENT).unionByName(often.join(crowded, ["node", "band"], "left_semi")).select("key", "node", "band"))
+
+
+def _verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of pairs (a, b, band) that are linked. Bit sketches prune them; those left fetch their sets."""
+    left = marks.select(F.col("doc_id").alias("a"), "band", F.col("n").alias("n_a"), F.col("bits").alias("x"))
+    right = marks.select(F.col("doc_id").alias("b"), "band", F.col("n").alias("n_b"), F.col("bits").alias("y"))
+    met = pairs.join(left, ["a", "band"]).join(right, ["b", "band"])
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
+    near = settle(met.where(fits).select("a", "b").distinct())
+    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = bit_filter(ids, "doc_id", bits=FILTER_BITS)
+    texts = passing(docs.select(F.col("doc_id").cast("long"), "text"), held, "doc_id", bits=FILTER_BITS).where("_passes").drop("_passes")
+    sets = settle(_shingles(texts.join(ids, "doc_id", "left_semi"), k))
+    met = near.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("x")), "a")
+    met = met.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
     return settle(met.select("a", "b", "n_a", "n_b", common.alias("i")).where(F.col("i") * den >= (F.col("n_a") + F.col("n_b") - F.col("i")) * num).select("a", "b"))
 
 
@@ -138,18 +163,17 @@ def _labelled(entries: DataFrame, parts: DataFrame | None) -> DataFrame:
     """entries with the component of each node, only of keys whose nodes are in several."""
     if parts is None:
         return entries.withColumn("part", F.col("node"))
-    named = entries.join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    named = settle(named)
-    mixed = settle(named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key"))
+    named = settle(entries.join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "band", F.coalesce("component", "node").alias("part")))
+    mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     return settle(named.join(mixed, "key"))
 
 
 def _starred(entries: DataFrame, turn: int) -> DataFrame:
     """Pairs of one node of each key, another one each turn, with the key's nodes in other components."""
     chance = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    centre = settle(entries.groupBy("key").agg(F.min_by(F.struct("node", "part"), chance).alias("c")))
+    centre = entries.groupBy("key").agg(F.min_by(F.struct("node", "part"), chance).alias("c"))
     met = entries.join(centre, "key").where(F.col("part") != F.col("c.part"))
-    return met.select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b")).distinct()
+    return met.select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b"), "band").distinct()
 
 
 def _across(entries: DataFrame) -> tuple[DataFrame, int]:
@@ -162,7 +186,7 @@ def _across(entries: DataFrame) -> tuple[DataFrame, int]:
     bound = largest.agg(F.sum((F.col("n") - F.col("n_main")) * F.col("n"))).first()[0] or 0
     few = entries.join(largest.select("key", "main"), "key").where("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("p"), "main")
     met = few.join(entries, "key").where((F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("x"))))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct(), bound
+    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), "band").distinct(), bound
 
 
 def similar_groups(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
@@ -173,23 +197,20 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFra
     has none either and a null component_id. Repeated rows are copies of one node; doc_id is taken to tell texts apart.
     Other columns are not read.
     """
-    rows = settle(sketched(docs, k, num, den))
+    sketches = settle(sketched(docs, k, num, den))
+    rows = sketches.where("first").select("doc_id", "n", "k1", "k2")
     usable = rows.where("n > 0 and doc_id is not null")
-    kinds = settle(usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    heads = usable.join(kinds.select("k1", "k2", "n", F.col("node").alias("doc_id")), ["k1", "k2", "n", "doc_id"], "left_semi")
-    entries = _entries(heads.select("doc_id", "keys", "cut", "spare1", "spare2"))
-    wanted = settle(entries.select(F.col("node").alias("doc_id")).distinct())
-    held = bit_filter(wanted, "doc_id", bits=FILTER_BITS)
-    texts = passing(docs.select(F.col("doc_id").cast("long"), "text"), held, "doc_id", bits=FILTER_BITS).where("_passes").drop("_passes")
-    sets = settle(_shingles(texts.join(wanted, "doc_id", "left_semi"), k))
+    kinds = settle(usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")))
+    marks = sketches.join(kinds.select("k1", "k2", "n", F.col("node").alias("doc_id")), ["k1", "k2", "n", "doc_id"], "left_semi")
+    entries = _entries(marks.select("doc_id", "band", "spare", "keys"))
+    marks = marks.select("doc_id", "band", "n", "bits")
 
-    links = None
-    parts, total = None, entries.count()
+    links, parts, total = None, None, entries.count()
     for turn in range(ROUNDS + 1):
         left = _labelled(entries, parts)
         pairs, bound = (None, None) if turn == 0 else _across(left)
         last = bound is not None and (bound <= 8 * total + 100_000 or turn == ROUNDS)
-        found = _verified(pairs if last else _starred(left, turn), sets, num, den)
+        found = _verified(pairs if last else _starred(left, turn), marks, docs, k, num, den)
         links = found if links is None else links.unionByName(found)
         parts = components(links)
         if last:
