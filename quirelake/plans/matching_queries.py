@@ -407,7 +407,7 @@ def _(spark, d):
     return views.plans(spark, d).select("chapter", "para_index", rules.wider_query(F.concat(F.lit("Reviewing thoughtful  Evaluating "), "query")).alias("wider"))
 
 
-@query("fn_16_lock_query", views.sql("select chapter, para_index, left(case chapter % 3 when 0 then trim('care worker ' || query) when 1 then trim('nurse ' || query) else 'old ' || query end, 110) as locked from plan", "plan"))
+@query("fn_16_lock_query", views.sql("select chapter, para_index, left(case chapter % 3 when 0 then 'care worker ' || query when 1 then trim('nurse ' || query) else 'old ' || query end, 110) as locked from plan", "plan"))
 def _(spark, d):
     domain = F.expr("CASE chapter % 3 WHEN 2 THEN cast(null AS string) ELSE 'adult_safeguarding' END")
     text = F.concat(F.expr("CASE chapter % 3 WHEN 0 THEN '' WHEN 1 THEN 'nurse ' ELSE 'old ' END"), F.col("query"))
