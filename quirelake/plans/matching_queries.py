@@ -309,6 +309,20 @@ def _(spark, d):
     return views.plans(spark, d).select("chapter", "para_index", told.alias("domain"))
 
 
+TEST_SCENES = {"tion": (("ing", "people talking", "a talk"), ("er", "people working", "work")), "eau": (("que", "water", "a lake"),)}
+TEST_FALLBACK = {"tion": ("office", "an office"), "eau": ("river", "a river"), "sch": ("school", "a school")}
+
+
+@query("fn_17_scene", views.sql(f"""
+with x as (select chapter, para_index, lower(heading) as h, {_DOMAIN.format("lower(heading)")} as d, lower(trim(heading)) || case when len(regexp_extract_all(lower(heading), '[a-zA-Z]{{3,}}')) <= 2 then ' ' || lower(left(excerpt, 240)) else '' end as a from plan)
+select chapter, para_index, case d when 'tion' then case when contains(a, 'ing') then 'people talking' when contains(a, 'er') then 'people working' else 'office' end
+  when 'eau' then case when contains(a, 'que') then 'water' when contains(a, 'dispute') then 'mediation' else 'river' end when 'sch' then 'school' end as search from x""", "plan"))
+def _(spark, d):
+    rows = matching.first_rule(views.plans(spark, d).withColumn("h", F.lower("heading")), TEST_RULES, "h", "domain")
+    scene = rules.scene_of(F.col("domain"), F.col("heading"), F.col("excerpt"), TEST_SCENES, {"eau": ("mediation", "talks")}, TEST_FALLBACK)
+    return rows.withColumn("s", scene).select("chapter", "para_index", "s.search")
+
+
 @query("agg_10_domain_consensus", views.sql(f"""
 select chapter, case when count(distinct domain) = 1 then max(domain) end as domain from (select chapter, {_DOMAIN.format("lower(heading)")} as domain from plan) group by 1""", "plan"))
 def _(spark, d):
