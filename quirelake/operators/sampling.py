@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quirelake.operators.durable import settle
+
 
 def balanced_sample(rows: DataFrame, group: str, order: str, target: int) -> DataFrame:
     """target rows of each group, evenly spaced; all of a group that has no more."""
@@ -40,9 +42,9 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     of the order, counted, and numbered within their range."""
     spark = rows.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_count"))
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.expr("b._part < a._part"), "left").groupBy("a._part").agg(F.coalesce(F.sum("b._count"), F.lit(0)).alias("_before"))
+    dealt = settle(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))  # ranges are drawn once
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_count"))  # a row a range
+    before = counts.select("_part", (F.sum("_count").over(W.orderBy("_part")) - F.col("_count")).alias("_before"))
     own = F.row_number().over(W.partitionBy("_part").orderBy(*order))
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
 
