@@ -34,8 +34,8 @@ FREQUENT = 64
 SPARE = 0.08
 #: Bits of the broadcast filters (at most 1 << 17 rows of two longs).
 FILTER_BITS = 1 << 23
-#: Rounds of one centre a key before all pairs across components are compared.
-ROUNDS = 6
+#: Rounds after the first; before the last, in which all pairs across components are looked at, one centre a key is.
+ROUNDS = 3
 
 
 class Bands:
@@ -141,14 +141,15 @@ def _entries(heads: DataFrame) -> DataFrame:
     return settle(met.where(F.col("n") <= FREQUENT).unionByName(often.join(crowded, ["node", "band"], "left_semi")).select("key", "node", "band"))
 
 
-def _verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of pairs (a, b, band) that are linked. Bit sketches prune them; those left fetch their sets."""
-    left = marks.select(F.col("doc_id").alias("a"), "band", F.col("n").alias("n_a"), F.col("bits").alias("x"))
-    right = marks.select(F.col("doc_id").alias("b"), "band", F.col("n").alias("n_b"), F.col("bits").alias("y"))
-    met = pairs.join(left, ["a", "band"]).join(right, ["b", "band"])
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
-    fits = (F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num) & (apart * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))
-    near = settle(met.where(fits).select("a", "b").distinct())
+def _near(n_a, bits_a, n_b, bits_b, num: int, den: int):
+    """Whether sizes and bit sketches leave it possible that two sets are linked."""
+    apart = F.aggregate(F.zip_with(bits_a, bits_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    return (F.least(n_a, n_b) * den >= F.greatest(n_a, n_b) * num) & (apart * (den + num) <= (n_a + n_b) * (den - num))
+
+
+def _verified(near: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of near that are linked, by their sets."""
+    near = settle(near)
     ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = bit_filter(ids, "doc_id", bits=FILTER_BITS)
     texts = passing(docs.select(F.col("doc_id").cast("long"), "text"), held, "doc_id", bits=FILTER_BITS).where("_passes").drop("_passes")
@@ -159,34 +160,35 @@ def _verified(pairs: DataFrame, marks: DataFrame, docs: DataFrame, k: int, num:
     return settle(met.select("a", "b", "n_a", "n_b", common.alias("i")).where(F.col("i") * den >= (F.col("n_a") + F.col("n_b") - F.col("i")) * num).select("a", "b"))
 
 
-def _labelled(entries: DataFrame, parts: DataFrame | None) -> DataFrame:
+def _labelled(entries: DataFrame, parts: DataFrame) -> DataFrame:
     """entries with the component of each node, only of keys whose nodes are in several."""
-    if parts is None:
-        return entries.withColumn("part", F.col("node"))
-    named = settle(entries.join(parts.withColumnRenamed("id", "node"), "node", "left").select("key", "node", "band", F.coalesce("component", "node").alias("part")))
+    named = settle(entries.join(parts.withColumnRenamed("id", "node"), "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
     mixed = named.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
     return settle(named.join(mixed, "key"))
 
 
-def _starred(entries: DataFrame, turn: int) -> DataFrame:
-    """Pairs of one node of each key, another one each turn, with the key's nodes in other components."""
+def _starred(entries: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+    """Near pairs (a, b) of one node of each key, another one each turn, and the key's nodes in other components."""
     chance = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    centre = entries.groupBy("key").agg(F.min_by(F.struct("node", "part"), chance).alias("c"))
-    met = entries.join(centre, "key").where(F.col("part") != F.col("c.part"))
-    return met.select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b"), "band").distinct()
+    centre = entries.groupBy("key").agg(F.min_by(F.struct("node", "part", "n", "bits"), chance).alias("c"))
+    near = (F.col("part") != F.col("c.part")) & _near(F.col("n"), F.col("bits"), F.col("c.n"), F.col("c.bits"), num, den)
+    met = entries.join(centre, "key").where(near)
+    return met.select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b")).distinct()
 
 
-def _across(entries: DataFrame) -> tuple[DataFrame, int]:
-    """All pairs of nodes of a key that are in different components, and a bound of their number.
+def _across(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, int]:
+    """All near pairs (a, b) of nodes of a key that are in different components, and how many pairs are looked at.
 
-    The nodes outside a key's largest component meet all the others.
+    The nodes outside a key's largest component meet all the others; only near ones come out of the join.
     """
-    sizes = entries.groupBy("key", "part").agg(F.count("*").alias("n"))
-    largest = settle(sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("n_main")))
-    bound = largest.agg(F.sum((F.col("n") - F.col("n_main")) * F.col("n"))).first()[0] or 0
-    few = entries.join(largest.select("key", "main"), "key").where("part <> main").select("key", F.col("node").alias("x"), F.col("part").alias("p"), "main")
-    met = few.join(entries, "key").where((F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("x"))))
-    return met.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"), "band").distinct(), bound
+    sizes = entries.groupBy("key", "part").agg(F.count("*").alias("m"))
+    largest = settle(sizes.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("m_main")))
+    bound = largest.agg(F.sum((F.col("m") - F.col("m_main")) * F.col("m"))).first()[0] or 0
+    few = entries.join(largest.select("key", "main"), "key").where("part <> main")
+    few = few.select("key", F.col("node").alias("o"), F.col("part").alias("p"), "main", F.col("n").alias("n_o"), F.col("bits").alias("x"))
+    apart = (F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("o")))
+    met = entries.join(few, "key").where(apart & _near(F.col("n"), F.col("bits"), F.col("n_o"), F.col("x"), num, den))
+    return met.select(F.least("o", "node").alias("a"), F.greatest("o", "node").alias("b")).distinct(), bound
 
 
 def similar_groups(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFrame:
@@ -203,18 +205,19 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFra
     kinds = settle(usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")))
     marks = sketches.join(kinds.select("k1", "k2", "n", F.col("node").alias("doc_id")), ["k1", "k2", "n", "doc_id"], "left_semi")
     entries = _entries(marks.select("doc_id", "band", "spare", "keys"))
-    marks = marks.select("doc_id", "band", "n", "bits")
+    entries = settle(entries.join(marks.select(F.col("doc_id").alias("node"), "band", "n", "bits"), ["node", "band"]))
 
-    links, parts, total = None, None, entries.count()
-    for turn in range(ROUNDS + 1):
-        left = _labelled(entries, parts)
-        pairs, bound = (None, None) if turn == 0 else _across(left)
-        last = bound is not None and (bound <= 8 * total + 100_000 or turn == ROUNDS)
-        found = _verified(pairs if last else _starred(left, turn), marks, docs, k, num, den)
-        links = found if links is None else links.unionByName(found)
+    total = entries.count()
+    links = _verified(_starred(entries.withColumn("part", F.col("node")), 0, num, den), docs, k, num, den)
+    for turn in range(1, ROUNDS + 1):
         parts = components(links)
+        left = _labelled(entries, parts)
+        pairs, bound = _across(left, num, den)
+        last = turn == ROUNDS or bound <= 64 * total + 1_000_000
+        links = links.unionByName(_verified(pairs if last else _starred(left, turn, num, den), docs, k, num, den))
         if last:
             break
+    parts = components(links)
     nodes = kinds.join(parts.withColumnRenamed("id", "node"), "node", "left")
     told = settle(nodes.select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id")))
     some = usable.select("doc_id", "n", "k1", "k2").join(told, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")

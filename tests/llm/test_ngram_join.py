@@ -65,12 +65,11 @@ def random_rows(seed, hot):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs_with_a_hot_group(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "k", "num"), [(1, 3, 90), (2, 5, 80)])
+def test_against_all_pairs_with_a_hot_group(spark, seed, k, num, monkeypatch):
     monkeypatch.setattr(nj, "FREQUENT", 6)
     rows = random_rows(seed, hot=True)
-    for k, num in ((3, 90), (5, 80)):
-        assert got(nj.similar_groups(table(spark, rows), k, num)) == brute(rows, k, num)
+    assert got(nj.similar_groups(table(spark, rows), k, num)) == brute(rows, k, num)
 
 
 def test_odd_rows_and_empty_table(spark):
