@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirelake.operators.durable import settle
+
 #: The six characters that the word and whitespace rules of this package treat as blank.
 BLANKS = " \t\n\v\f\r"
 
@@ -23,19 +23,6 @@ _SAME = np.arange(256, dtype=np.uint8)
 _SLICE = 2 << 20
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of df with a reliable checkpoint in the folder the cluster names.
-
-    A folder is set here only where neither the session nor the context has one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quirelake-checkpoint-"))
-    return df.checkpoint()
-
-
 def bit_filter(keys: DataFrame, *columns: str, bits: int) -> DataFrame:
     """A filter of a fixed number of bits for the given keys: at most bits / 64 rows (word, mask), whatever the input.
 
@@ -166,3 +153,32 @@ def lists_of_longs(parts: list[np.ndarray]) -> pa.Array:
     np.cumsum([len(p) for p in parts], out=at[1:])
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int64()))
+
+
+class Uncut(Exception):
+    """A text that may not be encoded word by word."""
+
+
+class WordMemory:
+    """What make(word) gives for words, remembered in two generations of a bounded size: a full young one becomes the
+    old one, and words met again move back, so that frequent words stay."""
+
+    def __init__(self, make, size: int):
+        self.make, self.size, self.young, self.old = make, size, {}, {}
+
+    def _find(self, word: str) -> bytes:
+        value = self.young.get(word)
+        if value is None:
+            value = self.old.get(word)
+            if value is None:
+                value = self.make(word)
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[word] = value
+        return value
+
+    def all(self, words: list[str]) -> list[bytes]:
+        out = list(map(self.young.get, words))
+        if None in out:
+            out = [self._find(w) if v is None else v for w, v in zip(words, out, strict=True)]
+        return out

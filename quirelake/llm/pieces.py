@@ -13,6 +13,7 @@ word by word, and words are remembered.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import settle, text_column
+from quirelake.llm.common import Uncut, WordMemory, settle, text_column
 
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 32_768
-REMEMBERED = 300_000
+#: Words that one worker remembers the ids of, at most, in each of two generations.
+REMEMBERED = 400_000
 _BLANK = "▁"
 _START, _END = (-2, 0), (-3, 0)
 
@@ -49,29 +51,27 @@ class Pieces:
         self.longest = max(map(len, self.ids))
         raw = {i: bytes([b]) for b, i in self.byte.items()} | {i: p.replace(_BLANK, " ").encode() for p, i in self.ids.items()}
         self.raw = [raw.get(i, b"") for i in range(n)]
-        self.known: dict[str, bytes] = {}
+        self.known = WordMemory(self._word, REMEMBERED)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     # whole texts
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text), "<u2").tobytes()
+        return array("H", self.model.encode(text)).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not word or word[-1] == _BLANK:  # a run of blanks is not cut
+            raise Uncut
+        return self._whole(word)
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as little-endian 16-bit words."""
-        known, out = self.known, []
+        """The ids of a text as 16-bit words in the machine's order."""
         if not text:
             return b""
-        for word in text.split(" "):
-            ids = known.get(word)
-            if ids is None:
-                if not word or word[-1] == _BLANK:  # a run of blanks is not cut
-                    return self._whole(text)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                ids = known[word] = self._whole(word)
-            out.append(ids)
-        return b"".join(out)
+        try:
+            return b"".join(self.known.all(text.split(" ")))
+        except Uncut:
+            return self._whole(text)
 
     def decode(self, ids: np.ndarray) -> str:
         raw = self.raw
@@ -206,16 +206,16 @@ class Pieces:
     def trace(self, text: str, low: int, high: int, first: bool, entry: tuple[int, int], leave: tuple[int, int]) -> np.ndarray:
         """The ids of the pieces that start in the chunk, given its entry and exit states."""
         begin, before = (low, "") if first else (low + entry[1], text[low + entry[1] - entry[0] : low + entry[1]])
-        turn, head = self.word_starts(text, low, high), np.zeros(0, "<u2")
+        turn, head = self.word_starts(text, low, high), np.zeros(0, np.uint16)
         if turn and begin <= turn[0]:
             ends = self.last_pieces(text, begin, turn[0], before)
             middle = text[turn[0] + 1 : turn[1]].replace(_BLANK, " ") if turn[1] > turn[0] else ""
-            head = np.r_[np.array(self._ids(self._back(text, begin, turn[0], ends)), "<u2"), np.frombuffer(self.encode(middle), "<u2")]
+            head = np.r_[np.array(self._ids(self._back(text, begin, turn[0], ends)), np.uint16), np.frombuffer(self.encode(middle), np.uint16)]
             begin, before = turn[1], ""
         exits, ends = self._exits(text, begin, high, before, leave == _END)
         q = exits[leave]
         tail = self._back(text, begin, q, ends) + ([text[q : q + leave[0]]] if leave != _END else [])
-        return np.r_[head, np.array(self._ids(tail), "<u2")].astype("<u2")
+        return np.r_[head, np.array(self._ids(tail), np.uint16)].astype(np.uint16)
 
 
 _models: dict[str, Pieces] = {}
@@ -317,10 +317,10 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", size: int = CHUN
                 raw = [coder.encode(t) for t in batch.column("text").to_pylist()]
             else:
                 raw = [b"".join(p["ids"] for p in parts) for parts in batch.column("parts").to_pylist()]
-            ids = [np.frombuffer(x, "<u2") for x in raw]
+            ids = [np.frombuffer(x, np.uint16) for x in raw]
             at = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) for x in ids], out=at[1:])
-            flat = np.concatenate([*ids, np.zeros(0, "<u2")]).astype(np.int32)
+            flat = np.concatenate([*ids, np.zeros(0, np.uint16)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array([coder.decode(x) for x in ids], pa.string())],
                 names=["doc_id", "ids", "decoded"],

@@ -108,7 +108,7 @@ QUERIES |= {"op7_ngram_join": op7_ngram_join}
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text")).drop("kept_text")
+    return substring_dedup.remove_repeats(_documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
 
 
 QUERIES |= {"op8_substring_dedup": op8_substring_dedup}
@@ -121,3 +121,28 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op4_pieces": op4_pieces}
+
+_WORDS = r"words as (select doc_id, list_filter(string_split_regex({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents)"
+
+OP7_SQL = rf"""
+with recursive {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")},
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i+2], ' ')) end) as g from words)),
+n as (select doc_id, count(*) as n from s group by 1),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+e as (select a, b from l union all select b, a from l),
+r(doc_id, c) as (select doc_id, doc_id from documents union select r.doc_id, e.b from r join e on e.a = r.c)
+select r.doc_id, coalesce(max(n.n), 0) as n_shingles, min(c) as component_id from r left join n on n.doc_id = r.doc_id group by 1
+"""
+
+OP8_SQL = rf"""
+with {_WORDS.format("coalesce(text, '')")},
+h as (select doc_id, p, array_to_string(w[p+1:p+20], ' ') as g from (select doc_id, w, unnest(range(len(w) - 19)) as p from words where len(w) >= 20)),
+f as (select doc_id, p from h qualify row_number() over (partition by g order by doc_id, p) > 1),
+gone as (select distinct doc_id, unnest(range(p, p + 20)) as i from f),
+left_ as (select u.doc_id, string_agg(x, ' ' order by u.i) as kept, count(*) as n from (select doc_id, unnest(range(len(w))) as i, unnest(w) as x from words) u anti join gone g on g.doc_id = u.doc_id and g.i = u.i group by 1)
+select words.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from words left join left_ using (doc_id)
+"""
+
+SQL |= {"op7_ngram_join": OP7_SQL, "op8_substring_dedup": OP8_SQL}

@@ -42,7 +42,7 @@ def test_words_one_by_one_give_the_ids_of_the_whole(coder):
     import numpy as np
 
     for text in [*texts(), "", " ", "a", " a", "a ", "▁", "a▁ b", "<s> x"]:
-        ids = np.frombuffer(coder.encode(text), "<u2")
+        ids = np.frombuffer(coder.encode(text), np.uint16)
         assert ids.tolist() == coder.model.encode(text), repr(text)
         assert coder.decode(ids) == coder.model.decode(ids.tolist())
 
