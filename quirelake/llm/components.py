@@ -8,20 +8,20 @@ from pyspark.sql import functions as F
 from quirelake.llm.common import settle
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _hanging(edges: DataFrame) -> DataFrame:
+    """Nodes that hang on two others, or hang on one while others hang on them; none once every component is a star."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    return ends.groupBy("x").agg(F.sum("up").alias("n"), F.min("up").alias("least")).where("n > 1 OR (n = 1 AND least = 0)")
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every end of a link (columns a, b); component is the smallest id that links lead to.
 
-    In turn each node's larger neighbours, then its smaller ones, are hung on the smallest id near it, until nothing
-    changes. A node's neighbours are never gathered: minima are aggregated and joined back.
+    In turn each node's larger neighbours, then its smaller ones, are hung on the smallest id near it, until each
+    component is a star. A node's neighbours are never gathered: minima are aggregated and joined back.
     """
-    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = settle(edges), None
-    while (now := _state(edges)) != before:
-        before = now
+    edges = settle(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while not _hanging(edges).isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
