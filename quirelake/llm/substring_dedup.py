@@ -159,7 +159,7 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     branching = compact.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     begins = compact.join(branching, "anchor", "left_semi").groupBy("source.doc_id").agg(F.collect_set("source.begin").alias("begins"))
     begins = settle(begins)
-    edges = _opened(_among(docs, begins)[0].join(begins, "doc_id"), k)
+    edges = settle(_opened(_among(docs, begins)[0].join(begins, "doc_id"), k))
     twice = settle(edges.groupBy("anchor", "edge").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.count("*").alias("m")).where("m > 1").select("anchor", "edge", "source"))
     some = passing(edges, bit_filter(twice, "anchor", "edge", bits=FILTER_BITS), "anchor", "edge", bits=FILTER_BITS).where("_passes").drop("_passes")
     later = (F.col("doc_id") != F.col("source.doc_id")) | (F.col("pos") != F.col("source.pos"))
@@ -167,33 +167,38 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     return copies.unionByName(single)
 
 
-def _cut(text: str, spans: list[dict]) -> tuple[int, int, str]:
+def _cut(text: str, spans: list[dict]) -> tuple[int, int, bytes]:
+    """(words, removed words, the rest as UTF-8)."""
     words = text.encode().split()  # bytes.split() splits at the six blanks of this package
+    if not spans:
+        return len(words), 0, b" ".join(words)
     gone = np.zeros(len(words) + 1, np.int64)
     for s in spans:
         gone[s["begin"]] += 1
         gone[s["end"]] -= 1
     left = np.cumsum(gone)[:-1] == 0
-    return len(words), int((~left).sum()), b" ".join([w for w, x in zip(words, left.tolist(), strict=True) if x]).decode()
+    return len(words), int((~left).sum()), b" ".join([w for w, x in zip(words, left.tolist(), strict=True) if x])
 
 
-def _trimmed(rows: DataFrame) -> DataFrame:
+def _trimmed(rows: DataFrame, with_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [_cut(t or "", s or []) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").cast(pa.int64()), pa.array([c[0] for c in cut], pa.int64()), pa.array([c[1] for c in cut], pa.int64()),
-                    pa.array([hashlib.sha256(c[2].encode()).hexdigest() for c in cut], pa.string()), pa.array([c[2] for c in cut], pa.string()),
-                ],
-                names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
-            )
+            cut = [_cut(t or "", s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            columns = {
+                "doc_id": batch.column("doc_id").cast(pa.int64()), "n_words": pa.array([c[0] for c in cut], pa.int64()), "n_removed": pa.array([c[1] for c in cut], pa.int64()),
+                "kept_sha256": pa.array([hashlib.sha256(c[2]).hexdigest() for c in cut], pa.string()),
+            }
+            if with_text:
+                columns["kept_text"] = pa.array([c[2].decode() for c in cut], pa.string())
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    return rows.select("doc_id", "text", "spans").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
-    """One row a row of docs: doc_id, n_words, n_removed, kept_sha256, kept_text (the words that stay, by one space).
+def remove_repeats(docs: DataFrame, k: int = WINDOW, with_text: bool = True) -> DataFrame:
+    """One row a row of docs: doc_id, n_words, n_removed, kept_sha256, and with_text kept_text (the words that stay, by
+    one space).
 
     A null text has no words. Rows with a null doc_id stay whole and are no source for others. Other columns are not read.
     """
@@ -203,4 +208,4 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     touched, rest = _among(docs, spans.select("doc_id"))
     whole = rest.withColumn("spans", F.lit(None).cast(kind))
-    return _trimmed(touched.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").unionByName(whole))
+    return _trimmed(touched.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").unionByName(whole), with_text)
