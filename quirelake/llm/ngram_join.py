@@ -126,19 +126,19 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _entries(heads: DataFrame) -> DataFrame:
-    """(key, node, band) of the sketch words that propose partners, after frequent keys are left out where they can be."""
-    all_keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "band")
+    """(key, node, band) of the sketch words that propose partners, after frequent keys are left out where they can be.
+
+    A linked node agrees with a partner in more words than the spare ones: nodes that share fewer keys go first.
+    """
+    all_keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "band", "spare")
     shared = settle(all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     held = bit_filter(shared, "key", bits=FILTER_BITS)
     some = passing(all_keys, held, "key", bits=FILTER_BITS).where("_passes").drop("_passes")
     met = settle(some.join(shared, "key"))
-    often = met.where(F.col("n") > FREQUENT)
-    if often.isEmpty():
-        return met.select("key", "node", "band")
-    counts = often.groupBy("node", "band").agg(F.count("*").alias("n_often"))
-    spare = heads.select(F.col("doc_id").alias("node"), "band", "spare").join(counts, ["node", "band"])
-    crowded = spare.where("n_often > spare").select("node", "band")
-    return settle(met.where(F.col("n") <= FREQUENT).unionByName(often.join(crowded, ["node", "band"], "left_semi")).select("key", "node", "band"))
+    counts = met.groupBy("node", "band", "spare").agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") > FREQUENT).alias("n_often"))
+    live = settle(counts.where("n_keys > spare").select("node", "band", (F.col("n_often") > F.col("spare")).alias("crowded")))
+    kept = met.join(live, ["node", "band"]).where((F.col("n") <= FREQUENT) | F.col("crowded")).select("key", "node", "band")
+    return settle(kept)
 
 
 def _near(n_a, bits_a, n_b, bits_b, num: int, den: int):
@@ -167,16 +167,19 @@ def _labelled(entries: DataFrame, parts: DataFrame) -> DataFrame:
     return settle(named.join(mixed, "key"))
 
 
-def _starred(entries: DataFrame, turn: int, num: int, den: int) -> DataFrame:
+def _starred(entries: DataFrame, marks: DataFrame, turn: int, num: int, den: int) -> DataFrame:
     """Near pairs (a, b) of one node of each key, another one each turn, and the key's nodes in other components."""
     chance = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    centre = entries.groupBy("key").agg(F.min_by(F.struct("node", "part", "n", "bits"), chance).alias("c"))
-    near = (F.col("part") != F.col("c.part")) & _near(F.col("n"), F.col("bits"), F.col("c.n"), F.col("c.bits"), num, den)
-    met = entries.join(centre, "key").where(near)
-    return met.select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b")).distinct()
+    centre = entries.groupBy("key").agg(F.min_by(F.struct("node", "part"), chance).alias("c"))
+    met = entries.join(centre, "key").where(F.col("part") != F.col("c.part"))
+    pairs = met.select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b"), "band").distinct()
+    left = marks.select(F.col("node").alias("a"), "band", F.col("n").alias("n_a"), F.col("bits").alias("x"))
+    right = marks.select(F.col("node").alias("b"), "band", F.col("n").alias("n_b"), F.col("bits").alias("y"))
+    met = pairs.join(left, ["a", "band"]).join(right, ["b", "band"])
+    return met.where(_near(F.col("n_a"), F.col("x"), F.col("n_b"), F.col("y"), num, den)).select("a", "b").distinct()
 
 
-def _across(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, int]:
+def _across(entries: DataFrame, marks: DataFrame, num: int, den: int) -> tuple[DataFrame, int]:
     """All near pairs (a, b) of nodes of a key that are in different components, and how many pairs are looked at.
 
     The nodes outside a key's largest component meet all the others; only near ones come out of the join.
@@ -184,6 +187,7 @@ def _across(entries: DataFrame, num: int, den: int) -> tuple[DataFrame, int]:
     sizes = entries.groupBy("key", "part").agg(F.count("*").alias("m"))
     largest = settle(sizes.groupBy("key").agg(F.max_by("part", F.struct("m", "part")).alias("main"), F.sum("m").alias("m"), F.max("m").alias("m_main")))
     bound = largest.agg(F.sum((F.col("m") - F.col("m_main")) * F.col("m"))).first()[0] or 0
+    entries = entries.join(marks, ["node", "band"])
     few = entries.join(largest.select("key", "main"), "key").where("part <> main")
     few = few.select("key", F.col("node").alias("o"), F.col("part").alias("p"), "main", F.col("n").alias("n_o"), F.col("bits").alias("x"))
     apart = (F.col("part") != F.col("p")) & ((F.col("part") == F.col("main")) | (F.col("node") < F.col("o")))
@@ -205,16 +209,16 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFra
     kinds = settle(usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")))
     marks = sketches.join(kinds.select("k1", "k2", "n", F.col("node").alias("doc_id")), ["k1", "k2", "n", "doc_id"], "left_semi")
     entries = _entries(marks.select("doc_id", "band", "spare", "keys"))
-    entries = settle(entries.join(marks.select(F.col("doc_id").alias("node"), "band", "n", "bits"), ["node", "band"]))
+    live = entries.select("node", "band").distinct()
+    marks = settle(marks.select(F.col("doc_id").alias("node"), "band", "n", "bits").join(live, ["node", "band"], "left_semi"))
 
     total = entries.count()
-    links = _verified(_starred(entries.withColumn("part", F.col("node")), 0, num, den), docs, k, num, den)
+    links = _verified(_starred(entries.withColumn("part", F.col("node")), marks, 0, num, den), docs, k, num, den)
     for turn in range(1, ROUNDS + 1):
-        parts = components(links)
-        left = _labelled(entries, parts)
-        pairs, bound = _across(left, num, den)
+        left = _labelled(entries, components(links))
+        pairs, bound = _across(left, marks, num, den)
         last = turn == ROUNDS or bound <= 64 * total + 1_000_000
-        links = links.unionByName(_verified(pairs if last else _starred(left, turn, num, den), docs, k, num, den))
+        links = links.unionByName(_verified(pairs if last else _starred(left, marks, turn, num, den), docs, k, num, den))
         if last:
             break
     parts = components(links)
