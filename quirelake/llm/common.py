@@ -20,7 +20,7 @@ _LOWER[0x41:0x5B] += 32
 _SAME = np.arange(256, dtype=np.uint8)
 
 #: Bytes hashed at once; bounds the temporary arrays whatever the length of a text.
-_SLICE = 2 << 20
+_SLICE = 1 << 19
 
 
 def bit_filter(keys: DataFrame, *columns: str, bits: int) -> DataFrame:

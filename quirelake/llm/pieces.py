@@ -27,7 +27,7 @@ from quirelake.llm.common import Uncut, WordMemory, settle, text_column
 #: Characters of a chunk; longer documents are cut.
 CHUNK = 32_768
 #: Words that one worker remembers the ids of, at most, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _BLANK = "▁"
 _START, _END = (-2, 0), (-3, 0)
 
