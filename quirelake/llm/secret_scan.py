@@ -183,43 +183,47 @@ def fit(docs: DataFrame) -> tuple[Automaton, Automaton, float] | None:
     return grammar, infer(other), scores[int(len(scores) * SPARE)]
 
 
+def spans_of(text: str, model: tuple[Automaton, Automaton, float] | None) -> list[tuple[int, int, str, float | None]]:
+    """(start, end, kind, score) by start, then kind; score is None for base kinds."""
+    base = base_spans(text)
+    spans = [(a, b, kind, None) for a, b, kind, _ in base]
+    for a, b, value in candidates(text) if model else ():
+        if any(s < b and a < e for s, e, _, _ in base):
+            continue
+        score = model[0].score(value)
+        if score >= model[2] and score > model[1].score(value):
+            spans.append((a, b, "format", score))
+    return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
+
+
 def span_finder(model: tuple[Automaton, Automaton, float] | None):
-    """A column function text -> array of (start, end, kind, score) by start, then kind; score is null for base kinds."""
+    """A column function text -> array of (start, end, kind, score) as of spans_of."""
 
     @F.arrow_udf(_SPANS)
     def find(texts: pa.Array) -> pa.Array:
-        out = []
-        for text in texts.to_pylist():
-            base = base_spans(text or "")
-            spans = [(a, b, kind, None) for a, b, kind, _ in base]
-            for a, b, value in candidates(text or "") if model else ():
-                if any(s < b and a < e for s, e, _, _ in base):
-                    continue
-                score = model[0].score(value)
-                if score >= model[2] and score > model[1].score(value):
-                    spans.append((a, b, "format", score))
-            spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-            out.append([{"start": a, "end": b, "kind": k, "score": p} for a, b, k, p in spans])
+        out = [[{"start": a, "end": b, "kind": k, "score": p} for a, b, k, p in spans_of(text or "", model)] for text in texts.to_pylist()]
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])))
 
     return find
 
 
-@F.arrow_udf(T.StringType())
-def _redacted(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    out = []
-    for text, found in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-        if not found:
-            out.append(text)
-            continue
-        parts, at = [], 0
-        for s in found:
-            if s["end"] <= at:
-                continue
-            parts += [text[at : max(s["start"], at)], "[REDACTED]" if s["start"] >= at else ""]
-            at = s["end"]
-        out.append("".join([*parts, text[at:]]))
-    return pa.array(out, pa.string())
+def redactor(model: tuple[Automaton, Automaton, float] | None):
+    """A column function text -> the text with `[REDACTED]` for each of its spans, null where it has none."""
+
+    @F.arrow_udf(T.StringType())
+    def redacted(texts: pa.Array) -> pa.Array:
+        out = []
+        for text in texts.to_pylist():
+            found = spans_of(text or "", model)
+            parts, at = [], 0
+            for a, b, _, _ in found:
+                if b > at:
+                    parts += [text[at : max(a, at)], "[REDACTED]" if a >= at else ""]
+                    at = b
+            out.append("".join([*parts, text[at:]]) if found else None)
+        return pa.array(out, pa.string())
+
+    return redacted
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -233,13 +237,12 @@ def redact(docs: DataFrame) -> DataFrame:
 
     n_chars, where there is such a column, follows the text.
     """
-    find = span_finder(fit(docs))
-    out = docs.withColumn("_spans", find(F.col("text")))
-    hit = F.size("_spans") > 0
-    out = out.withColumn("text", F.when(hit, _redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    out = docs.withColumn("_new", redactor(fit(docs))(F.col("text")))
+    hit = F.col("_new").isNotNull()
+    out = out.withColumn("text", F.coalesce("_new", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("_spans")
+    return out.drop("_new")
 
 
 def written(spans: Column) -> Column:

@@ -44,7 +44,7 @@ def test_the_automaton_tells_the_format():
     assert len(grammar.ends) < 120
     own = sorted(grammar.score(v) for v in secrets(100, 2))
     words = [grammar.score(v) for v in ("Thequickbrownfox12", "version1.2.3-beta.4", "2024-01-02T10-11-12")]
-    assert own[2] > max(words) + 2
+    assert own[0] > max(words)
     assert ss.infer([]).score("abc") < 0
 
 
