@@ -32,17 +32,37 @@ def _repeated(rows: DataFrame) -> DataFrame:
     return by_prefix.join(by_length, "norm_len", "left_semi")
 
 
-def digests(docs: DataFrame, everywhere: bool = False) -> DataFrame:
-    """(doc_id, n_code, text_sha256, survivor): survivor where another text has the same length and prefix, or may have.
+def _keyed(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, n_code, norm, others, norm_len, prefix_hash)."""
+    norm = docs.select("doc_id", text_column(docs).alias("raw"), *others).select("doc_id", F.length("raw").alias("n_code"), normalised(F.col("raw")).alias("norm"), *others)
+    return norm.withColumns({"norm_len": F.length("norm"), "prefix_hash": F.xxhash64(F.left("norm", F.lit(PREFIX)))})
 
-    text_sha256 is given for survivors, and with everywhere for all rows.
+
+def _filter(docs: DataFrame) -> DataFrame:
+    """The filter of the keys met twice or more."""
+    return bit_filter(_repeated(_keyed(docs).select("norm_len", "prefix_hash")), "norm_len", "prefix_hash", bits=FILTER_BITS)
+
+
+def digests(docs: DataFrame, everywhere: bool = False, repeated: DataFrame | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_code, text_sha256, survivor, others): survivor where another text has the same length and prefix, or may have.
+
+    text_sha256 is given for survivors, and with everywhere for all rows. repeated: the filter, where it is there already.
     """
-    norm = docs.select("doc_id", text_column(docs).alias("raw")).select("doc_id", F.length("raw").alias("n_code"), normalised(F.col("raw")).alias("norm"))
-    keyed = norm.withColumns({"norm_len": F.length("norm"), "prefix_hash": F.xxhash64(F.left("norm", F.lit(PREFIX)))})
-    repeated = bit_filter(_repeated(keyed.select("norm_len", "prefix_hash")), "norm_len", "prefix_hash", bits=FILTER_BITS)
-    met = passing(keyed, repeated, "norm_len", "prefix_hash", bits=FILTER_BITS).withColumnRenamed("_passes", "survivor")
+    held = _filter(docs) if repeated is None else repeated
+    met = passing(_keyed(docs, *others), held, "norm_len", "prefix_hash", bits=FILTER_BITS).withColumnRenamed("_passes", "survivor")
     full = F.sha2("norm", 256)
-    return met.select("doc_id", "n_code", (full if everywhere else F.when(F.col("survivor"), full)).alias("text_sha256"), "survivor")
+    return met.select("doc_id", "n_code", (full if everywhere else F.when(F.col("survivor"), full)).alias("text_sha256"), "survivor", *others)
+
+
+def _judged(some: DataFrame) -> DataFrame:
+    """(doc_id, n_code, text_sha256, keep_id, group_size, kept) of the survivors (doc_id, n_code, text_sha256)."""
+    best = F.min(F.struct(-F.col("n_code"), F.col("doc_id").isNull(), "doc_id"))
+    groups = settle(some.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")))
+    groups = groups.select(
+        "text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.col1")).alias("keep_len")
+    )
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code") == F.col("keep_len"))
+    return some.join(groups, "text_sha256").select("doc_id", "n_code", "text_sha256", "keep_id", "group_size", kept.alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
@@ -58,27 +78,24 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
     )
     some = rows.where("survivor").select("doc_id", "n_code", "text_sha256")
-    best = F.min(F.struct(-F.col("n_code"), F.col("doc_id").isNull(), "doc_id"))
-    groups = settle(some.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")))
-    groups = groups.select(
-        "text_sha256", "group_size", F.col("best.doc_id").alias("keep_id"), (-F.col("best.col1")).alias("keep_len")
-    )
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code") == F.col("keep_len"))
-    shared = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    shared = _judged(some).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
     return alone.unionByName(shared)
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that exact_dedup keeps, one of each group, with the columns they came with.
 
-    Of rows that share doc_id and normalised text, one stays; such rows are looked for by their ids alone, and only
-    if there are any is their text compared.
+    Rows are told apart by doc_id, length and the hash of the text together. Of kept rows that are alike in all three, one stays.
     """
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_twice"))
-    if twice.isEmpty():
-        return left
-    same = left["doc_id"].eqNullSafe(twice["_twice"])
-    once = left.join(twice, same, "left_semi").withColumn("_key", F.sha2(normalised(text_column(left)), 256))
-    return left.join(twice, same, "left_anti").unionByName(once.dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    repeated = _filter(docs)
+    some = settle(digests(docs, repeated=repeated).where("survivor").drop("survivor"))
+    kinds = _judged(some).groupBy("doc_id", "n_code", "text_sha256", "kept").agg(F.count("*").alias("n"))
+    told = settle(kinds.where("not kept or n > 1"))
+    rows = digests(docs.withColumn("_row", F.struct(*docs.columns)), repeated=repeated, others=("_row",))
+    mark = told.select(F.col("doc_id").alias("_id"), F.col("n_code").alias("_len"), F.col("text_sha256").alias("_sha"), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n_code") == F.col("_len")) & (F.col("text_sha256") == F.col("_sha"))
+    if told.where("kept").isEmpty():
+        return rows.join(mark, same, "left_anti").select("_row.*")
+    left = rows.join(mark, same, "left").where("kept is null or kept")
+    once = left.where("kept").dropDuplicates(["doc_id", "n_code", "text_sha256"])
+    return left.where("kept is null").unionByName(once).select("_row.*")

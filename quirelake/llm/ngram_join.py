@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import bit_filter, hashed_words, lists_of_longs, mix64, passing, settle, shingle_sets
+from quirelake.llm.common import bit_filter, hashed_words, lists_of_longs, mix64, passing, settle, shingle_sets, text_column
 from quirelake.llm.components import components
 
 #: Nodes that share a key, above which the key counts as frequent.
@@ -229,8 +230,37 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFra
     return some.unionByName(rest)
 
 
+def _spelled(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, _sha, _alias) of the texts whose doc_id another text has too, each with an id that no row has; None if there are none."""
+    ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column(docs)).alias("h"))
+    shared = settle(ids.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("doc_id"))
+    if shared.isEmpty():
+        return None
+    texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_column(docs), 256).alias("_sha")).join(shared, "doc_id", "left_semi").distinct())
+    for seed in count():
+        named = texts.withColumn("_alias", F.xxhash64("doc_id", "_sha", F.lit(seed)))
+        repeated = named.groupBy("_alias").count().where("count > 1")
+        if repeated.isEmpty() and named.join(ids, named["_alias"] == ids["doc_id"], "left_semi").isEmpty():
+            return named
+
+
 def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs of which one a group stays: that with the smallest doc_id; columns as they came."""
-    groups = similar_groups(docs, k, num, den)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """The rows of docs of which one a group stays: that with the smallest doc_id; columns as they came.
+
+    Rows are told apart by their text where they share a doc_id.
+    """
+    spelled = _spelled(docs)
+    if spelled is None:
+        groups = similar_groups(docs, k, num, den)
+        gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+        return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_column(docs).alias("text"))
+    own = spelled.select(F.col("doc_id").alias("_own"), F.col("_sha"), "_alias")
+    rows = rows.join(own, (F.col("_id") == F.col("_own")) & (F.sha2("text", 256) == F.col("_sha")), "left")
+    rows = rows.select("_row", "text", F.coalesce("_alias", "_id").alias("doc_id"))
+    groups = settle(similar_groups(rows, k, num, den).where("doc_id is not null").select("doc_id", "component_id").distinct())
+    named = groups.join(spelled.select(F.col("_alias").alias("doc_id"), F.col("doc_id").alias("_first")), "doc_id", "left")
+    named = named.withColumn("_first", F.coalesce("_first", "doc_id"))
+    best = named.groupBy("component_id").agg(F.min(F.struct("_first", "doc_id"))["doc_id"].alias("_stays"))
+    gone = groups.join(best, "component_id").where("doc_id <> _stays").select(F.col("doc_id").alias("_gone"))
+    return rows.join(gone, rows["doc_id"] == gone["_gone"], "left_anti").select("_row.*")

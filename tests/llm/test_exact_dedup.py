@@ -44,6 +44,16 @@ def test_one_of_a_group_stays(spark):
     assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [("1", "a b"), ("3", "c"), ("None", "")]
 
 
+def test_rows_go_one_by_one_not_by_their_id(spark):
+    rows = [(1, "known text"), (None, "known text"), (None, "only here"), (None, "nor this"), (7, "a b"), (7, "ab"), (7, "other"), (8, "ab"), (7, "other")]
+    docs = table(spark, rows).selectExpr("*", "'w' AS word", "1 AS mask", "2 AS survivor", "3 AS _row")
+    left = ed.drop_copies(docs)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", "known text"), ("None", "only here"), ("None", "nor this"), ("7", "a b"), ("7", "other")])
+    left = ed.drop_copies(docs.where("text <> 'other'"))
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == sorted([("1", "known text"), ("None", "only here"), ("None", "nor this"), ("7", "a b")])
+
+
 def test_no_python_on_the_main_path(spark):
     plan = ed.exact_dedup(given(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -87,6 +87,16 @@ def test_one_of_a_group_stays(spark):
     assert sorted((r.doc_id is None, r.doc_id) for r in left.collect()) == [(False, 3), (False, 9), (True, None)]
 
 
+def test_a_row_with_the_id_of_a_near_copy_stays(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    docs = table(spark, [(5, text), (3, text + " end"), (5, "quite another text of seven short words"), (8, text + " x"), (8, "one more text without any like it")])
+    left = nj.drop_similar(docs)
+    assert left.columns == docs.columns
+    assert sorted((r.doc_id, r.text[:5]) for r in left.collect()) == [(3, "w0 w1"), (5, "quite"), (8, "one m")]
+    two = nj.drop_similar(table(spark, [(2, text), (2, "quite another text"), (9, text + " end")]))
+    assert sorted((r.doc_id, r.text[:5]) for r in two.collect()) == [(2, "quite"), (2, "w0 w1")]
+
+
 def test_sketch_words_bound_the_difference():
     import numpy as np
 
