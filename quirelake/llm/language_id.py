@@ -16,14 +16,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from quirelake.llm.common import utf8_parts
 from quirelake.llm.linear import fit_hinge
 
 #: Labelled rows a language that the models are fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 250
-#: Languages that are learned, at most: the most frequent.
-LANGUAGES = 64
 #: Size of the hashed feature space.
 SPACE = 1 << 15
 #: Letters that one training piece holds at most; a sample text is cut into such pieces.
@@ -98,13 +97,12 @@ def _pieces(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, text) of at most SAMPLE rows for each of at most LANGUAGES languages."""
+    """(lang, text) of at most SAMPLE rows for each language, however many there are."""
     named = docs.where("lang is not null and text is not null and doc_id is not null")
-    langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     spread = F.xxhash64("doc_id", "lang")
     nth = F.row_number().over(W.partitionBy("lang").orderBy(spread, "doc_id"))
-    ids = named.where(F.col("lang").isin(langs)).select("lang", "doc_id", nth.alias("nth")).where(F.col("nth") <= SAMPLE)
-    chosen = F.broadcast(ids.select("lang", "doc_id").distinct())  # at most SAMPLE * LANGUAGES ids
+    ids = named.select("lang", "doc_id", nth.alias("nth")).where(F.col("nth") <= SAMPLE)
+    chosen = F.broadcast(ids.select("lang", "doc_id").distinct())  # at most SAMPLE ids a language
     return sorted((r["lang"], r["text"]) for r in named.join(chosen, ["lang", "doc_id"]).select("lang", "text").collect())
 
 
@@ -141,6 +139,16 @@ def _vote(members: list[str], margins: dict[tuple[str, str], np.ndarray], n: int
     return best, 1 / (1 + np.exp(-2 * np.clip(least[np.arange(n), best], -15, 15)))
 
 
+def _lettered(texts: pa.Array) -> pa.Array:
+    return pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}")
+
+
+@F.arrow_udf(T.BooleanType())
+def has_letter(texts: pa.Array) -> pa.Array:
+    """Whether a text has a letter; false for null."""
+    return _lettered(texts)
+
+
 def predictor(model: Model):
     """A column function text -> struct(lang, score); `und` with score 0 for null or letterless text or an empty model."""
     families = sorted({_FAMILY.get(x, x) for x in model.langs})
@@ -149,7 +157,7 @@ def predictor(model: Model):
     def predict(texts: pa.Array) -> pa.Array:
         n = len(texts)
         langs, scores = np.full(n, "und", dtype=object), np.zeros(n)
-        lettered = np.asarray(pc.match_substring_regex(pc.fill_null(texts, ""), r"\p{L}").to_numpy(zero_copy_only=False), bool)
+        lettered = np.asarray(_lettered(texts).to_numpy(zero_copy_only=False), bool)
         if model.langs and n:
             total, count = _sums(texts, model.weights)
             margin = total / np.maximum(count, 1)[:, None] * 20 + model.bias
@@ -171,19 +179,32 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _learned(base: DataFrame) -> Model:
+    return fit(base.where(~held_out(F.col("doc_id"))))
+
+
+def _told(docs: DataFrame, model: Model) -> DataFrame:
+    predict = predictor(model)
+    return docs.withColumn("_lang", predict(F.col("text"))).withColumns({"lang_pred": F.col("_lang.lang"), "score": F.col("_lang.score")}).drop("_lang")
+
+
 def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     """docs with lang_pred and score. Only text is read for that; learn_from (default docs) gives text, lang and doc_id.
 
     Rows held out by held_out() are not learned from. Rows pass through one by one: repeated rows and null keys stay;
     columns named lang_pred or score are replaced.
     """
-    base = docs if learn_from is None else learn_from
-    predict = predictor(fit(base.where(~held_out(F.col("doc_id")))))
-    return docs.withColumn("_lang", predict(F.col("text"))).withColumns({"lang_pred": F.col("_lang.lang"), "score": F.col("_lang.score")}).drop("_lang")
+    return _told(docs, _learned(docs if learn_from is None else learn_from))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
-    """The rows of docs whose language is known (not `und`) with at least that score; columns as they came."""
-    told = identify(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}))
+    """The rows of docs whose language is known (not `und`) with at least that score; columns as they came.
+
+    Where no row has a usable label no model can be fitted, and all rows with a letter stay.
+    """
+    model = _learned(docs)
+    if not model.langs:
+        return docs.where(has_letter("text"))
+    told = _told(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model)
     kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
     return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})

@@ -41,6 +41,21 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(table(spark, [(1, "abc")]).withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_labelled_language_is_learned(spark):
+    names = [f"x{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)]
+    rows = [(j * 100 + i, f"{name} " * 12, name, "s", 48) for i, name in enumerate(names) for j in range(4)]
+    assert language_id.fit(table(spark, rows)).langs == sorted(names)
+    last = language_id.identify(table(spark, [(1, "xcr " * 9)]), learn_from=table(spark, rows)).first()
+    assert names[-1] == "xcr" and last.lang_pred == "xcr"
+
+
+def test_lettered_rows_stay_without_a_model(spark):
+    docs = table(spark, [*ODD, (30, "12 34 !!")]).withColumn("lang", F.lit(None).cast("string"))
+    left = language_id.keep_identified(docs)
+    assert left.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(["3", "4", "5", "6", "6", "7", "8", "9", "None"])
+
+
 def test_long_texts_are_summed_in_slices(monkeypatch):
     import pyarrow as pa
 
