@@ -1,9 +1,9 @@
 """Packing by lexical retrieval: similar documents share windows of a fixed number of tokens, without padding.
 
 Token ids are cut freely. The documents are dealt into shards of a bounded number of tokens by a lexical signature, so
-that documents with common passages meet. Each shard holds a BM25 inverted index over token bigrams, one in eight of
-them, chosen by hash; a seed document asks it for unused neighbours, which fill the seed's window in order of their
-score. What is left at the end of a shard goes into sequences whose lengths are powers of two.
+that documents with common passages meet. Each shard holds a BM25 inverted index over all token bigrams; a seed document asks it for
+unused neighbours by all of its bigrams, which fill the seed's window in order of their score. Document frequencies are
+those of the shard, and a seed finds no neighbour in another one. What is left at the end of a shard goes into sequences whose lengths are powers of two.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ from quirelake.llm.common import mix64, settle
 WINDOW = 1024
 #: Tokens of a shard, about: bounds the memory of one task.
 SHARD = 2_000_000
-#: Terms of a query (those in the fewest documents), postings read of each, neighbours returned.
-TERMS, POSTINGS, NEIGHBOURS = 12, 256, 16
+#: Neighbours returned for a query.
+NEIGHBOURS = 16
 K1, B = 1.2, 0.75
 
 
@@ -65,10 +65,8 @@ def encoder(name: str) -> Encoder:
 
 
 def _terms(ids: np.ndarray) -> np.ndarray:
-    """Hashes of the chosen token bigrams."""
-    pairs = ids[:-1].astype(np.uint32) << np.uint32(16) | ids[1:]
-    chosen = pairs[(pairs * np.uint32(0x9E3779B1)) >> np.uint32(29) == 0]
-    return mix64(chosen.astype(np.uint64))
+    """The token bigrams."""
+    return ids[:-1].astype(np.uint32) << np.uint32(16) | ids[1:]
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -78,7 +76,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
         coder = encoder(tokenizer)
         for batch in batches:
             ids = [coder.ids(t or "") + b"\0\0" for t in batch.column("text").to_pylist()]
-            least = [int(t.min() >> np.uint64(1)) if len(t := _terms(np.frombuffer(x, np.uint16))) else 0 for x in ids]
+            least = [int(mix64(t.astype(np.uint64)).min() >> np.uint64(1)) if len(t := _terms(np.frombuffer(x, np.uint16))) else 0 for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(least, pa.int64())],
                 names=["doc_id", "ids", "n_ids", "signature"],
@@ -92,44 +90,57 @@ class Index:
 
     def __init__(self, ids: list[np.ndarray]):
         terms = [_terms(x) for x in ids]
-        owner = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
-        flat = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")  # owners ascend already
-        flat, owner = flat[order], owner[order]
-        new = np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])] if len(flat) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
+        size = np.array([len(t) for t in terms], float)
+        owner = np.repeat(np.arange(len(ids), dtype=np.uint64), size.astype(np.int64))
+        flat = (np.concatenate(terms) if terms else np.zeros(0, np.uint32)).astype(np.uint64) << np.uint64(32) | owner
+        flat.sort()
+        at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
         tf = np.diff(np.append(at, len(flat)))
-        flat, self.doc = flat[at], owner[at]
-        head = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        self.begin, self.end = head, np.append(head[1:], len(flat))
-        df = self.end - self.begin
+        flat = flat[at]
+        doc, value = (flat & np.uint64(0xFFFFFFFF)).astype(np.int32), flat >> np.uint64(32)
+        head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        df = np.diff(np.append(head, len(flat)))
         idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-        size = np.array([len(t) for t in terms], float)
         norm = K1 * (1 - B + B * size / max(size.mean(), 1.0)) if len(size) else size
-        self.score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
-        # the terms of each document that others hold too, rarest first
-        term = np.repeat(np.arange(len(df)), df)
-        shared = np.flatnonzero(df[term] > 1)
-        mine = shared[np.lexsort((df[term[shared]], self.doc[shared]))]
-        self.term, self.from_ = term[mine], np.searchsorted(self.doc[mine], np.arange(len(ids) + 1))
+        score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
+        # a term of one document finds none
+        shared = np.repeat(df > 1, df)
+        self.doc, self.score, df = doc[shared], score[shared], df[df > 1]
+        self.term = np.repeat(np.arange(len(df), dtype=np.int32), df)
+        self.end = np.cumsum(df)
+        self.begin = self.end - df
+        mine = np.argsort(self.doc, kind="stable")
+        self.own, self.from_ = self.term[mine], np.searchsorted(self.doc[mine], np.arange(len(ids) + 1))
+        self.passed = 0
+
+    def _drop(self, unused: np.ndarray) -> None:
+        """Leave used documents out of the postings."""
+        stay = unused[self.doc]
+        at = np.append(0, np.cumsum(stay))
+        self.begin, self.end, self.passed = at[self.begin], at[self.end], 0
+        self.doc, self.score, self.term = self.doc[stay], self.score[stay], self.term[stay]
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with the highest scores for the seed's terms, best first."""
-        docs, scores = [], []
-        for t in self.term[self.from_[seed] : min(self.from_[seed + 1], self.from_[seed] + TERMS)]:
-            low, high = self.begin[t], self.end[t]
-            while low < high and not unused[self.doc[low]]:  # documents taken in order leave the front of the list
-                low += 1
-            self.begin[t] = low
-            part = slice(low, min(high, low + POSTINGS))
-            docs.append(self.doc[part]), scores.append(self.score[part])
-        if not docs:
-            return np.zeros(0, np.int64)
-        found, place = np.unique(np.concatenate(docs), return_inverse=True)
-        total = np.bincount(place, np.concatenate(scores))
-        free = unused[found]
-        found, total = found[free], total[free]
-        return found[np.lexsort((found, -total))][:NEIGHBOURS]
+        """Unused documents with the highest scores over all the seed's terms, best first."""
+        terms = self.own[self.from_[seed] : self.from_[seed + 1]]
+        begin, length = self.begin[terms], self.end[terms] - self.begin[terms]
+        n = int(length.sum())
+        if 4 * n < len(self.doc):
+            at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(n)
+            doc, score = self.doc[at], self.score[at]
+        else:  # the postings of most terms: all are read in their order
+            asked = np.zeros(len(self.begin), bool)
+            asked[terms] = True
+            at = asked[self.term]
+            doc, score = self.doc[at], self.score[at]
+        total = np.bincount(doc, score, len(unused))
+        self.passed += n
+        if self.passed > 8 * len(self.doc):
+            self._drop(unused)
+        found = np.flatnonzero((total > 0) & unused)
+        if len(found) > NEIGHBOURS:  # those that score less than the last one returned need no order
+            found = found[total[found] >= np.partition(total[found], -NEIGHBOURS)[-NEIGHBOURS]]
+        return found[np.lexsort((found, -total[found]))][:NEIGHBOURS]
 
 
 def order_of(ids: list[np.ndarray], window: int = WINDOW) -> list[int]:

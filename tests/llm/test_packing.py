@@ -1,5 +1,5 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -64,3 +64,30 @@ def test_neighbours_come_first():
     order = packing.order_of(docs, 1024)
     assert sorted(order) == list(range(40))
     assert sum(a % 5 == b % 5 for a, b in zip(order, order[1:], strict=False)) > 25
+
+
+def test_neighbours_against_brute_force():
+    rng = np.random.default_rng(2)
+    docs = [np.r_[rng.integers(1, 9, rng.integers(0, 40)), 0].astype(np.uint16) for _ in range(700)]
+    docs += [np.array([500 + i // 2, 0], np.uint16) for i in range(10)]  # one bigram each
+    bags = [Counter(zip(d[:-1].tolist(), d[1:].tolist(), strict=True)) for d in docs]
+    df = Counter(t for b in bags for t in b)
+    mean = np.mean([b.total() for b in bags])
+    unused = np.arange(len(docs)) % 3 > 0
+    unused[:300] = False
+    unused[700:] = True
+    index = packing.Index(docs)
+    for seed in [*range(0, 60), *range(700, 710)]:
+        unused[seed] = False
+        want = {}
+        for j in np.flatnonzero(unused).tolist():
+            size = packing.K1 * (1 - packing.B + packing.B * bags[j].total() / mean)
+            score = sum(np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * bags[j][t] * (packing.K1 + 1) / (bags[j][t] + size) for t in bags[seed] if t in bags[j])
+            if score > 0:
+                want[j] = score
+        near = index.neighbours(seed, unused).tolist()
+        best = sorted(want.values(), reverse=True)[: packing.NEIGHBOURS]
+        assert np.allclose([want[j] for j in near], best) and len(near) == len(best), seed
+        unused[seed] = seed >= 700
+    unused[709] = False
+    assert index.neighbours(709, unused).tolist() == [708]
