@@ -6,6 +6,9 @@ word, so the number of differing words never exceeds the symmetric difference of
 band of set sizes; within a band the threshold bounds that difference by D, and with K = D + 1 + S words two linked
 documents agree in S + 1 words or more. Words are the keys of the pigeonhole join; sets verify what they propose.
 
+The keys are counted and joined in PASSES passes, each over the words of one residue, so that only that share of them
+is shuffled at a time; only keys that several nodes share are ever written as rows.
+
 Skew. Equal sets are one node before the join. A key that many nodes share (an empty word, a common passage) is left
 out for all nodes with at most S such keys: a linked partner agrees in one more word at least. Nodes with more, as in
 large groups of near copies, keep them. Within a key, members are first compared with one centre, and again only
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count
 
 import numpy as np
@@ -26,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import bit_filter, hashed_words, lists_of_longs, mix64, passing, settle, shingle_sets, text_column
+from quirelake.llm.common import Stored, bit_filter, hashed_words, lists_of_longs, mix64, passing, settle, shingle_sets, text_column
 from quirelake.llm.components import components
 
 #: Nodes that share a key, above which the key counts as frequent.
 FREQUENT = 64
 #: Spare sketch words, as a share of the words that the pigeonhole needs.
 SPARE = 0.08
+#: Passes over the sketch words.
+PASSES = 4
 #: Bits of the broadcast filters (at most 1 << 17 rows of two longs).
 FILTER_BITS = 1 << 23
 #: Rounds after the first; before the last, in which all pairs across components are looked at, one centre a key is.
@@ -86,8 +92,8 @@ def bit_sketch(hashes: np.ndarray, c: int, far: int) -> np.ndarray:
 
 def sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """A row for each band of each text's set: doc_id, n (the set's size), k1 and k2 (128 bits that tell it from others),
-    first (whether it is the text's first row), band, spare, keys (of the word sketch), bits (of the bit sketch). An
-    empty set has one row without a band."""
+    first (whether it is the text's first row), band, spare, bits (of the bit sketch), and keys_0, keys_1 .. (of the word
+    sketch, a column for each pass). An empty set has one row without a band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, 1 << 34)
@@ -106,12 +112,13 @@ def sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").cast(pa.int64()).take(pa.array(i, pa.int64())), pa.array(n, pa.int64()), *longs, pa.array(first, pa.bool_()),
-                    pa.array(band, pa.int32()), pa.array(spare, pa.int32()), lists_of_longs(list(keys)), lists_of_longs(list(bits)),
+                    pa.array(band, pa.int32()), pa.array(spare, pa.int32()), lists_of_longs(list(bits)), *[lists_of_longs([x[p::PASSES] for x in keys]) for p in range(PASSES)],
                 ],
-                names=["doc_id", "n", "k1", "k2", "first", "band", "spare", "keys", "bits"],
+                names=["doc_id", "n", "k1", "k2", "first", "band", "spare", "bits", *shares],
             )
 
-    schema = "doc_id long, n long, k1 long, k2 long, first boolean, band int, spare int, keys array<long>, bits array<long>"
+    shares = [f"keys_{p}" for p in range(PASSES)]
+    schema = "doc_id long, n long, k1 long, k2 long, first boolean, band int, spare int, bits array<long>" + "".join(f", {x} array<long>" for x in shares)
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -126,20 +133,25 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hashes array<long>")
 
 
-def _entries(heads: DataFrame) -> DataFrame:
+def _entries(sketches: DataFrame, nodes: DataFrame) -> Stored:
     """(key, node, band) of the sketch words that propose partners, after frequent keys are left out where they can be.
 
     A linked node agrees with a partner in more words than the spare ones: nodes that share fewer keys go first.
     """
-    all_keys = heads.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"), "band", "spare")
-    shared = settle(all_keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    held = bit_filter(shared, "key", bits=FILTER_BITS)
-    some = passing(all_keys, held, "key", bits=FILTER_BITS).where("_passes").drop("_passes")
-    met = settle(some.join(shared, "key"))
-    counts = met.groupBy("node", "band", "spare").agg(F.count("*").alias("n_keys"), F.count_if(F.col("n") > FREQUENT).alias("n_often"))
-    live = settle(counts.where("n_keys > spare").select("node", "band", (F.col("n_often") > F.col("spare")).alias("crowded")))
-    kept = met.join(live, ["node", "band"]).where((F.col("n") <= FREQUENT) | F.col("crowded")).select("key", "node", "band")
-    return settle(kept)
+    met = []
+    for p in range(PASSES):
+        own = sketches.select("k1", "k2", "n", "doc_id", "band", "spare", f"keys_{p}").join(nodes, ["k1", "k2", "n", "doc_id"], "left_semi")
+        own = own.select(F.explode(f"keys_{p}").alias("key"), F.col("doc_id").alias("node"), "band", "spare")
+        shared = Stored(own.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+        met.append(Stored(own.join(shared.rows, "key")))
+        shared.free()
+    entries = reduce(DataFrame.unionByName, [x.rows for x in met])
+    counts = entries.groupBy("node", "band", "spare").agg(F.count("*").alias("n_keys"), F.count_if(F.col("m") > FREQUENT).alias("n_often"))
+    live = Stored(counts.where("n_keys > spare").select("node", "band", (F.col("n_often") > F.col("spare")).alias("crowded")))
+    kept = Stored(entries.join(live.rows, ["node", "band"]).where((F.col("m") <= FREQUENT) | F.col("crowded")).select("key", "node", "band"))
+    for x in (*met, live):
+        x.free()
+    return kept
 
 
 def _near(n_a, bits_a, n_b, bits_b, num: int, den: int):
@@ -150,15 +162,17 @@ def _near(n_a, bits_a, n_b, bits_b, num: int, den: int):
 
 def _verified(near: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of near that are linked, by their sets."""
-    near = settle(near)
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    near = Stored(near)
+    ids = near.rows.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     held = bit_filter(ids, "doc_id", bits=FILTER_BITS)
     texts = passing(docs.select(F.col("doc_id").cast("long"), "text"), held, "doc_id", bits=FILTER_BITS).where("_passes").drop("_passes")
-    sets = settle(_shingles(texts.join(ids, "doc_id", "left_semi"), k))
-    met = near.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("x")), "a")
-    met = met.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("y")), "b")
+    sets = Stored(_shingles(texts.join(ids, "doc_id", "left_semi"), k))
+    met = near.rows.join(sets.rows.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("x")), "a")
+    met = met.join(sets.rows.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return settle(met.select("a", "b", "n_a", "n_b", common.alias("i")).where(F.col("i") * den >= (F.col("n_a") + F.col("n_b") - F.col("i")) * num).select("a", "b"))
+    links = settle(met.select("a", "b", "n_a", "n_b", common.alias("i")).where(F.col("i") * den >= (F.col("n_a") + F.col("n_b") - F.col("i")) * num).select("a", "b"))
+    near.free(), sets.free()
+    return links
 
 
 def _labelled(entries: DataFrame, parts: DataFrame) -> DataFrame:
@@ -204,27 +218,31 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFra
     has none either and a null component_id. Repeated rows are copies of one node; doc_id is taken to tell texts apart.
     Other columns are not read.
     """
-    sketches = settle(sketched(docs, k, num, den))
-    rows = sketches.where("first").select("doc_id", "n", "k1", "k2")
+    sketches = Stored(sketched(docs, k, num, den))
+    rows = settle(sketches.rows.where("first").select("doc_id", "n", "k1", "k2"))
     usable = rows.where("n > 0 and doc_id is not null")
     kinds = settle(usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node")))
-    marks = sketches.join(kinds.select("k1", "k2", "n", F.col("node").alias("doc_id")), ["k1", "k2", "n", "doc_id"], "left_semi")
-    entries = _entries(marks.select("doc_id", "band", "spare", "keys"))
+    nodes = kinds.select("k1", "k2", "n", F.col("node").alias("doc_id"))
+    stored = _entries(sketches.rows.where("band is not null"), nodes)
+    entries = stored.rows
     live = entries.select("node", "band").distinct()
-    marks = settle(marks.select(F.col("doc_id").alias("node"), "band", "n", "bits").join(live, ["node", "band"], "left_semi"))
+    marks = sketches.rows.select("k1", "k2", "n", "doc_id", "band", "bits").join(nodes, ["k1", "k2", "n", "doc_id"], "left_semi")
+    marks = Stored(marks.select(F.col("doc_id").alias("node"), "band", "n", "bits").join(live, ["node", "band"], "left_semi"))
+    sketches.free()
 
     total = entries.count()
-    links = _verified(_starred(entries.withColumn("part", F.col("node")), marks, 0, num, den), docs, k, num, den)
+    links = _verified(_starred(entries.withColumn("part", F.col("node")), marks.rows, 0, num, den), docs, k, num, den)
     for turn in range(1, ROUNDS + 1):
         left = _labelled(entries, components(links))
-        pairs, bound = _across(left, marks, num, den)
+        pairs, bound = _across(left, marks.rows, num, den)
         last = turn == ROUNDS or bound <= 64 * total + 1_000_000
-        links = links.unionByName(_verified(pairs if last else _starred(left, marks, turn, num, den), docs, k, num, den))
+        links = links.unionByName(_verified(pairs if last else _starred(left, marks.rows, turn, num, den), docs, k, num, den))
         if last:
             break
+    stored.free(), marks.free()
     parts = components(links)
-    nodes = kinds.join(parts.withColumnRenamed("id", "node"), "node", "left")
-    told = settle(nodes.select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id")))
+    named = kinds.join(parts.withColumnRenamed("id", "node"), "node", "left")
+    told = settle(named.select("k1", "k2", "n", F.coalesce("component", "node").alias("component_id")))
     some = usable.select("doc_id", "n", "k1", "k2").join(told, ["k1", "k2", "n"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = rows.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return some.unionByName(rest)
