@@ -183,11 +183,14 @@ def _labelled(entries: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def _starred(entries: DataFrame, marks: DataFrame, turn: int, num: int, den: int) -> DataFrame:
-    """Near pairs (a, b) of one node of each key, another one each turn, and the key's nodes in other components."""
+    """Near pairs (a, b): each node with the one that is the centre of most of its keys. A key's centre is one of its
+    nodes, another one each turn; only nodes of other components count."""
     chance = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
     centre = entries.groupBy("key").agg(F.min_by(F.struct("node", "part"), chance).alias("c"))
     met = entries.join(centre, "key").where(F.col("part") != F.col("c.part"))
-    pairs = met.select(F.least("node", F.col("c.node")).alias("a"), F.greatest("node", F.col("c.node")).alias("b"), "band").distinct()
+    often = met.groupBy("node", "band", F.col("c.node").alias("centre")).agg(F.count("*").alias("m"))
+    best = often.groupBy("node", "band").agg(F.max_by("centre", F.struct("m", "centre")).alias("centre"))
+    pairs = best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "band").distinct()
     left = marks.select(F.col("node").alias("a"), "band", F.col("n").alias("n_a"), F.col("bits").alias("x"))
     right = marks.select(F.col("node").alias("b"), "band", F.col("n").alias("n_b"), F.col("bits").alias("y"))
     met = pairs.join(left, ["a", "band"]).join(right, ["b", "band"])
