@@ -39,8 +39,6 @@ FREQUENT = 64
 SPARE = 0.08
 #: Passes over the sketch words.
 PASSES = 4
-#: Bits of the broadcast filters (at most 1 << 17 rows of two longs).
-FILTER_BITS = 1 << 23
 #: Rounds after the first; before the last, in which all pairs across components are looked at, one centre a key is.
 ROUNDS = 3
 
@@ -164,8 +162,8 @@ def _verified(near: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> D
     """The pairs (a, b) of near that are linked, by their sets."""
     near = Stored(near)
     ids = near.rows.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = bit_filter(ids, "doc_id", bits=FILTER_BITS)
-    texts = passing(docs.select(F.col("doc_id").cast("long"), "text"), held, "doc_id", bits=FILTER_BITS).where("_passes").drop("_passes")
+    held = bit_filter(ids, "doc_id")
+    texts = passing(docs.select(F.col("doc_id").cast("long"), "text"), held, "doc_id").where("_passes").drop("_passes")
     sets = Stored(_shingles(texts.join(ids, "doc_id", "left_semi"), k))
     met = near.rows.join(sets.rows.select(F.col("doc_id").alias("a"), F.col("n").alias("n_a"), F.col("hashes").alias("x")), "a")
     met = met.join(sets.rows.select(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("hashes").alias("y")), "b")
@@ -252,9 +250,9 @@ def similar_groups(docs: DataFrame, k: int, num: int, den: int = 100) -> DataFra
 
 
 def _spelled(docs: DataFrame) -> DataFrame | None:
-    """(doc_id, _sha, _alias) of the texts whose doc_id another text has too, each with an id that no row has; None if there are none."""
+    """(doc_id, _sha, _alias) of the texts whose doc_id another row has too, each with an id that no row has; None if there are none."""
     ids = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column(docs)).alias("h"))
-    shared = settle(ids.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("doc_id"))
+    shared = settle(ids.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"))
     if shared.isEmpty():
         return None
     texts = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text_column(docs), 256).alias("_sha")).join(shared, "doc_id", "left_semi").distinct())
@@ -268,7 +266,8 @@ def _spelled(docs: DataFrame) -> DataFrame | None:
 def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs of which one a group stays: that with the smallest doc_id; columns as they came.
 
-    Rows are told apart by their text where they share a doc_id.
+    Rows are told apart by their text where they share a doc_id; of rows with the same doc_id and text one stays, unless
+    the text has no words.
     """
     spelled = _spelled(docs)
     if spelled is None:
@@ -278,10 +277,12 @@ def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_column(docs).alias("text"))
     own = spelled.select(F.col("doc_id").alias("_own"), F.col("_sha"), "_alias")
     rows = rows.join(own, (F.col("_id") == F.col("_own")) & (F.sha2("text", 256) == F.col("_sha")), "left")
-    rows = rows.select("_row", "text", F.coalesce("_alias", "_id").alias("doc_id"))
+    again = F.col("_alias").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    rows = rows.select("_row", "text", F.coalesce("_alias", "_id").alias("doc_id"), again.alias("_again"))
     groups = settle(similar_groups(rows, k, num, den).where("doc_id is not null").select("doc_id", "component_id").distinct())
     named = groups.join(spelled.select(F.col("_alias").alias("doc_id"), F.col("doc_id").alias("_first")), "doc_id", "left")
     named = named.withColumn("_first", F.coalesce("_first", "doc_id"))
     best = named.groupBy("component_id").agg(F.min(F.struct("_first", "doc_id"))["doc_id"].alias("_stays"))
     gone = groups.join(best, "component_id").where("doc_id <> _stays").select(F.col("doc_id").alias("_gone"))
-    return rows.join(gone, rows["doc_id"] == gone["_gone"], "left_anti").select("_row.*")
+    left = rows.join(gone, rows["doc_id"] == gone["_gone"], "left_anti")
+    return left.where("not _again").unionByName(left.where("_again").dropDuplicates(["doc_id"])).select("_row.*")

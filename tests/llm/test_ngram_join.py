@@ -95,6 +95,8 @@ def test_a_row_with_the_id_of_a_near_copy_stays(spark):
     assert sorted((r.doc_id, r.text[:5]) for r in left.collect()) == [(3, "w0 w1"), (5, "quite"), (8, "one m")]
     two = nj.drop_similar(table(spark, [(2, text), (2, "quite another text"), (9, text + " end")]))
     assert sorted((r.doc_id, r.text[:5]) for r in two.collect()) == [(2, "quite"), (2, "w0 w1")]
+    same = nj.drop_similar(table(spark, [(5, text), (5, text), (7, text + " x"), (4, " "), (4, " "), (None, text), (None, text)]))
+    assert sorted((str(r.doc_id), r.text[:5]) for r in same.collect()) == [("4", " "), ("4", " "), ("5", "w0 w1"), ("None", "w0 w1"), ("None", "w0 w1")]
 
 
 def test_sketch_words_bound_the_difference():
