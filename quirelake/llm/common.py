@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,25 +21,47 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _SAME = np.arange(256, dtype=np.uint8)
 
+#: Bits of a broadcast filter, at most: 1 << 19 rows of two longs.
+MOST_BITS = 1 << 25
+
 #: Bytes hashed at once; bounds the temporary arrays whatever the length of a text.
 _SLICE = 1 << 19
 
 
-def bit_filter(keys: DataFrame, *columns: str, bits: int) -> DataFrame:
-    """A filter of a fixed number of bits for the given keys: at most bits / 64 rows (word, mask), whatever the input.
+class BitFilter(NamedTuple):
+    """rows (word, mask) of a filter of so many bits; rows is None where it would let everything through."""
 
-    It only saves work: a key that is not there passes by chance, more often the fuller the filter is.
-    """
-    bit = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    set_ = keys.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("bit"))
-    return settle(set_.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("mask")))
+    rows: DataFrame | None
+    bits: int
 
 
-def passing(df: DataFrame, held: DataFrame, *columns: str, bits: int) -> DataFrame:
-    """df with the column _passes: whether the filter may hold the key. The filter is broadcast; its size is fixed."""
-    bit = F.pmod(F.xxhash64(*columns), F.lit(bits))
-    met = df.withColumns({"word": F.shiftright(bit, 6), "_bit": (bit % 64).cast("int")}).join(F.broadcast(held), "word", "left")
-    return met.withColumn("_passes", F.coalesce(F.getbit("mask", F.col("_bit")) == 1, F.lit(False))).drop("word", "mask", "_bit")
+def bit_filter(keys: DataFrame, *columns: str) -> BitFilter:
+    """A filter for the distinct keys given: 16 bits or more for each, as long as that makes MOST_BITS at most.
+
+    It only saves work: a key that is not there passes by chance, more often the fuller the filter is. With as many
+    keys as MOST_BITS there is none.
+    """
+    hashes = Stored(keys.select(F.xxhash64(*columns).alias("h")))
+    n, bits = hashes.rows.count(), 1 << 16
+    while bits < min(16 * n, MOST_BITS):
+        bits *= 2
+    rows = None
+    if n < MOST_BITS:
+        bit = F.pmod("h", F.lit(bits))
+        set_ = hashes.rows.select(F.shiftright(bit, 6).alias("word"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("bit"))
+        rows = settle(set_.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, bit)")).alias("mask")))
+    hashes.free()
+    return BitFilter(rows, bits)
+
+
+def passing(df: DataFrame, held: BitFilter, *columns: str) -> DataFrame:
+    """df with the column _passes: whether the filter may hold the key. The filter is broadcast: MOST_BITS / 64 rows at most."""
+    if held.rows is None:
+        return df.withColumn("_passes", F.lit(True))
+    bit = F.pmod(F.xxhash64(*columns), F.lit(held.bits))
+    met = df.withColumns({"_word": F.shiftright(bit, 6), "_bit": (bit % 64).cast("int")})
+    met = met.join(F.broadcast(held.rows.withColumnsRenamed({"word": "_word", "mask": "_mask"})), "_word", "left")
+    return met.withColumn("_passes", F.coalesce(F.getbit("_mask", F.col("_bit")) == 1, F.lit(False))).drop("_word", "_mask", "_bit")
 
 
 def text_column(df: DataFrame):

@@ -1,57 +1,73 @@
 """Exact dedup by progressive refinement, in Spark expressions only.
 
 Texts are equal when they are the same after all blanks `[\\x20\\x09-\\x0D]` are deleted. Three levels, each over what
-the one before left: length, then the hash of a prefix, then the hash of the whole text. Length and prefix are
-counted per key; keys met twice or more set bits in a filter of a fixed number of bits, and only texts that the filter lets through
-are hashed in full, in the scan itself, so that no text is ever shuffled. A bit set by chance costs one more full
-hash and no result: the last level groups by the full hash alone.
+the one before left: length, then the hash of a prefix for texts whose length another text has, then the hash of the
+whole text for those whose length and prefix another one has. Lengths and prefixes are counted per key; the keys met
+twice or more set bits in a filter, sized from their number up to a bound, and each text meets the filter in the scan
+itself, so that no text is ever shuffled. A bit set by chance costs one more hash and no result: the last level groups
+by the full hash alone.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import bit_filter, passing, settle, text_column
+from quirelake.llm.common import BLANKS, bit_filter, passing, settle, text_column
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 256
-#: Bits of the broadcast filter: a table of at most FILTER_BITS / 64 rows of two longs, 1 MB whatever the input.
-FILTER_BITS = 1 << 22
 
 
 def normalised(text: Column) -> Column:
     """The text without the characters `[\\x20\\x09-\\x0D]`."""
-    return F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", "")
+    return reduce(lambda t, blank: F.replace(t, F.lit(blank)), BLANKS, text)
+
+
+def _head(raw: Column) -> Column:
+    """The first PREFIX code points of the normalised text; the whole text is normalised only where its head is short."""
+    head = normalised(F.left(raw, F.lit(2 * PREFIX)))
+    return F.left(F.when(F.length(head) >= PREFIX, head).otherwise(normalised(raw)), F.lit(PREFIX))
+
+
+def _sized(docs: DataFrame, *others: str) -> DataFrame:
+    """(doc_id, raw, others, norm_len)."""
+    rows = docs.select("doc_id", text_column(docs).alias("raw"), *others)
+    return rows.withColumn("norm_len", F.length(normalised(F.col("raw"))))
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """The (length, prefix) keys met twice or more."""
-    by_length = rows.groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1").select("norm_len")
-    by_prefix = rows.groupBy("norm_len", "prefix_hash").agg(F.count("*").alias("n")).where("n > 1")
-    return by_prefix.join(by_length, "norm_len", "left_semi")
+def repeated_lengths(docs: DataFrame) -> DataFrame:
+    """The filter of the lengths that several texts have."""
+    return bit_filter(_sized(docs).groupBy("norm_len").agg(F.count("*").alias("n")).where("n > 1"), "norm_len")
 
 
-def _keyed(docs: DataFrame, *others: str) -> DataFrame:
-    """(doc_id, n_code, norm, others, norm_len, prefix_hash)."""
-    norm = docs.select("doc_id", text_column(docs).alias("raw"), *others).select("doc_id", F.length("raw").alias("n_code"), normalised(F.col("raw")).alias("norm"), *others)
-    return norm.withColumns({"norm_len": F.length("norm"), "prefix_hash": F.xxhash64(F.left("norm", F.lit(PREFIX)))})
+def prefixes(docs: DataFrame, lengths: DataFrame) -> DataFrame:
+    """(norm_len, prefix_hash) of the texts whose length the filter lets through; no other is hashed."""
+    some = passing(_sized(docs), lengths, "norm_len").where("_passes")
+    return some.select("norm_len", F.xxhash64(_head(F.col("raw"))).alias("prefix_hash"))
 
 
-def _filter(docs: DataFrame) -> DataFrame:
-    """The filter of the keys met twice or more."""
-    return bit_filter(_repeated(_keyed(docs).select("norm_len", "prefix_hash")), "norm_len", "prefix_hash", bits=FILTER_BITS)
+def _filters(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The filters of the lengths, and of the (length, prefix) keys, met twice or more."""
+    lengths = repeated_lengths(docs)
+    keys = prefixes(docs, lengths).groupBy("norm_len", "prefix_hash").agg(F.count("*").alias("n")).where("n > 1")
+    return lengths, bit_filter(keys, "norm_len", "prefix_hash")
 
 
-def digests(docs: DataFrame, everywhere: bool = False, repeated: DataFrame | None = None, others: tuple[str, ...] = ()) -> DataFrame:
+def digests(docs: DataFrame, everywhere: bool = False, repeated: tuple[DataFrame, DataFrame] | None = None, others: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_code, text_sha256, survivor, others): survivor where another text has the same length and prefix, or may have.
 
-    text_sha256 is given for survivors, and with everywhere for all rows. repeated: the filter, where it is there already.
+    text_sha256 is given for survivors, and with everywhere for all rows. repeated: the filters, where they are there already.
     """
-    held = _filter(docs) if repeated is None else repeated
-    met = passing(_keyed(docs, *others), held, "norm_len", "prefix_hash", bits=FILTER_BITS).withColumnRenamed("_passes", "survivor")
-    full = F.sha2("norm", 256)
-    return met.select("doc_id", "n_code", (full if everywhere else F.when(F.col("survivor"), full)).alias("text_sha256"), "survivor", *others)
+    lengths, keys = _filters(docs) if repeated is None else repeated
+    sized = passing(_sized(docs, *others), lengths, "norm_len").withColumnRenamed("_passes", "_met")
+    sized = sized.withColumn("prefix_hash", F.when(F.col("_met"), F.xxhash64(_head(F.col("raw")))))
+    told = passing(sized, keys, "norm_len", "prefix_hash").withColumn("survivor", F.col("_met") & F.col("_passes"))
+    full = F.sha2(normalised(F.col("raw")), 256)
+    full = full if everywhere else F.when(F.col("survivor"), full)
+    return told.select("doc_id", F.length("raw").alias("n_code"), full.alias("text_sha256"), "survivor", *others)
 
 
 def _judged(some: DataFrame) -> DataFrame:
@@ -87,7 +103,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id, length and the hash of the text together. Of kept rows that are alike in all three, one stays.
     """
-    repeated = _filter(docs)
+    repeated = _filters(docs)
     some = settle(digests(docs, repeated=repeated).where("survivor").drop("survivor"))
     kinds = _judged(some).groupBy("doc_id", "n_code", "text_sha256", "kept").agg(F.count("*").alias("n"))
     told = settle(kinds.where("not kept or n > 1"))

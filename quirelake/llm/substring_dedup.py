@@ -6,6 +6,10 @@ branch. Anchors met once cannot hold a repeated edge and go first. Of the others
 are one compacted path with many source coordinates; all but the earliest source are repeats as a whole. Only the
 earliest sources of anchors with several contents, where the graph branches, are opened into single edges. Coordinates
 (document, word) then give the spans to remove.
+
+Words stand as 64-bit hashes. A piece is told from others by the 128 bits of anchor and content, an edge by its own 64
+bits and the 64 of its anchor, so of n different windows of words two are taken for equal with odds of about n * n in
+2 ** 65 within one anchor only.
 """
 
 from __future__ import annotations
@@ -23,8 +27,6 @@ from quirelake.llm.common import bit_filter, hashed_words, mix64, passing, settl
 
 WINDOW = 20
 ANCHOR = 5
-#: Bits of the broadcast filters (at most 1 << 19 rows of two longs).
-FILTER_BITS = 1 << 25
 
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -94,19 +96,35 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64, copy=False).view(np.int64), pa.int64())
 
 
+def _kind(docs: DataFrame) -> str:
+    return docs.schema["doc_id"].dataType.simpleString()
+
+
+def _told_apart(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with doc_id as a long or, where rows share one, a struct of it and the text's hash.
+
+    Rows with the same doc_id and text stay alike: they are one document, met twice.
+    """
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    ids = docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    shared = ids.groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("m")).where("lo <> hi or m > 1")
+    if shared.isEmpty():
+        return docs
+    return docs.select(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("doc_id"), "text")
+
+
 def _pieces(docs: DataFrame, k: int) -> DataFrame:
     """(anchor, content, doc_id, begin, n) of all path pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = paths(*hashed_words(batch.column("text")), k)
-            ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays(
-                [_signed(p.anchor), _signed(p.content), pa.array(ids[p.text], pa.int64()), pa.array(p.begin, pa.int32()), pa.array(p.n, pa.int32())],
+                [_signed(p.anchor), _signed(p.content), batch.column("doc_id").take(pa.array(p.text, pa.int64())), pa.array(p.begin, pa.int32()), pa.array(p.n, pa.int32())],
                 names=["anchor", "content", "doc_id", "begin", "n"],
             )
 
-    return docs.mapInArrow(run, "anchor long, content long, doc_id long, begin int, n int")
+    return docs.mapInArrow(run, f"anchor long, content long, doc_id {_kind(docs)}, begin int, n int")
 
 
 def _opened(texts: DataFrame, k: int) -> DataFrame:
@@ -115,7 +133,6 @@ def _opened(texts: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p = paths(*hashed_words(batch.column("text")), k)
-            ids = batch.column("doc_id").cast(pa.int64()).to_numpy(zero_copy_only=False)
             asked = [set(b) for b in batch.column("begins").to_pylist()]
             chosen = np.array([b in asked[t] for t, b in zip(p.text.tolist(), p.begin.tolist(), strict=True)], bool)
             n = p.n[chosen]
@@ -123,18 +140,18 @@ def _opened(texts: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     _signed(np.repeat(p.anchor[chosen], n)), _signed(p.edges[np.repeat(p.first[chosen], n) + step]),
-                    pa.array(np.repeat(ids[p.text[chosen]], n), pa.int64()), pa.array(np.repeat(p.begin[chosen], n) + step, pa.int32()),
+                    batch.column("doc_id").take(pa.array(np.repeat(p.text[chosen], n), pa.int64())), pa.array(np.repeat(p.begin[chosen], n) + step, pa.int32()),
                 ],
                 names=["anchor", "edge", "doc_id", "pos"],
             )
 
-    return texts.mapInArrow(run, "anchor long, edge long, doc_id long, pos int")
+    return texts.mapInArrow(run, f"anchor long, edge long, doc_id {_kind(texts)}, pos int")
 
 
 def _among(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of docs that may have a doc_id of ids, the rest); the filter between them has a fixed size."""
-    held = bit_filter(ids, "doc_id", bits=FILTER_BITS)
-    told = passing(docs, held, "doc_id", bits=FILTER_BITS)
+    held = bit_filter(ids, "doc_id")
+    told = passing(docs, held, "doc_id")
     return told.where("_passes").drop("_passes"), told.where("not _passes").drop("_passes")
 
 
@@ -142,13 +159,13 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     """(doc_id, begin, end): word spans [begin, end) covered by windows of k words whose sequence starts earlier as well.
 
     Earlier is a smaller doc_id, or the same one and an earlier word. Spans of a document may overlap. Rows with a null
-    doc_id or text are left out; doc_id is taken as unique.
+    doc_id or text are left out. doc_id may be of any type that has an order, and must tell different texts apart.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null and text is not null")
+    docs = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     pieces = _pieces(docs, k)
     shared = settle(pieces.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1").select("anchor"))
-    held = bit_filter(shared, "anchor", bits=FILTER_BITS)
-    met = settle(passing(pieces, held, "anchor", bits=FILTER_BITS).where("_passes").drop("_passes").join(shared, "anchor"))
+    held = bit_filter(shared, "anchor")
+    met = settle(passing(pieces, held, "anchor").where("_passes").drop("_passes").join(shared, "anchor"))
 
     source = F.min(F.struct("doc_id", "begin")).alias("source")
     compact = settle(met.groupBy("anchor", "content").agg(source, F.count("*").alias("m")))
@@ -161,7 +178,7 @@ def repeated_spans(docs: DataFrame, k: int = WINDOW) -> DataFrame:
     begins = settle(begins)
     edges = settle(_opened(_among(docs, begins)[0].join(begins, "doc_id"), k))
     twice = settle(edges.groupBy("anchor", "edge").agg(F.min(F.struct("doc_id", "pos")).alias("source"), F.count("*").alias("m")).where("m > 1").select("anchor", "edge", "source"))
-    some = passing(edges, bit_filter(twice, "anchor", "edge", bits=FILTER_BITS), "anchor", "edge", bits=FILTER_BITS).where("_passes").drop("_passes")
+    some = passing(edges, bit_filter(twice, "anchor", "edge"), "anchor", "edge").where("_passes").drop("_passes")
     later = (F.col("doc_id") != F.col("source.doc_id")) | (F.col("pos") != F.col("source.pos"))
     single = some.join(twice, ["anchor", "edge"]).where(later).select("doc_id", F.col("pos").alias("begin"), (F.col("pos") + k).alias("end"))
     return copies.unionByName(single)
@@ -185,7 +202,7 @@ def _trimmed(rows: DataFrame, with_text: bool) -> DataFrame:
         for batch in batches:
             cut = [_cut(t or "", s) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
             columns = {
-                "doc_id": batch.column("doc_id").cast(pa.int64()), "n_words": pa.array([c[0] for c in cut], pa.int64()), "n_removed": pa.array([c[1] for c in cut], pa.int64()),
+                "doc_id": ids.field(0) if pa.types.is_struct((ids := batch.column("doc_id")).type) else ids, "n_words": pa.array([c[0] for c in cut], pa.int64()), "n_removed": pa.array([c[1] for c in cut], pa.int64()),
                 "kept_sha256": pa.array([hashlib.sha256(c[2]).hexdigest() for c in cut], pa.string()),
             }
             if with_text:
@@ -200,12 +217,14 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, with_text: bool = True) ->
     """One row a row of docs: doc_id, n_words, n_removed, kept_sha256, and with_text kept_text (the words that stay, by
     one space).
 
-    A null text has no words. Rows with a null doc_id stay whole and are no source for others. Other columns are not read.
+    A null text has no words. Rows with a null doc_id stay whole and are no source for others. Of rows that share a
+    doc_id, different texts are documents of their own, in the order of a hash; equal ones are the same document and
+    lose the same words. Other columns are not read.
     """
+    docs = _told_apart(docs)
     spans = settle(repeated_spans(docs, k))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
     kind = by_doc.schema["spans"].dataType
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
     touched, rest = _among(docs, spans.select("doc_id"))
     whole = rest.withColumn("spans", F.lit(None).cast(kind))
     return _trimmed(touched.join(by_doc, "doc_id", "left").select("doc_id", "text", "spans").unionByName(whole), with_text)

@@ -4,6 +4,7 @@ import re
 import pytest
 from helpers import ODD, given, table
 
+from quirelake.llm import common
 from quirelake.llm import exact_dedup as ed
 
 
@@ -25,9 +26,9 @@ def got(df):
     return sorted(((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in df.collect()), key=str)
 
 
-@pytest.mark.parametrize("bits", [ed.FILTER_BITS, 64])
+@pytest.mark.parametrize("bits", [common.MOST_BITS, 3])
 def test_against_plain_python(spark, monkeypatch, bits):
-    monkeypatch.setattr(ed, "FILTER_BITS", bits)  # a full filter only costs work
+    monkeypatch.setattr(common, "MOST_BITS", bits)  # without a filter there is only more work
     hot = [(100 + i, "same text" + " " * (i % 3)) for i in range(60)]
     for docs in (given(spark), table(spark, ODD), table(spark, hot + ODD), table(spark, [])):
         assert got(ed.exact_dedup(docs, digest_all=True)) == brute([(r.doc_id, r.text) for r in docs.collect()])
@@ -39,6 +40,16 @@ def test_digest_only_where_a_copy_is_possible(spark):
     assert rows[3].kept and rows[3].group_size == 1
 
 
+def test_each_level_reads_what_the_one_before_left(spark):
+    head = "h" * 2 * ed.PREFIX
+    docs = table(spark, [(1, "one length"), (2, "two\tlengths here"), (3, head + "aa"), (4, head + " ab"), (5, head + "aa "), (6, "x" + head + "a")])
+    lengths = ed.repeated_lengths(docs)
+    assert ed.prefixes(docs, lengths).count() == 4  # 1 and 2 share their length with none
+    told = {r.doc_id: r.text_sha256 for r in ed.digests(docs).collect()}
+    assert [i for i, sha in sorted(told.items()) if sha] == [3, 4, 5]  # 6 shares its length alone
+    assert told[3] == told[5] != told[4]
+
+
 def test_one_of_a_group_stays(spark):
     left = ed.drop_copies(table(spark, [(1, "a b"), (1, "a b"), (2, "ab"), (3, "c"), (None, None), (None, "")]))
     assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == [("1", "a b"), ("3", "c"), ("None", "")]

@@ -61,6 +61,15 @@ def test_odd_rows_and_empty_table(spark):
     assert sd.remove_repeats(table(spark, [])).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, t), (5, t), (5, "short"), (5, None), (7, "a " + t), (7, "a " + t), (None, t)]
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text[:5]) for r in sd.remove_repeats(table(spark, rows)).collect())
+    assert got == [("1", 40, 0, "w0 w1"), ("5", 0, 0, ""), ("5", 1, 0, "short"), ("5", 40, 40, ""), ("7", 41, 40, "a"), ("7", 41, 40, "a"), ("None", 40, 0, "w0 w1")]
+    two = sd.remove_repeats(table(spark, [(5, t), (5, "x " + t)])).collect()
+    assert sorted(r.n_removed for r in two) == [0, 40]
+
+
 def test_pieces_hold_every_edge_once():
     words, at = hashed_words(pa.array(["a b c d e f g h i j", "x", None, "b c d e f g h a b c d e f g h"]))
     p = sd.paths(words, at, 4, 2)
