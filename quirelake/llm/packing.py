@@ -2,7 +2,7 @@
 
 Token ids are cut freely. The documents are dealt into shards of a bounded number of tokens by a lexical signature, so
 that documents with common passages meet. Each shard holds a BM25 inverted index over all token bigrams; a seed document asks it for
-unused neighbours by all of its bigrams, which fill the seed's window in order of their score. Document frequencies are
+its unused neighbours by all of its bigrams, which fill the seed's window in order of their score. Document frequencies are
 those of the shard, and a seed finds no neighbour in another one. What is left at the end of a shard goes into sequences whose lengths are powers of two.
 """
 
@@ -25,8 +25,10 @@ from quirelake.llm.common import mix64, settle
 WINDOW = 1024
 #: Tokens of a shard, about: bounds the memory of one task.
 SHARD = 2_000_000
-#: Neighbours returned for a query.
-NEIGHBOURS = 16
+#: Rows whose texts and ids a worker holds at once while it encodes.
+ROWS = 512
+#: Neighbours that are put in order at first; the rest only where these leave room.
+FIRST = 16
 K1, B = 1.2, 0.75
 
 
@@ -74,7 +76,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, len(whole), ROWS)):
             ids = [coder.ids(t or "") + b"\0\0" for t in batch.column("text").to_pylist()]
             least = [int(mix64(t.astype(np.uint64)).min() >> np.uint64(1)) if len(t := _terms(np.frombuffer(x, np.uint16))) else 0 for x in ids]
             yield pa.RecordBatch.from_arrays(
@@ -120,8 +122,8 @@ class Index:
         self.begin, self.end, self.passed = at[self.begin], at[self.end], 0
         self.doc, self.score, self.term = self.doc[stay], self.score[stay], self.term[stay]
 
-    def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents with the highest scores over all the seed's terms, best first."""
+    def neighbours(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with the seed, by their scores over all of its terms, best first."""
         terms = self.own[self.from_[seed] : self.from_[seed + 1]]
         begin, length = self.begin[terms], self.end[terms] - self.begin[terms]
         n = int(length.sum())
@@ -138,39 +140,34 @@ class Index:
         if self.passed > 8 * len(self.doc):
             self._drop(unused)
         found = np.flatnonzero((total > 0) & unused)
-        if len(found) > NEIGHBOURS:  # those that score less than the last one returned need no order
-            found = found[total[found] >= np.partition(total[found], -NEIGHBOURS)[-NEIGHBOURS]]
-        return found[np.lexsort((found, -total[found]))][:NEIGHBOURS]
+        rest = found[:0]
+        if len(found) > FIRST:
+            last = np.partition(total[found], -FIRST)[-FIRST]
+            found, rest = found[total[found] >= last], found[total[found] < last]
+        for group in (found, rest):
+            yield from group[np.lexsort((group, -total[group]))].tolist()
 
 
 def order_of(ids: list[np.ndarray], window: int = WINDOW) -> list[int]:
-    """The order in which a shard's documents are laid one after the other, each exactly once."""
-    index, unused, out, seed = Index(ids), np.ones(len(ids), bool), [], 0
-    filled = 0
-    while True:
-        while seed < len(ids) and not unused[seed]:
-            seed += 1
-        if seed == len(ids):
-            return out
+    """The order in which a shard's documents are laid one after the other, each exactly once.
+
+    A seed is the first unused document; its neighbours fill what room it leaves in the window it ends in, and the last
+    of them may reach into the next one.
+    """
+    index, unused, out, room = Index(ids), np.ones(len(ids), bool), [], 0
+    for seed in range(len(ids)):
+        if not unused[seed]:
+            continue
         unused[seed] = False
         out.append(seed)
-        filled = (filled + len(ids[seed])) % window
-        while filled:  # the window that the last document ends in still has room
-            near = index.neighbours(out[-1], unused)
-            if not len(near):
-                break
-            before = filled
-            for n in near:
-                unused[n] = False
-                out.append(int(n))
-                filled += len(ids[n])
-                if filled >= window:
-                    break
-            if filled >= window:
-                filled %= window
-                break
-            if filled == before:
+        room = (room - len(ids[seed])) % window
+        for n in index.neighbours(seed, unused) if room else ():
+            unused[n] = False
+            out.append(n)
+            full, room = len(ids[n]) >= room, (room - len(ids[n])) % window
+            if full:
                 break
+    return out
 
 
 def _pieces(docs: list[tuple], window: int) -> Iterator[tuple[int, int, int, int, int]]:

@@ -85,9 +85,31 @@ def test_neighbours_against_brute_force():
             score = sum(np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * bags[j][t] * (packing.K1 + 1) / (bags[j][t] + size) for t in bags[seed] if t in bags[j])
             if score > 0:
                 want[j] = score
-        near = index.neighbours(seed, unused).tolist()
-        best = sorted(want.values(), reverse=True)[: packing.NEIGHBOURS]
+        near = list(index.neighbours(seed, unused))
+        best = sorted(want.values(), reverse=True)
         assert np.allclose([want[j] for j in near], best) and len(near) == len(best), seed
         unused[seed] = seed >= 700
     unused[709] = False
-    assert index.neighbours(709, unused).tolist() == [708]
+    assert list(index.neighbours(709, unused)) == [708]
+
+
+def test_a_seed_takes_its_best_neighbours_until_its_window_is_full():
+    rng = np.random.default_rng(5)
+    docs = [np.r_[rng.integers(1, 9, rng.integers(0, 60)), 0].astype(np.uint16) for _ in range(200)]
+    index, unused, want, room = packing.Index(docs), np.ones(len(docs), bool), [], 0
+    for seed in range(len(docs)):
+        if unused[seed]:
+            take = [seed]
+            unused[seed] = False
+            room = (room - len(docs[seed])) % 64
+            ranked = list(index.neighbours(seed, unused))
+            while room and ranked:
+                n = ranked.pop(0)
+                take.append(n)
+                room = 0 if len(docs[n]) == room else room - len(docs[n])
+                if room < 0:
+                    break
+            room %= 64
+            unused[take] = False
+            want += take
+    assert packing.order_of(docs, 64) == want and sorted(want) == list(range(200))
