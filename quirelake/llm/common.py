@@ -64,6 +64,14 @@ def passing(df: DataFrame, held: BitFilter, *columns: str) -> DataFrame:
     return met.withColumn("_passes", F.coalesce(F.getbit("_mask", F.col("_bit")) == 1, F.lit(False))).drop("_word", "_mask", "_bit")
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_column(df: DataFrame):
     """The text with null as empty."""
     return F.coalesce(F.col("text"), F.lit(""))

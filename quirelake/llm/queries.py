@@ -71,6 +71,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[secret_scan.counted(F.col("secrets"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("secrets")).alias("spans"),
+        secret_scan.counted(F.col("secrets"), "format").alias("n_format"), F.transform("secrets", lambda s: s["score"]).alias("scores"),
     )
 
 

@@ -3,25 +3,35 @@
 The values that the base patterns find are labelled credentials. A prefix tree over their character classes is merged
 into a probabilistic automaton: a state joins another when the frequencies of ending and of each next symbol agree
 within Hoeffding bounds, for them and all states below. A second automaton is learned from other tokens of that
-shape. Every candidate token of every text is scored by its mean log likelihood a character under the first automaton,
-and becomes a span if that is as likely as for nearly all labelled credentials and likelier than under the second one.
+shape. Every candidate of every text is scored by its mean log likelihood a character under the first automaton:
+values of base spans, and what they leave of each run of credential characters, whole and in its parts between `=` and
+`/`. One of the latter becomes a span if it is as likely as nearly all labelled credentials and likelier than under the
+second automaton.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
+from quirelake.llm.common import unused_name
+
 #: Distinct labelled credentials, and as many other tokens, that the automata are learned from, at most: those with the smallest hash.
 SAMPLE = 1500
-#: Characters of a training value, at most (longer ones are not learned from).
-LONGEST = 160
+#: Levels of the prefix tree, at most; of a longer credential the first symbols are learned, and no end.
+DEPTH = 400
+#: Characters of a candidate, at least.
+SHORTEST = 8
+#: Scores of shapes that an automaton remembers in a worker, at most.
+REMEMBERED = 200_000
 #: Share of the labelled credentials that may score below the threshold.
 SPARE = 0.01
 #: Confidence of the merge test.
@@ -34,10 +44,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _NAMES = ("passw", "secret", "token", "apikey", "api_key")
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
-_MIXED = re.compile(r"(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z])")
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{8,}")
+_PART = re.compile(r"[A-Za-z0-9+_.-]{8,}")
 
-_CLASS = {c: "h" for c in "0123456789abcdef"} | {c: "w" for c in "ghijklmnopqrstuvwxyz"} | {c: "W" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_SHAPE = str.maketrans("0123456789abcdef" + "ghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "h" * 16 + "w" * 20 + "W" * 26)
 _SIZE = {"h": 16, "w": 20, "W": 26}
 _SYMBOLS = 9  # three classes, six other characters of a run
 
@@ -48,23 +58,20 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     low = text.lower()
     if any(x in low for x in _NAMES):
         found += [(m.start(), m.end(), "assign", m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 8]
-    for run in _RUN.finditer(text):  # every access or hex match that counts lies in such a run
-        if "AKIA" in run[0]:
-            found += [(run.start() + m.start(), run.start() + m.end(), "access", m[0]) for m in _ACCESS.finditer(run[0]) if len(m[0]) >= 16]
-        if len(run[0]) >= 32:
-            found += [(run.start() + m.start(), run.start() + m.end(), "hex", m[0]) for m in _HEX.finditer(run[0])]
+    if "AKIA" in text:
+        found += [(m.start(), m.end(), "access", m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
+    found += [(m.start(), m.end(), "hex", m[0]) for m in _HEX.finditer(text)]
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def candidates(text: str) -> list[tuple[int, int, str]]:
-    """Runs of 16 or more credential characters that hold a letter and a digit; trailing `.`, `=` and quotes of prose are cut."""
-    out = []
-    for m in _RUN.finditer(text):
-        value = m[0].rstrip(".").lstrip("=.")
-        if len(value) >= 16 and _MIXED.match(value):
-            at = m.start() + m[0].index(value)
-            out.append((at, at + len(value), value))
-    return out
+def candidates(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int, str]]:
+    """(start, value) of what base spans leave of each run of credential characters."""
+    if base:
+        chars = list(text)
+        for a, b, _, _ in base:
+            chars[a:b] = " " * (b - a)
+        text = "".join(chars)
+    return [(m.start(), m[0]) for m in _RUN.finditer(text)]
 
 
 class Automaton:
@@ -76,14 +83,22 @@ class Automaton:
 
     def score(self, value: str) -> float:
         """Mean log2 likelihood a character, ends included; symbols unseen in a state have add-one-half counts and stay in it."""
+        shape = value.translate(_SHAPE)
+        known = self.__dict__.setdefault("known", {})
+        if shape not in known:
+            if len(known) >= REMEMBERED:
+                known.clear()
+            known[shape] = self._score(shape)
+        return known[shape]
+
+    def _score(self, shape: str) -> float:
         state, bits = 0, 0.0
-        for c in value:
-            kind = _CLASS.get(c, c)
+        for kind in shape:
             full = self.total[state] + 0.5 * (_SYMBOLS + 1)
             bits += math.log2((self.seen[state].get(kind, 0) + 0.5) / full / _SIZE.get(kind, 1))
             state = self.after[state].get(kind, state)
         bits += math.log2((self.ends[state] + 0.5) / (self.total[state] + 0.5 * (_SYMBOLS + 1)))
-        return bits / (len(value) + 1)
+        return bits / (len(shape) + 1)
 
 
 def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
@@ -91,14 +106,13 @@ def infer(values: list[str], alpha: float = ALPHA) -> Automaton:
     ends, seen, after = [0], [Counter()], [{}]
     for value in values:
         state = 0
-        for c in value:
-            kind = _CLASS.get(c, c)
+        for kind in value[:DEPTH].translate(_SHAPE):
             seen[state][kind] += 1
             if kind not in after[state]:
                 after[state][kind] = len(ends)
                 ends.append(0), seen.append(Counter()), after.append({})
             state = after[state][kind]
-        ends[state] += 1
+        ends[state] += len(value) <= DEPTH
     total = [e + sum(s.values()) for e, s in zip(ends, seen, strict=True)]
     spread = math.sqrt(0.5 * math.log(2 / alpha))
 
@@ -155,44 +169,71 @@ _FOUND = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Stru
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
+def _hashed(value: str) -> tuple[int, str]:
+    return zlib.crc32(value.encode()), value
+
+
+def _least(values: set[str]) -> list[str]:
+    """The SAMPLE values with the smallest hash."""
+    return sorted(values, key=_hashed)[:SAMPLE]
+
+
 @F.arrow_udf(_FOUND)
 def _labelled(texts: pa.Array) -> pa.Array:
-    out = []
+    """The labelled credentials of each text; with the first text also the SAMPLE other candidates of the whole batch
+    that have the smallest hash, which is all that the sample of all texts can take from it."""
+    out, pool = [], set()
     for text in texts.to_pylist():
         base = base_spans(text or "")
-        rows = [{"kind": "credential", "value": v} for _, _, _, v in base if len(v) <= LONGEST]
-        rows += [{"kind": "other", "value": v} for a, b, v in candidates(text or "") if len(v) <= LONGEST and not any(s < b and a < e for s, e, _, _ in base)]
-        out.append(rows)
+        out.append([{"kind": "credential", "value": v} for _, _, _, v in base])
+        pool.update(v for _, v in candidates(text or "", base))
+        if len(pool) > 16 * SAMPLE:
+            pool = set(_least(pool))
+    if out:
+        out[0] = out[0] + [{"kind": "other", "value": v} for v in _least(pool)]
     return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())])))
 
 
 def fit(docs: DataFrame) -> tuple[Automaton, Automaton, float] | None:
     """(automaton of credentials, automaton of other tokens, threshold), or None if the texts hold no credential.
 
-    A bounded sample of distinct values comes to the driver.
+    One scan; a bounded sample of distinct values comes to the driver. Repeated rows give no value twice.
     """
     found = docs.select(F.explode(_labelled(F.col("text"))).alias("v")).select("v.kind", "v.value").distinct()
-    rows = []
-    for kind in ("credential", "other"):
-        rows.append(sorted(r["value"] for r in found.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(SAMPLE).collect()))
-    good, other = rows
+    nth = F.row_number().over(W.partitionBy("kind").orderBy(F.crc32(F.col("value").cast("binary")), "value"))
+    rows = found.withColumn("nth", nth).where(F.col("nth") <= SAMPLE).select("kind", F.left("value", F.lit(DEPTH + 1)).alias("value")).collect()
+    good, other = (sorted(r["value"] for r in rows if r["kind"] == kind) for kind in ("credential", "other"))
     if not good:
         return None
     grammar = infer(good)
-    scores = sorted(grammar.score(v) for v in good)
+    scores = sorted(grammar.score(v) for v in good if len(v) <= DEPTH) or [0.0]
     return grammar, infer(other), scores[int(len(scores) * SPARE)]
 
 
+def _taken(model: tuple[Automaton, Automaton, float], at: int, value: str) -> list[tuple[int, int, str, float]]:
+    """The spans of a candidate run: the whole, or those of its parts that are likelier."""
+    grammar, other, least = model
+
+    def told(begin: int, part: str) -> list[tuple[int, int, str, float]]:
+        score = grammar.score(part)
+        return [(begin, begin + len(part), "format", score)] if score >= least and score > other.score(part) else []
+
+    found = told(at, value)
+    trimmed = value.rstrip(".=/").lstrip(".=/-")
+    if len(trimmed) >= SHORTEST and (trimmed != value or "=" in value or "/" in value):
+        parts = [told(at + m.start(), m[0]) for m in _PART.finditer(value)]
+        for other_way in (told(at + value.index(trimmed), trimmed), [s for p in parts for s in p]):
+            if other_way and (not found or max(s[3] for s in other_way) > max(s[3] for s in found)):
+                found = other_way
+    return found
+
+
 def spans_of(text: str, model: tuple[Automaton, Automaton, float] | None) -> list[tuple[int, int, str, float | None]]:
-    """(start, end, kind, score) by start, then kind; score is None for base kinds."""
+    """(start, end, kind, score) by start, then kind; without a model there are base kinds alone and no scores."""
     base = base_spans(text)
-    spans = [(a, b, kind, None) for a, b, kind, _ in base]
-    for a, b, value in candidates(text) if model else ():
-        if any(s < b and a < e for s, e, _, _ in base):
-            continue
-        score = model[0].score(value)
-        if score >= model[2] and score > model[1].score(value):
-            spans.append((a, b, "format", score))
+    spans = [(a, b, kind, model[0].score(value) if model else None) for a, b, kind, value in base]
+    for at, value in candidates(text, base) if model else ():
+        spans += _taken(model, at, value)
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -237,12 +278,13 @@ def redact(docs: DataFrame) -> DataFrame:
 
     n_chars, where there is such a column, follows the text.
     """
-    out = docs.withColumn("_new", redactor(fit(docs))(F.col("text")))
-    hit = F.col("_new").isNotNull()
-    out = out.withColumn("text", F.coalesce("_new", "text"))
+    new = unused_name(docs, "_new")
+    out = docs.withColumn(new, redactor(fit(docs))(F.col("text")))
+    hit = F.col(new).isNotNull()
+    out = out.withColumn("text", F.coalesce(new, "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.drop("_new")
+    return out.drop(new)
 
 
 def written(spans: Column) -> Column:

@@ -56,6 +56,48 @@ def test_formats_are_found_without_a_name(spark):
     assert all(found[i][0][0] == "assign" for i in range(120))
 
 
+def test_planted_secrets_without_a_name_are_found_in_the_given_texts(spark):
+    rng = random.Random(7)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    make = lambda: "sk" + "".join(rng.choice(alphabet) for _ in range(10))  # noqa: E731  12 characters, too short for the fixed patterns
+    rows = [(r.doc_id, r.text or "") for r in given(spark).collect()]
+    named = [(i, t + f' api_key: "{make()}"') if n % 2 else (i, t) for n, (i, t) in enumerate(rows)]
+    planted, docs = {}, []
+    for n, (i, t) in enumerate(named):
+        if n % 5 == 0:
+            value = make()
+            shown = (f" {value} ", f" sig={value}&x ", f" https://h/{value} ")[n // 5 % 3]
+            planted[i] = (len(t) + shown.index(value), len(t) + shown.index(value) + len(value))
+            t += shown
+        docs.append((i, t))
+    found = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "format"] for r in ss.scan(table(spark, docs)).collect()}
+    hit = sum(span in found[i] for i, span in planted.items())
+    false = sum(len([s for s in spans if s != planted.get(i)]) for i, spans in found.items())
+    assert hit >= 0.9 * len(planted) and false <= 0.02 * len(rows), (hit, len(planted), false)
+
+
+def test_every_candidate_is_scored_as_by_hand():
+    grammar, other = ss.infer(secrets(200, 5)), ss.infer(["wordlike"] * 5 + ["another1"] * 4)
+    assert sum(2 ** (grammar.score(v) * (len(v) + 1)) for v in set(secrets(200, 5))) < 1
+    model = (grammar, other, min(map(grammar.score, secrets(200, 5))))
+    key = secrets(10, 9)[-1]
+    for text, want in [(f"a {key}", [(2, 22)]), (f"k={key}", [(2, 22)]), (f"x/wordlike/{key}/y", [(11, 31)]), ("wordlike", [])]:
+        assert [s[:2] for s in ss.spans_of(text, model)] == want, text
+    spans = ss.spans_of(f"token={key} {'0' * 40}", model)
+    assert [s[2] for s in spans] == ["assign", "access", "hex"] and all(s[3] is not None for s in spans)
+
+
+def test_long_credentials_are_learned():
+    long = ["eyJ" + "".join(random.Random(i).choice("abcXYZ019") for _ in range(600)) for i in range(30)]
+    grammar = ss.infer(long)
+    assert grammar.score(long[0]) > grammar.score("q" * 600)
+
+
+def test_clashing_columns(spark):
+    docs = table(spark, [(1, "a token = abcdefghijk b")]).selectExpr("*", "1 AS _new", "2 AS _New_")
+    assert ss.redact(docs).columns == docs.columns and ss.redact(docs).first()._new == 1
+
+
 def test_odd_rows_and_redaction(spark):
     rows = [*ODD, (20, "a token = abcdefghijk b"), (21, 'api_key="0123456789abcdef0123456789abcdef" x')]
     left = {(r.doc_id, r.text): r.n_chars for r in ss.redact(table(spark, rows)).collect()}
