@@ -22,6 +22,8 @@ from quirelake.llm.common import hashed_words, shingle_sets
 SHINGLE = 5
 #: One in so many shingle hashes is kept.
 SCALE = 8
+#: Bytes of texts in one range of ids, about.
+RANGE = 32 << 20
 
 
 def sketches(texts: pa.Array, k: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
@@ -44,6 +46,18 @@ def decoded(text: str | None) -> np.ndarray:
     return np.frombuffer(base64.b64decode(text or ""), "<u4")
 
 
+def _above(sketch: np.ndarray, scale: int = SCALE) -> bool:
+    """Whether the sketch is the one hash of a text that has none below the threshold."""
+    return len(sketch) == 1 and int(sketch[0]) >= (1 << 32) // scale
+
+
+def _united(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sketch of the union: a hash above the threshold stays only where there is none below it."""
+    both = np.union1d(a, b)
+    below = both[both < (1 << 32) // SCALE]
+    return below if len(below) else both[:1]
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated Jaccard likeness of two texts from their sketches; 1 if both are empty."""
     common = len(np.intersect1d(a, b, assume_unique=True))
@@ -59,15 +73,17 @@ def fingerprint(texts: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.DoubleType())
 def containment(inner: pa.Array, outer: pa.Array) -> pa.Array:
-    """Column function: estimated share of the first text's shingles that the second holds; 1 for an empty first."""
+    """Column function: estimated share of the first text's shingles that the second holds; 1 for an empty first, null
+    where the first has no hash below the threshold but the second has, so that nothing can be said."""
     pairs = [(decoded(a), decoded(b)) for a, b in zip(inner.to_pylist(), outer.to_pylist(), strict=True)]
-    return pa.array([len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0 for a, b in pairs], pa.float64())
+    told = [None if _above(a) and not _above(b) and len(b) else len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0 for a, b in pairs]
+    return pa.array(told, pa.float64())
 
 
 @F.arrow_udf(T.StringType())
 def merged(one: pa.Array, other: pa.Array) -> pa.Array:
-    """Column function: the fingerprint of two texts taken together."""
-    return pa.array([encoded(np.union1d(decoded(a), decoded(b))) for a, b in zip(one.to_pylist(), other.to_pylist(), strict=True)], pa.string())
+    """Column function: the fingerprint of the union of two texts' shingles, the same as if it were made from them."""
+    return pa.array([encoded(_united(decoded(a), decoded(b))) for a, b in zip(one.to_pylist(), other.to_pylist(), strict=True)], pa.string())
 
 
 def _ranges(docs: DataFrame, parts: int) -> tuple[list[int], dict[int, int | None]]:
@@ -96,10 +112,13 @@ def with_next(docs: DataFrame, per_batch, schema: str, parts: int | None = None)
     """Rows of schema that per_batch(doc_ids, texts, next_texts) makes of each text and the one with the next larger doc_id.
 
     After the largest id comes the smallest. Rows with the same id follow each other by text; a row with a null id is
-    its own next. Texts are shuffled once, by ranges of ids; the first row of each range also goes to the range before.
+    its own next. Texts are shuffled once, by ranges of ids of about RANGE bytes; the first row of each range also goes
+    to the range before.
     """
     spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     bounds, following = _ranges(docs, parts)
     known = docs.where("doc_id is not null").withColumns({"part": _range_of(bounds)(F.col("doc_id")), "guest": F.lit(False)})

@@ -18,15 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from quirelake.llm.common import utf8_parts
+from quirelake.llm.common import unused_name, utf8_parts
 from quirelake.llm.linear import fit_hinge
 
 #: Labelled rows a language that the models are fitted on, at most: those with the smallest hash of their id.
 SAMPLE = 250
 #: Size of the hashed feature space.
 SPACE = 1 << 15
-#: Letters that one training piece holds at most; a sample text is cut into such pieces.
-PIECE = 400
+#: Bytes that one training piece holds at most, and pieces of one sample text, at most, at even distances.
+PIECE, PIECES = 400, 40
 
 # Families of languages. A language that is not listed is a family of its own.
 FAMILIES = {
@@ -85,32 +85,40 @@ def _sums(texts: pa.Array, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return total, count
 
 
-def _pieces(text: str) -> list[tuple[np.ndarray, np.ndarray]]:
-    raw = np.frombuffer(text.lower().encode(), np.uint8)
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
+def _pieces(texts: pa.Array) -> pa.Array:
+    """PIECES pieces of each lower-cased text, or all if it has no more."""
+    raw, at = utf8_parts(pc.utf8_lower(pc.fill_null(texts, "")))
     out = []
-    for low in range(0, len(raw), PIECE):
-        part = raw[low : low + PIECE]
-        if len(part) >= 3 and (low == 0 or len(part) >= PIECE // 4):
-            at, n = np.unique(_slots(part), return_counts=True)
-            out.append((at, n / n.sum() * 20))
-    return out
+    for low, high in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        starts = range(low, high, PIECE)
+        starts = [starts[i * len(starts) // PIECES] for i in range(PIECES)] if len(starts) > PIECES else starts
+        parts = [raw[x : min(x + PIECE, high)] for x in starts]
+        out.append([p.tobytes() for p in parts if len(p) >= (PIECE // 4 if high - low > PIECE else 3)])
+    return pa.array(out, pa.list_(pa.binary()))
+
+
+def _counted(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    at, n = np.unique(_slots(np.frombuffer(piece, np.uint8)), return_counts=True)
+    return at, n / n.sum() * 20
 
 
-def sample(docs: DataFrame) -> list[tuple[str, str]]:
-    """(lang, text) of at most SAMPLE rows for each language, however many there are."""
+def sample(docs: DataFrame) -> list[tuple[str, list[bytes]]]:
+    """(lang, pieces) of at most SAMPLE rows for each language, however many there are; of rows that share doc_id and
+    lang one text is taken. What comes to the driver has at most SAMPLE * PIECES * PIECE bytes a language."""
     named = docs.where("lang is not null and text is not null and doc_id is not null")
     spread = F.xxhash64("doc_id", "lang")
-    nth = F.row_number().over(W.partitionBy("lang").orderBy(spread, "doc_id"))
-    ids = named.select("lang", "doc_id", nth.alias("nth")).where(F.col("nth") <= SAMPLE)
-    chosen = F.broadcast(ids.select("lang", "doc_id").distinct())  # at most SAMPLE ids a language
-    return sorted((r["lang"], r["text"]) for r in named.join(chosen, ["lang", "doc_id"]).select("lang", "text").collect())
+    ids = named.select("lang", "doc_id", F.dense_rank().over(W.partitionBy("lang").orderBy(spread, "doc_id")).alias("nth"))
+    chosen = F.broadcast(ids.where(F.col("nth") <= SAMPLE).select("lang", "doc_id").distinct())  # at most SAMPLE ids a language
+    texts = named.join(chosen, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    return sorted((r["lang"], r["pieces"]) for r in texts.select("lang", _pieces("text").alias("pieces")).collect())
 
 
 def fit(docs: DataFrame) -> Model:
     """A model from the labelled rows of docs (doc_id, text, lang); without such rows it knows no language."""
     by_lang: dict[str, list] = {}
-    for lang, text in sample(docs):
-        by_lang.setdefault(lang, []).extend(_pieces(text))
+    for lang, pieces in sample(docs):
+        by_lang.setdefault(lang, []).extend(map(_counted, pieces))
     by_lang = {k: v for k, v in by_lang.items() if v}
     family = {lang: _FAMILY.get(lang, lang) for lang in by_lang}
     groups = {"": {f: [p for x in sorted(by_lang) if family[x] == f for p in by_lang[x]] for f in sorted(set(family.values()))}}
@@ -183,9 +191,10 @@ def _learned(base: DataFrame) -> Model:
     return fit(base.where(~held_out(F.col("doc_id"))))
 
 
-def _told(docs: DataFrame, model: Model) -> DataFrame:
-    predict = predictor(model)
-    return docs.withColumn("_lang", predict(F.col("text"))).withColumns({"lang_pred": F.col("_lang.lang"), "score": F.col("_lang.score")}).drop("_lang")
+def _told(docs: DataFrame, model: Model) -> tuple[DataFrame, str]:
+    """docs with a column struct(lang, score), and that column's name, which no other has."""
+    name = unused_name(docs, "_lang")
+    return docs.withColumn(name, predictor(model)(F.col("text"))), name
 
 
 def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
@@ -194,7 +203,8 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     Rows held out by held_out() are not learned from. Rows pass through one by one: repeated rows and null keys stay;
     columns named lang_pred or score are replaced.
     """
-    return _told(docs, _learned(docs if learn_from is None else learn_from))
+    told, name = _told(docs, _learned(docs if learn_from is None else learn_from))
+    return told.withColumns({"lang_pred": F.col(f"{name}.lang"), "score": F.col(f"{name}.score")}).drop(name)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
@@ -205,6 +215,5 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     model = _learned(docs)
     if not model.langs:
         return docs.where(has_letter("text"))
-    told = _told(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model)
-    kept = told.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
+    told, name = _told(docs, model)
+    return told.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= least)).drop(name)

@@ -62,10 +62,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float, float, float]:
-    """(weights, bias, a, b) from labelled rows; a constant score where a class has no rows."""
-    usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "quality")
+    """(weights, bias, a, b) from labelled rows; a constant score where a class has no rows.
+
+    A label met twice counts once; of rows of docs that share a doc_id one text is learned from. At most SAMPLE sets of
+    features come to the driver.
+    """
+    usable = labels.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most SAMPLE ids
+    joined = joined.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
     rows = sorted((r[0], r[1], r[2]) for r in joined.select("doc_id", "quality", features(F.col("text"))).collect())
     y = np.array([r[1] for r in rows], int)
     if len(set(y)) < 2:

@@ -89,3 +89,59 @@ def test_quality_of_odd_rows_and_without_labels(spark):
     assert len(rows) == len(ODD) and all(0 <= r.s <= 1 for r in rows)
     assert len({r.score for r in quality.classify(docs, labels.limit(0)).collect()}) == 1
     assert quality.classify(table(spark, []), labels).count() == 0
+
+
+def test_predictions_by_hand_given_the_model(spark):
+    docs = given(spark)
+    model = language_id.fit(docs)
+    texts = [r.text for r in docs.orderBy("doc_id").limit(25).collect()] + [t for _, t in ODD]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", language_id.predictor(model)("text").alias("p")).collect()
+    family = {x: language_id._FAMILY.get(x, x) for x in model.langs}
+
+    def winner(group, members, margin):
+        votes, sums, least = ({m: 0.0 for m in members} for _ in range(3))
+        least = {m: 30.0 for m in members}
+        for (g, a, b), s in margin.items():
+            for k, v in ((a, s), (b, -s)) if g == group else ():
+                votes[k], sums[k], least[k] = votes[k] + (v > 0), sums[k] + v, min(least[k], v)
+        best = max(members, key=lambda m: (votes[m], sums[m]))
+        return best, 1 / (1 + np.exp(-2 * np.clip(least[best], -15, 15)))
+
+    for r in got:
+        raw = np.frombuffer((r.text or "").lower().encode(), np.uint8)
+        slots = [int(language_id._slots(raw[i : i + 3])[0]) for i in range(len(raw) - 2)]
+        margin = {pair: sum(model.weights[k][s] for s in slots) / max(len(slots), 1) * 20 + model.bias[k] for k, pair in enumerate(model.pairs)}
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.p["lang"], r.p["score"]) == ("und", 0.0)
+            continue
+        f, sure = winner("", sorted(set(family.values())), margin)
+        lang, own = winner(f, sorted(x for x in model.langs if family[x] == f), margin)
+        assert r.p["lang"] == lang and abs(r.p["score"] - sure * own) < 1e-6
+
+
+def test_clashing_columns_stay(spark):
+    docs = given(spark).limit(5).selectExpr("*", "1 AS score", "2 AS _score", "3 AS _lang", "'q' AS lang_pred")
+    assert language_id.keep_identified(docs).columns == docs.columns
+    assert language_id.identify(docs).first()._lang == 3
+
+
+def test_samples_are_bounded(spark):
+    rows = [(7, "wort " * 5000, "de", "s", 1)] * 5 + [(8, "word " * 5000, "en", "s", 1)]
+    found = language_id.sample(table(spark, rows))
+    assert [(x, len(p)) for x, p in found] == [("de", language_id.PIECES), ("en", language_id.PIECES)]
+
+
+def test_quality_scores_by_hand_given_the_model(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    docs = given(spark)
+    weights, bias, a, b = model = quality.fit(docs, labels)
+    some = docs.orderBy("doc_id").limit(30).withColumn("s", quality.scorer(model)(F.col("text"))).collect()
+    for r in some:
+        raw = (r.text or "").lower().encode()
+        grams = {raw[i : i + n] for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+        held = {int(f) for g in grams for f in quality._present(np.frombuffer(g, np.uint8))}
+        words = (r.text or "").lower().split()
+        share = np.mean([x == y for x, y in zip(words, words[1:], strict=False)]) if len(words) > 1 else 0.0
+        held |= {quality.SPACE + i for i, x in enumerate(quality.REPEATED) if share > x}
+        margin = sum(weights[f] for f in held) / max(len(held), 1) ** 0.5 + bias
+        assert abs(r.s - 1 / (1 + np.exp(-np.clip(a * margin + b, -30, 30)))) < 1e-9

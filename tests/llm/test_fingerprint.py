@@ -62,3 +62,26 @@ def test_sketch_estimates(spark):
     rows = rows.select(fp.fingerprint("x").alias("x"), fp.fingerprint("y").alias("y"))
     got = rows.select(fp.containment("x", "y").alias("c"), fp.containment("y", "x").alias("d"), (fp.merged("x", "y") == rows["y"]).alias("m")).first()
     assert got.c == 1.0 and abs(got.d - 0.25) < 0.05 and got.m
+
+
+def test_sketches_and_likeness_by_hand(spark):
+    from quirelake.llm.common import shingle_hashes
+
+    texts = ["a b c", "", "  ", " ".join(f"w{i % 37}" for i in range(400)), " ".join(f"v{i}" for i in range(90)), "one two three four five six seven"]
+    for text, sketch in zip(texts, fp.sketches(pa.array(texts)), strict=True):
+        words = hashed_words(pa.array([text]))[0]
+        windows = [words[i : i + 5] for i in range(len(words) - 4)]
+        all_ = {int(shingle_hashes(w, 5)[0]) >> 32 for w in windows} or {int(shingle_hashes(words, len(words))[0] ^ np.uint64(len(words))) >> 32 for _ in range(len(words) > 0)}
+        assert set(sketch.tolist()) == ({h for h in all_ if h < 2**32 // fp.SCALE} or set(sorted(all_)[:1]))
+    for r in fp.edit_report(given(spark)).collect():
+        own, other = set(fp.decoded(r.fingerprint).tolist()), set(fp.decoded(r.edited_fingerprint).tolist())
+        assert r.near_edited == (len(own & other) / len(own | other) if own | other else 1.0)
+
+
+def test_merged_sketches_are_those_of_the_union(spark):
+    few, many = "one two three four five", " ".join(f"w{i}" for i in range(300))
+    rows = spark.createDataFrame([(few, many), (many, few), (few, "six seven eight nine ten"), ("", many)], "x string, y string").select(fp.fingerprint("x").alias("x"), fp.fingerprint("y").alias("y"))
+    for r in rows.withColumns({"m": fp.merged("x", "y"), "c": fp.containment("x", "y")}).collect():
+        both = set(fp.decoded(r.x).tolist()) | set(fp.decoded(r.y).tolist())
+        assert set(fp.decoded(r.m).tolist()) == ({h for h in both if h < 2**32 // fp.SCALE} or {min(both)})
+        assert r.c is None or 0 <= r.c <= 1
