@@ -8,7 +8,8 @@ entry states to its exit states, here as the list of its finite cells; matrices
 associative scan, which fixes each chunk's states, and the chunks are then traced back independently.
 
 No piece holds `▁` after another character, so a word start needs no state: between two of them a chunk is encoded
-word by word, and words are remembered.
+word by word, and words are remembered. Those words, and texts below CHUNK characters, are encoded by the sentencepiece
+library itself; the scan adds what the library cannot do, a giant text over many tasks.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ SPAM_WORDS = ("spam", "pills", "casino", "viagra", "poker", "porn", "xxx", "malw
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [url_filter.place_rule(p, v) for p, v in PLACES] + [url_filter.word_rule(w, "block") for w in SPAM_WORDS]
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    judged = url_filter.filter_urls(pages, rules)
+    judged = url_filter.filter_urls(pages, url_filter.rule_table(spark, rules))
     placed = F.when(~F.col("rule").startswith("word:"), F.col("rule"))
     return judged.select("page_id", "host", "path", placed.alias("rule"), "verdict")
 

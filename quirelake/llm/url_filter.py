@@ -1,20 +1,25 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
-A rule is a regular expression over host and path, with the literal tokens that every match must hold. The tokens'
-frequencies are counted over all given URLs and each rule is filed under its rarest token. The tokens of a URL then
-fetch candidate rules from that index, and only those run their expressions. Everything is a Spark expression over
-one row at a time: no shuffle but the count of the rules' own tokens, whose result has at most one row a token.
+A rule is a row of a table: a regular expression over host and path, with the literal tokens that every match must
+hold. The tokens' frequencies are counted over all given hosts and paths and each rule is filed under its rarest token. The tokens
+of a URL then fetch candidate rules from that index by a join, and only those run their expressions. Everything is a
+Spark expression or join; the index is broadcast as long as the rules are few enough, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirelake.llm.common import settle, unused_name
+
+#: Rules whose index is broadcast, at most.
+BROADCAST = 200_000
+#: Columns of a table of rules.
+RULES = "name string, pattern string, tokens array<string>, verdict string, rank int"
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
 
 
@@ -57,53 +62,45 @@ def tokens_of(target: Column) -> Column:
     return F.array_distinct(F.filter(F.split(target, "[^A-Za-z0-9]+"), lambda t: t != ""))
 
 
-def token_counts(targets: DataFrame, rules: list[Rule]) -> dict[str, int]:
-    """In how many of all rows each token of the rules occurs; one row a token comes to the driver."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    known = F.array(*[F.lit(t) for t in wanted])
-    seen = targets.select(F.explode(F.array_intersect("tokens", known)).alias("token"))
-    return {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count("*").alias("n")).collect()}
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """Rules given in the program as a table; longer lists are read from files with the same columns."""
+    return spark.createDataFrame([(r.name, r.pattern, list(r.tokens), r.verdict, r.rank) for r in rules], RULES)
+
+
+def token_index(targets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(token, name, pattern, verdict, rank): each rule under that of its tokens which the fewest targets hold.
+
+    targets has a column tokens. A rule met twice is filed once.
+    """
+    wanted = rules.select(F.explode("tokens").alias("token")).distinct()
+    counts = targets.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    each = rules.distinct().select("name", "pattern", "verdict", "rank", F.explode("tokens").alias("token")).join(counts, "token", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("length"), "token"))
+    return settle(each.groupBy("name", "pattern", "verdict", "rank").agg(rarest.alias("r")).select("r.token", "name", "pattern", "verdict", "rank"))
 
 
-def _index(rules: list[Rule], counts: dict[str, int], size: int) -> Column:
-    """The index as one literal array of `size` slots (a power of two); a slot holds the rules filed under its tokens."""
-    slots: list[list[Column]] = [[] for _ in range(size)]
-    for r in sorted(rules, key=lambda r: r.rank):
-        token = min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t))
-        filed = F.struct(
-            F.lit(r.rank).alias("rank"), F.lit(token).alias("token"), F.lit(r.pattern).alias("pattern"),
-            F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"),
-        )
-        slots[zlib.crc32(token.encode()) & (size - 1)].append(filed)
-    kind = "array<struct<rank:int,token:string,pattern:string,name:string,verdict:string>>"
-    return F.array(*[(F.array(*s) if s else F.array()).cast(kind) for s in slots])
+def candidates(targets: DataFrame, index: DataFrame) -> DataFrame:
+    """(host, path, name, pattern, verdict, rank): the rules that the tokens of distinct targets (host, path, tokens) fetch."""
+    few = index.count() <= BROADCAST
+    asked = targets.select("host", "path", F.explode("tokens").alias("token"))
+    return asked.join(F.broadcast(index) if few else index, "token").drop("token")
 
 
-def filter_urls(urls: DataFrame, rules: list[Rule], default: str = "allow", url: str = "url") -> DataFrame:
-    """urls with host, path, tokens, rule (name, else null), verdict and n_tried (rules whose expression ran).
+def filter_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", url: str = "url") -> DataFrame:
+    """urls with host, path, rule (name, else null) and verdict: of the rules that fit the one with the largest rank,
+    then the largest name.
 
     A null URL, or one without `://`, has an empty host and path, meets no rule and gets the default verdict. Rows are
-    judged one by one, so repeated rows and rows with null keys pass through; columns of the same names are replaced.
+    judged one by one, so repeated rows and rows with null keys pass through; columns of the same names are replaced. A
+    rule without a literal token is refused.
     """
-    bad = [r.name for r in rules if not r.tokens]
-    if bad:
-        raise ValueError(f"rules without a literal token: {bad}")
+    if not rules.where("coalesce(size(tokens), 0) < 1").isEmpty():
+        raise ValueError("a rule has no literal token")
+    best = unused_name(urls, "_best")
     parts = urls.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    parts = parts.withColumn("tokens", tokens_of(F.concat("host", "path")))
-    if not rules:
-        return parts.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default), "n_tried": F.lit(0)})
-    size = 1 << max(4, len(rules).bit_length())
-    index = _index(rules, token_counts(parts.select("tokens"), rules), size)
-    fetched = F.flatten(
-        F.transform("tokens", lambda t: F.filter(F.get(index, F.crc32(t.cast("binary")).bitwiseAND(F.lit(size - 1)).cast("int")), lambda r: r["token"] == t))
-    )
-    return (
-        parts.withColumn("_fetched", fetched)
-        .withColumn("_best", F.array_max(F.filter("_fetched", lambda r: F.regexp_like(F.concat("host", "path"), r["pattern"]))))
-        .withColumns({
-            "rule": F.col("_best.name"),
-            "verdict": F.coalesce(F.col("_best.verdict"), F.lit(default)),
-            "n_tried": F.size("_fetched"),
-        })
-        .drop("_fetched", "_best")
-    )
+    targets = parts.select("host", "path").where("host <> ''").distinct().withColumn("tokens", tokens_of(F.concat("host", "path")))
+    fits = candidates(targets, token_index(targets, rules)).where(F.regexp_like(F.concat("host", "path"), F.col("pattern")))
+    told = fits.groupBy("host", "path").agg(F.max(F.struct("rank", "name", "verdict")).alias(best))
+    judged = parts.drop("rule", "verdict").join(told, ["host", "path"], "left")
+    out = judged.withColumns({"rule": F.col(f"{best}.name"), "verdict": F.coalesce(f"{best}.verdict", F.lit(default))}).drop(best)
+    return out.select(*[c for c in parts.columns if c.lower() not in ("rule", "verdict")], "rule", "verdict")

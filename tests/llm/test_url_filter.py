@@ -1,5 +1,8 @@
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from quirelake.llm import queries
 from quirelake.llm import url_filter as uf
 
@@ -35,15 +38,29 @@ def test_query_against_plain_python(spark, tmp_path):
     assert got == {i: judged(u) for i, u in enumerate(URLS)}
 
 
-def test_only_fetched_rules_run(spark):
-    rules = [uf.word_rule(f"word{i}", "block") for i in range(500)]
-    df = spark.createDataFrame([("http://word7.com/", 1), ("http://x.com", 2), ("http://word7.com/", 1)], "url string, host int")
+def test_only_fetched_rules_run(spark, monkeypatch):
+    rules = uf.rule_table(spark, [uf.word_rule(f"word{i}", "block") for i in range(5000)] + [uf.place_rule("com/a/", "allow")])
+    df = spark.createDataFrame([("http://word7.com/", 1), ("http://x.com/a/b", 2), ("http://word7.com/", 1), ("http://x.org", 3)], "url string, host int")
     rows = uf.filter_urls(df, rules).collect()
-    assert sorted((r.host, r.verdict, r.n_tried) for r in rows) == [("word7.com", "block", 1)] * 2 + [("x.com", "allow", 0)]
-    assert uf.filter_urls(df, []).where("verdict = 'allow'").count() == 3
+    assert sorted((r.host, r["verdict"], r.rule) for r in rows) == sorted([("word7.com", "block", "word:word7")] * 2 + [("x.com", "allow", "com/a/"), ("x.org", "allow", None)], key=str)
+    targets = df.select(uf.host_of(F.col("url")).alias("host"), uf.path_of(F.col("url")).alias("path")).distinct().withColumn("tokens", uf.tokens_of(F.concat("host", "path")))
+    index = uf.token_index(targets, rules)
+    assert index.count() == 5001 and index.where("name = 'com/a/'").first().token == "a"
+    assert sorted((r.host, r.name) for r in uf.candidates(targets, index).collect()) == [("word7.com", "word:word7"), ("x.com", "com/a/")]
+    monkeypatch.setattr(uf, "BROADCAST", 10)
+    assert sorted(map(str, uf.filter_urls(df, rules).collect())) == sorted(map(str, rows))
+    assert uf.filter_urls(df, uf.rule_table(spark, [])).where("verdict = 'allow'").count() == 4
     assert uf.filter_urls(df.limit(0), rules).count() == 0
 
 
+def test_clashing_columns_and_rules_without_a_token(spark):
+    df = spark.createDataFrame([("http://a.net/x", 1, 2, 3)], "url string, _best int, tokens int, rule int")
+    out = uf.filter_urls(df, uf.rule_table(spark, [uf.place_rule("net/", "block")]))
+    assert out.columns == ["url", "_best", "tokens", "host", "path", "rule", "verdict"] and out.first().tokens == 2
+    with pytest.raises(ValueError, match="token"):
+        uf.filter_urls(df, uf.rule_table(spark, [uf.Rule("r", ".", (), "block", 1)]))
+
+
 def test_no_python_on_the_main_path(spark):
     plan = queries.op2_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
