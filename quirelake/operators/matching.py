@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from quirelake.functions import urls
+from quirelake.operators.durable import settle
 
 
 def pick_per_number(files: DataFrame, batch: str = "batch_id") -> DataFrame:
@@ -126,30 +128,38 @@ def served_from_store(requests: DataFrame, hours: int = 24) -> DataFrame:
     """requests (key, ts, id) with saved_at: the time of the answer that serves them.
 
     A request within `hours` of the last saved answer of its key is a hit and does not renew it; any other is asked
-    anew and saved. An ordered fold over the requests of one key.
+    anew and saved. After a gap of more than `hours` the answer is always a new one, so the requests of a key are cut
+    at such gaps and only what lies between two of them is folded in order.
     """
-    def fold(pdf):
+    limit = hours * 3600
+    own = W.partitionBy("key").orderBy("ts", "id")
+    seconds = F.unix_micros("ts") / 1e6
+    gap = seconds - F.lag(seconds).over(own) > limit
+    runs = requests.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_run", F.sum("_new").over(own)).drop("_new")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "id"])
-        saved, out = None, []
-        for t in pdf["ts"]:
-            if saved is None or (t - saved).total_seconds() > hours * 3600:
-                saved = t
-            out.append(saved)
-        return pdf.assign(saved_at=out)
+        times = pdf["ts"].to_numpy("datetime64[us]")
+        saved, at = times.copy(), 0
+        while at < len(times):  # from one saved answer to the first request it does not serve
+            after = int(np.searchsorted(times, times[at] + np.timedelta64(limit, "s"), "right"))
+            saved[at:after] = times[at]
+            at = after
+        return pdf.drop(columns="_run").assign(saved_at=saved)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", saved_at timestamp"
-    return requests.groupBy("key").applyInPandas(fold, schema)
+    return runs.groupBy("key", "_run").applyInPandas(fold, schema)
 
 
 def latest_within(left: DataFrame, right: DataFrame, key: str, hours: int) -> DataFrame:
     """left (key, ts) with found: the latest ts of right (key, ts) at or before it within `hours`. Both sides are dealt
-    by key and time slice of that width, so that a hot key's rows spread; a slice meets itself and the one before."""
+    by key and time slice of that width, so that a hot key's rows spread; a slice meets itself and the one before. Equal
+    rows of left stay apart."""
     slice_ = F.floor(F.unix_timestamp("ts") / (hours * 3600))
-    own = left.withColumn("_slice", slice_)
-    near = right.select(key, F.col("ts").alias("_ts"), F.explode(F.array(slice_, slice_ + 1)).alias("_slice"))
+    own = settle(left.withColumns({"_slice": slice_, "_row": F.monotonically_increasing_id()}))
+    near = right.select(key, F.col("ts").alias("_ts"), F.explode(F.array(slice_, slice_ + 1)).alias("_slice")).distinct()
     met = own.join(near, [key, "_slice"], "left").withColumn("_ok", (F.col("_ts") <= F.col("ts")) & (F.col("_ts") >= F.col("ts") - F.make_dt_interval(hours=F.lit(hours))))
-    columns = [c for c in left.columns]
-    return met.groupBy(*columns).agg(F.max(F.when(F.col("_ok"), F.col("_ts"))).alias("found"))
+    return met.groupBy("_row", *left.columns).agg(F.max(F.when(F.col("_ok"), F.col("_ts"))).alias("found")).drop("_row")
 
 
 @F.arrow_udf(T.DoubleType())
@@ -162,12 +172,17 @@ def replacements(retired: DataFrame, catalogue: DataFrame, least: float = 0.88)
     """(id, slug, other_id, score): the best catalogue row (other_id, other_slug) for each retired one (id, slug).
 
     Score: 1 for an equal slug, else 0.7 * sequence ratio + 0.3 * share of the slug's words that the other has; rows of
-    the same id are no match, and less than `least` is none. Only pairs with a common word can reach it and meet.
+    the same id are no match, and less than `least` is none. A pair can reach it only with a share of (least - 0.7) / 0.3
+    of the slug's words, so all but that many less one of them, the rarest in the catalogue, propose pairs.
     """
     words = lambda c: F.array_distinct(F.split(c, "-"))
-    left = retired.select("id", "slug", F.explode(words(F.col("slug"))).alias("word"))
-    right = catalogue.select("other_id", "other_slug", F.explode(words(F.col("other_slug"))).alias("word"))
-    pairs = left.join(right, "word").where("id <> other_id AND word <> ''").select("id", "slug", "other_id", "other_slug").distinct()
+    right = catalogue.select("other_id", "other_slug", F.explode(words(F.col("other_slug"))).alias("word")).where("word <> ''")
+    often = right.groupBy("word").agg(F.count("*").alias("_often"))
+    left = retired.select("id", "slug", F.size(words(F.col("slug"))).alias("_n"), F.explode(words(F.col("slug"))).alias("word")).join(often, "word")
+    need = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(max(least - 0.7, 0) / 0.3) - 1e-9))
+    place = F.row_number().over(W.partitionBy("id", "slug").orderBy("_often", "word"))
+    left = left.withColumn("_place", place).where(F.col("_place") <= F.col("_n") - need + 1).select("id", "slug", "word")
+    pairs = left.join(right, "word").where("id <> other_id").select("id", "slug", "other_id", "other_slug").distinct()
     share = F.size(F.array_intersect(words(F.col("slug")), words(F.col("other_slug")))) / F.size(words(F.col("slug")))
     # a ratio cannot exceed twice the shorter length over both lengths: pairs that cannot reach the mark go unscored
     most = 0.7 * 2 * F.least(F.length("slug"), F.length("other_slug")) / (F.length("slug") + F.length("other_slug")) + 0.3 * share
@@ -184,29 +199,31 @@ def title_covers(titles: DataFrame, covers: DataFrame, key: str) -> DataFrame:
     if n > 10_000:
         raise ValueError("too many covers for one batch")
     if n == 1:
-        return titles.join(F.broadcast(covers.select("cover"))).select(key, "cover")
+        return titles.select(key, F.lit(covers.first()["cover"]).alias("cover"))
     word = F.lower(F.element_at(F.split(F.trim("title"), r"\s+"), -1))
     hits = titles.withColumn("_w", word).join(F.broadcast(covers), F.expr("_w <> '' AND contains(lower(cover), _w)"))
     return hits.groupBy(key).agg(F.min_by("cover", "pos").alias("cover"))
 
 
-def lineage(jobs: DataFrame, labels: dict[str, str], most: int = 90) -> DataFrame:
-    """(start, depth, job_id, label): the chain from each job through its parents, the job itself at depth 0. It ends
-    at a job that is missing or not completed, at a cycle, and after `most` steps."""
-    spark = jobs.sparkSession
-    jobs.select("job_id", "parent_id", "job_type", "status").createOrReplaceTempView("lineage_jobs")
-    chain = spark.sql(f"""
-        WITH RECURSIVE walk (start, depth, job_id, parent_id, job_type, seen) AS (
-          SELECT job_id, 0, job_id, parent_id, job_type, array(job_id) FROM lineage_jobs WHERE status = 'completed'
-          UNION ALL
-          SELECT w.start, w.depth + 1, j.job_id, j.parent_id, j.job_type, array_append(w.seen, j.job_id)
-          FROM walk w JOIN lineage_jobs j ON j.job_id = w.parent_id
-          WHERE j.status = 'completed' AND NOT array_contains(w.seen, j.job_id) AND w.depth < {most}
-        ) SELECT start, depth, job_id, job_type FROM walk""")
-    text: Column = F.col("job_type")
-    for kind, label in labels.items():
-        text = F.when(F.col("job_type") == kind, label).otherwise(text)
-    return chain.select("start", "depth", "job_id", text.alias("label"))
+def lineage(jobs: DataFrame, label: Column | None = None) -> DataFrame:
+    """(start, depth, job_id, label): the chain from each completed job (job_id, parent_id, job_type, status) through
+    its parents, the job itself at depth 0. It ends before a job that is missing, not completed or already in the chain.
+
+    Chains of any length double with each join: a table of jumps holds for each job the one 2 ** k parents up, and rows
+    up to depth 2 ** k give those up to twice that. Only where jumps never end, on cycles, chains are held against themselves.
+    """
+    done = settle(jobs.where("status = 'completed'").select("job_id", "parent_id", (F.col("job_type") if label is None else label).alias("label")))
+    ids = done.select("job_id").distinct()
+    jump = settle(done.join(ids.withColumnRenamed("job_id", "parent_id"), "parent_id", "left_semi").select("job_id", F.col("parent_id").alias("up")).distinct())
+    rows, reach, n = ids.select(F.col("job_id").alias("start"), F.lit(0).alias("depth"), "job_id"), 1, ids.count()
+    while not jump.isEmpty():
+        further = rows.join(jump, "job_id").select("start", (F.col("depth") + reach).alias("depth"), F.col("up").alias("job_id"))
+        rows = settle(rows.unionByName(further).groupBy("start", "job_id").agg(F.min("depth").alias("depth")))
+        if reach > n:  # longer than any chain without a repeat: all jumps left run round cycles, whose jobs are all met
+            break
+        ahead = jump.select(F.col("job_id").alias("up"), F.col("up").alias("_up"))
+        jump, reach = settle(jump.join(ahead, "up").select("job_id", F.col("_up").alias("up"))), 2 * reach
+    return rows.join(done.select("job_id", "label"), "job_id").select("start", "depth", "job_id", "label")
 
 
 def number_links(links: DataFrame, most: int = 100) -> DataFrame:

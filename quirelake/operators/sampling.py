@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +48,24 @@ def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     return dealt.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).drop("_part", "_own", "_before")
 
 
+class _Free:
+    """Places that are still free, in order; the nearest one is found by bisection."""
+
+    def __init__(self, n: int):
+        self.places = list(range(n))
+
+    def take(self, place: int) -> None:
+        at = bisect_left(self.places, place)
+        if at < len(self.places) and self.places[at] == place:
+            del self.places[at]
+
+    def nearest(self, place: int) -> int | None:
+        """The nearest place, of two equally near ones the earlier."""
+        at = bisect_left(self.places, place)
+        around = self.places[max(at - 1, 0) : at + 1]
+        return min(around, key=lambda x: abs(x - place)) if around else None
+
+
 def half_coverage(plans: DataFrame) -> DataFrame:
     """About half of each chapter's plans, spread and preferring unused queries: for each of ceil(n/2) evenly spaced
     slots the free plan with an unused query first, then nearest to the slot, then first. Sequential in a chapter, and
@@ -56,14 +73,21 @@ def half_coverage(plans: DataFrame) -> DataFrame:
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("para_index").reset_index(drop=True)
-        n, chosen, used = len(pdf), [], set()
-        slots = math.ceil(n / 2)
-        for slot in range(slots):
-            middle = min(n - 1, int((slot + 0.5) * n / slots))
-            best = min((j for j in range(n) if j not in chosen), key=lambda j: (pdf["query"][j] in used, abs(j - middle), j))
-            chosen.append(best)
-            used.add(pdf["query"][best])
-        return pdf.loc[sorted(chosen)]
+        n = len(pdf)
+        half = (n + 1) // 2
+        free, fresh = _Free(n), _Free(n)
+        same = pdf.groupby("query", dropna=False).indices
+        for k in range(half):
+            slot = min(n - 1, (2 * k + 1) * n // (2 * half))
+            place = fresh.nearest(slot)
+            if place is None:
+                place = free.nearest(slot)
+            else:
+                fresh.take(place)
+                for other in same.get(pdf["query"][place], ()):  # each query leaves `fresh` once
+                    fresh.take(int(other))
+            free.take(place)
+        return pdf.drop(index=free.places)
 
     return plans.groupBy("chapter").applyInPandas(pick, plans.schema)
 
@@ -88,16 +112,25 @@ def unique_names(files: DataFrame, batch: str, order: str, name: str = "filename
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        used, out = set(), []
+        taken: set[str] = set()
+        tried: dict[str, int] = {}  # the last suffix known to be taken, for each name that came again
+
+        def free(full: str) -> str:
+            if full.lower() not in taken:
+                return full
+            cut = full.rfind("/") + 1
+            dot = full.rfind(".", cut + 1)
+            dot = dot if cut < dot < len(full) - 1 else len(full)
+            k = tried.get(full.lower(), 1) + 1
+            while f"{full[:dot]}_{k}{full[dot:]}".lower() in taken:
+                k += 1
+            tried[full.lower()] = k
+            return f"{full[:dot]}_{k}{full[dot:]}"
+
+        out = []
         for full in pdf[name]:
-            folder, slash, base = full.rpartition("/")
-            stem, dot, ext = base.rpartition(".")
-            stem, ext = (stem, dot + ext) if stem and ext else (base, "")
-            candidate, k = full, 2
-            while candidate.lower() in used:
-                candidate, k = f"{folder}{slash}{stem}_{k}{ext}", k + 1
-            used.add(candidate.lower())
-            out.append(candidate)
+            out.append(free(full))
+            taken.add(out[-1].lower())
         return pdf.assign(unique_name=out)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema) + ", unique_name string"

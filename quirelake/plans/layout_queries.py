@@ -173,10 +173,10 @@ def _(spark, d):
     return sampling.overviews(layout.overview_rows(views.paragraphs(spark, d)))
 
 
-@query("win_16_round_robin", views.sql("select chapter, para_index, (row_number() over (order by nth, chapter))::bigint as place from (select *, row_number() over (partition by chapter order by para_index) as nth from plan) where nth = 1", "plan"))
+@query("win_16_round_robin", views.sql("select chapter, para_index, (row_number() over (order by nth, chapter))::bigint as place from (select *, row_number() over (partition by chapter order by para_index) as nth from plan)", "plan"))
 def _(spark, d):
-    turns = sampling.round_robin(views.plans(spark, d), "chapter", "para_index").where("turn = 1")
-    return sampling.numbered(turns, ["chapter"], "place").select("chapter", "para_index", "place")
+    turns = sampling.round_robin(views.plans(spark, d), "chapter", "para_index")
+    return sampling.numbered(turns, ["turn", "chapter"], "place").select("chapter", "para_index", "place")
 
 
 @query("win_22_page_remainder", views.sql("""
@@ -222,17 +222,26 @@ def _(spark, d):
     return rows.groupBy("style", "new_style").agg(F.count("*").alias("n"))
 
 
-@query("fn_04_heading_level", views.sql("""
-select doc_id, para_index, case when is_heading and level = 1 then 1 when is_heading and level = 2 then 2
-  when bold >= 0.6 and length(t) <= 130 and n then 1 end as heading_level
-from (select *, para_index % 2 = 0 as n, case when para_index % 2 = 0 then '4.1 ' || text else text end as t, ((doc_id + para_index) % 10) / 10.0 as bold from par where trim(text) <> '')""", "par"))
+# styles by the fixture's own ids: (style_id, name, outline, base)
+_STYLES = [
+    ("S1", "heading 1", None, None), ("S2", "Lead", None, "S3"), ("S3", "My Heading 2", None, None), ("S4", "Part", 2, None), ("S5", "TOC Heading 1", None, "S1"), ("S6", "Ring", None, "S7"), ("S7", "Rong", None, "S6"),
+]
+_STYLED = "case when has_picture then 'S5' when is_heading and level = 1 then 'S1' when is_heading and level = 2 then 'S2' when is_heading and has_break then 'S4' when has_break then 'S6' end"
+_BOLD_TEXT = "case para_index % 6 when 0 then '2.3 ' when 1 then '2.3.4  ' when 2 then 'Unit 04: ' when 3 then '2 ' when 4 then 'MODULE 2 - ' else '' end"
+
+
+@query("fn_04_heading_level", views.sql(rf"""
+with s as (select *, {_STYLED} as style, {_BOLD_TEXT} || text as t, ((doc_id + para_index) % 10) / 10.0 as bold, case when para_index % 11 = 0 then 4 when para_index % 13 = 0 then 9 end as outline from par where trim(text) <> ''),
+c as (select *, trim(regexp_replace(t, '\s+', ' ', 'g')) as u from s), m as (select *, regexp_extract(u, '(?i)^(?:(\d{{1,2}})\.\d{{1,2}}(?:\.\d{{1,2}})?\s+|(?:module|unit|chapter)\s*0?\d{{1,3}}\s*[:.\-]\s+)') as h from c)
+select doc_id, para_index, (case when style = 'S5' then null when style = 'S1' then 1 when style = 'S2' then 2 when style = 'S4' then 3 when outline = 4 then 5
+  when h = '' or length(u) > 130 or bold < 0.6 then null when regexp_matches(h, '^\d') then least(6, 1 + length(h) - length(replace(h, '.', ''))) else 1 end)::int as heading_level from m""", "par"))
 def _(spark, d):
-    par = views.paragraphs(spark, d).where("trim(text) <> ''")
-    text = F.when(F.col("para_index") % 2 == 0, F.concat(F.lit("4.1 "), F.col("text"))).otherwise(F.col("text"))
-    style = F.when(F.col("is_heading") & (F.col("level") == 1), "heading 1")
-    outline = F.when(F.col("is_heading") & (F.col("level") == 2), 1)
-    bold = (F.col("doc_id") + F.col("para_index")) % 10 / 10
-    return par.select("doc_id", "para_index", filters.heading_level(style, outline, text, bold).alias("heading_level"))
+    par = views.paragraphs(spark, d).where("trim(text) <> ''").withColumn("style_id", F.expr(_STYLED))
+    styles = filters.style_levels(spark.createDataFrame(_STYLES, "style_id string, name string, outline int, base string"), [])
+    rows = par.join(F.broadcast(styles), "style_id", "left")  # a document's few styles
+    bold, outline = (F.col("doc_id") + F.col("para_index")) % 10 / 10, F.expr("CASE WHEN para_index % 11 = 0 THEN 4 WHEN para_index % 13 = 0 THEN 9 END")
+    text = F.concat(F.expr(_BOLD_TEXT), "text")
+    return rows.select("doc_id", "para_index", filters.heading_level(F.col("contents"), F.col("style_level"), outline, text, bold).cast("int").alias("heading_level"))
 
 
 @query("fn_11_tokens", views.sql(f"select doc_id, para_index, array_to_string({views.tokens_sql('text')}, ' ') as tokens from par where is_heading", "par"))

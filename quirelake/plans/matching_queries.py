@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quirelake.functions import rules, urls
+from quirelake.functions import jobs, rules, urls
 from quirelake.functions import text as tx
 from quirelake.operators import aggregates, filters, matching, ranking, sampling
 from quirelake.plans import views
@@ -95,9 +95,9 @@ def _(spark, d):
     return views.links(spark, d).select("page_id", "link_pos", tx.link_text(F.concat(F.lit("​"), "label", F.lit("­  x"))).alias("clean"))
 
 
-@query("fn_18_search_links", views.sql(r"select chapter, para_index, 'https://www.freepik.com/search?query=' || replace(url_encode(query), '%20', '+') as freepik, 'https://www.pexels.com/search/' || url_encode(query) || '/' as pexels from plan where not contains(query, '''')", "plan"))
+@query("fn_18_search_links", views.sql(r"select chapter, para_index, 'https://www.freepik.com/search?query=' || replace(e, '%20', '+') as freepik, 'https://www.pexels.com/search/' || e || '/' as pexels, 'https://stocksnap.io/search/' || replace(e, '%20', '+') as stocksnap, 'https://pixabay.com/images/search/' || e || '/' as pixabay from (select *, replace(url_encode(query), '''', '%27') as e from plan)", "plan"))
 def _(spark, d):
-    return views.plans(spark, d).where("NOT contains(query, \"'\")").withColumn("s", urls.search_links(F.col("query"))).select("chapter", "para_index", "s.freepik", "s.pexels")
+    return views.plans(spark, d).withColumn("s", urls.search_links(F.col("query"))).select("chapter", "para_index", "s.*")
 
 
 @query("fn_05_placeholder_number", views.sql(r"select page_id, link_pos, case when page_id % 3 <> 2 and number is not null then number::bigint end as placeholder from link", "link"))
@@ -194,9 +194,9 @@ def _(spark, d):
     return views.files(spark, d).withColumn("place", F.row_number().over(order).cast("long")).select("batch_id", "file_id", "place")
 
 
-@query("flt_07_size_bounds", views.sql("select file_id, width >= 450 and height >= 300 and width * height <= 65000000 as usable, case when width / 10.0 between 36 and 600 then width / 10.0 else 96 end::double as dpi from files", "files"))
+@query("flt_07_size_bounds", views.sql("select file_id, width >= 450 and height >= 300 and width * height <= 65000000 as usable, width::bigint * height * 10 <= 50000000 and bytes between 1 and 25000000 as safe, case when width / 10.0 between 36 and 600 then width / 10.0 else 96 end::double as dpi from files", "files"))
 def _(spark, d):
-    return views.files(spark, d).select("file_id", filters.size_bounds(F.col("width"), F.col("height")).alias("usable"), filters.plausible_dpi(F.col("width") / 10).alias("dpi"))
+    return views.files(spark, d).select("file_id", filters.size_bounds(F.col("width"), F.col("height")).alias("usable"), filters.safe_to_open(F.col("width") * 10, F.col("height"), F.col("bytes")).alias("safe"), filters.plausible_dpi(F.col("width") / 10).alias("dpi"))
 
 
 @query("fn_06_filename_number", views.sql("select file_id, case when file_id % 3 in (0, 1) then number::bigint end as n from files", "files"))
@@ -209,10 +209,10 @@ def _(spark, d):
     return views.files(spark, d).select("file_id", tx.safe_name(F.concat(F.lit("../é "), "filename", F.lit(" ."))).alias("safe"), tx.friendly_title(F.col("filename")).alias("title"))
 
 
-@query("fn_20_chapter_number", views.sql("select file_id, case file_id % 3 when 0 then number::varchar when 1 then 'x' || '' else lpad((file_id % 120)::varchar, greatest(2, length((file_id % 120)::varchar))::int, '0') end as chapter_no from files where file_id % 3 <> 1", "files"))
+@query("fn_20_chapter_number", views.sql(r"""select file_id, coalesce(nullif(regexp_extract(s, '(?i)(?:chapter|unit|module)\s*(\d+[a-zA-Z]?)\b', 1), ''), nullif(regexp_extract(s, '(?i)^(\d+[a-zA-Z]?)\b', 1), ''), lpad(i::varchar, greatest(2, length(i::varchar))::int, '0')) as chapter_no
+from (select file_id, file_id % 120 as i, regexp_extract(filename, '^(.+)\.[^.]+$', 1) as s from files)""", "files"))
 def _(spark, d):
-    rows = views.files(spark, d).where("file_id % 3 <> 1")
-    return rows.select("file_id", tx.chapter_number(F.col("filename"), F.col("file_id") % 120).alias("chapter_no"))
+    return views.files(spark, d).select("file_id", tx.chapter_number(F.col("filename"), F.col("file_id") % 120).alias("chapter_no"))
 
 
 _PATHS = "case file_id % 8 when 0 then '../' when 1 then '/abs/' when 2 then 'C:/x/' when 3 then '__MACOSX/' when 4 then 'a\\b\\' when 5 then 'dir/.' else 'dir/' end || filename"
@@ -277,22 +277,22 @@ def _(spark, d):
 # subjects
 
 TEST_RULES = [("tion", "thth|tion"), ("eau", "eau|ment"), ("sch", "sch|ung")]
-_FIRST = "select doc_id, split_part(text, chr(10), 1) as line from documents"
+_WHOLE = "select doc_id, coalesce(text, '') as line from documents"
 
 
-def _first_lines(spark, d):
-    return views.read(spark, d, "documents").select("doc_id", F.split("text", "\n", 2)[0].alias("line"))
+def _whole_texts(spark, d):
+    return views.read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("line"))
 
 
-@query("jn_09_first_rule_match", f"select doc_id, case when regexp_matches(line, 'thth|tion') then 'tion' when regexp_matches(line, 'eau|ment') then 'eau' when regexp_matches(line, 'sch|ung') then 'sch' end as rule from ({_FIRST})")
+@query("jn_09_first_rule_match", f"select doc_id, case when regexp_matches(line, 'thth|tion') then 'tion' when regexp_matches(line, 'eau|ment') then 'eau' when regexp_matches(line, 'sch|ung') then 'sch' end as rule from ({_WHOLE})")
 def _(spark, d):
-    return matching.first_rule(_first_lines(spark, d), TEST_RULES, "line").select("doc_id", "rule")
+    return matching.first_rule(_whole_texts(spark, d), TEST_RULES, "line").select("doc_id", "rule")
 
 
-@query("jn_09_rule_table", f"select doc_id, value from (select doc_id, case when regexp_matches(line, 'thth|tion') then 'tion' when regexp_matches(line, 'eau|ment') then 'eau' when regexp_matches(line, 'sch|ung') then 'sch' end as value from ({_FIRST})) where value is not null")
+@query("jn_09_rule_table", f"select doc_id, value from (select doc_id, case when regexp_matches(line, 'thth|tion') then 'tion' when regexp_matches(line, 'eau|ment') then 'eau' when regexp_matches(line, 'sch|ung') then 'sch' end as value from ({_WHOLE})) where value is not null")
 def _(spark, d):
     table = spark.createDataFrame([(i, p, v) for i, (v, p) in enumerate(TEST_RULES)], "rule_order int, pattern string, value string")
-    return matching.first_rule_of_table(_first_lines(spark, d), table, "doc_id", "line")
+    return matching.first_rule_of_table(_whole_texts(spark, d), table, "doc_id", "line")
 
 
 _DOMAIN = "case when regexp_matches({0}, 'thth|tion') then 'tion' when regexp_matches({0}, 'eau|ment') then 'eau' when regexp_matches({0}, 'sch|ung') then 'sch' end"
@@ -492,8 +492,7 @@ def _(spark, d):
 @query("jn_11_stale_plan_check", views.sql("select chapter, bool_and(para_index % 9 <> 0) as valid, count(*) filter (para_index % 9 = 0) as n_stale from plan group by 1", "plan"))
 def _(spark, d):
     plans = views.plans(spark, d).withColumn("heading", F.when(F.col("para_index") % 9 == 0, F.concat("heading", F.lit(" changed"))).otherwise(F.col("heading")))
-    par = views.paragraphs(spark, d).withColumn("text", F.left("text", F.lit(160)))
-    return matching.stale_plans(plans, par)
+    return matching.stale_plans(plans, views.paragraphs(spark, d))
 
 
 @query("jn_13_fuzzy_replacement")
@@ -575,19 +574,44 @@ def _(spark, d):
     return sinks.csv_section(_progress(spark, d).select("chapter", label.alias("label"), "planned", "found"))
 
 
-@query("snk_02_validation_report", views.sql(f"""with {_PICK},
-s as (select coalesce(w.doc_id, p.batch_id) as doc_id, coalesce(w.number, p.number) as number, p.number is null as missing from (select distinct doc_id, number from wanted) w full join pick p on p.batch_id = w.doc_id and p.number = w.number where w.number is null or p.number is null)
-select doc_id, coalesce('Missing:' || chr(10) || string_agg(case when missing then '  ' || number end, chr(10) order by number) || chr(10), '') || coalesce('Unused:' || chr(10) || string_agg(case when not missing then '  ' || number end, chr(10) order by number) || chr(10), '')
-  || case when bool_or(missing) then 'Status: INCOMPLETE' else 'Status: OK' end as report from s group by 1""", "wanted", "files"))
-def _(spark, d):
-    return sinks.validation_report(matching.missing_and_unused(views.wanted(spark, d), _chosen(spark, d)))
+@query("snk_02_validation_report", views.sql(rf"""with {_PICK},
+docs as (select distinct doc_id from (select doc_id from wanted union all select batch_id from files)),
+good as (select f.*, p.file_id is not null as chosen from files f left join pick p using (file_id) where f.filename not like '%.txt'),
+places as (select w.doc_id, w.number, p.filename from wanted w left join pick p on p.batch_id = w.doc_id and p.number = w.number),
+gone as (select doc_id, number, count(*) as n from places where filename is null group by 1, 2),
+idle as (select distinct g.batch_id as doc_id, g.filename from good g where not exists (select 1 from places p where p.doc_id = g.batch_id and p.filename = g.filename)),
+often as (select doc_id, number, count(*) as n from places group by 1, 2 having count(*) > 1),
+same as (select batch_id as doc_id, number, max(filename) filter (chosen) as pick from good group by 1, 2 having count(*) > 1),
+bad as (select batch_id as doc_id, filename from files where filename like '%.txt'),
+e as (
+  select doc_id, 0 as s, 'Missing Images' || chr(10) || string_agg('Image ' || number, chr(10) order by number) || case when sum(n) > count(*) then chr(10) || 'Missing placeholder occurrences: ' || sum(n) else '' end as x from gone group by 1
+  union all select doc_id, 1, 'Unused Images' || chr(10) || string_agg(filename, chr(10) order by lower(filename), filename) from idle group by 1
+  union all select doc_id, 2, 'Duplicate Placeholders' || chr(10) || string_agg('Image ' || number || ': ' || n || ' occurrences', chr(10) order by number) from often group by 1
+  union all select doc_id, 3, 'Duplicate Image Numbers' || chr(10) || string_agg(x, chr(10) order by number) from (
+    select m.doc_id, m.number, 'Image ' || m.number || ': selected ' || m.pick || coalesce(chr(10) || string_agg('  Ignored duplicate: ' || g.filename, chr(10) order by lower(g.filename), g.filename) filter (g.filename <> m.pick), '') as x
+    from same m join good g on g.batch_id = m.doc_id and g.number = m.number group by m.doc_id, m.number, m.pick) group by 1
+  union all select doc_id, 4, 'Corrupted Images' || chr(10) || string_agg(filename || ': not an image', chr(10) order by filename) from bad where contains(filename, '_') group by 1
+  union all select doc_id, 5, 'Unsupported or Invalidly Named Files' || chr(10) || string_agg(filename, chr(10) order by filename) from bad where not contains(filename, '_') group by 1),
+b as (select doc_id, string_agg(chr(10) || chr(10) || x, '' order by s) as body from e group by 1)
+select d.doc_id, 'Document Formatting Complete' || chr(10) || chr(10) || 'Image insertion positions found: ' || (select count(*) from places p where p.doc_id = d.doc_id) || chr(10) || 'Images inserted: ' || (select count(filename) from places p where p.doc_id = d.doc_id)
+  || chr(10) || 'Missing images: ' || (select count(*) from gone g where g.doc_id = d.doc_id) || chr(10) || 'Unused uploaded images: ' || (select count(*) from idle i where i.doc_id = d.doc_id)
+  || coalesce(body, '') || chr(10) || chr(10) || case when body is null then 'Formatting successful.' else 'Formatting completed with warnings.' end as report from docs d left join b using (doc_id)""", "wanted", "files"))
+def _(spark, d):
+    files, chosen = views.files(spark, d), _chosen(spark, d)
+    places = matching.placements(views.wanted(spark, d), chosen)
+    good = files.where("filename NOT LIKE '%.txt'").join(chosen.select("file_id", F.lit(True).alias("chosen")), "file_id", "left")
+    good = good.select(F.col("batch_id").alias("doc_id"), "number", "filename", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    kind = F.when(F.contains("filename", F.lit("_")), "corrupted").otherwise("unsupported")
+    bad = files.where("filename LIKE '%.txt'").select(F.col("batch_id").alias("doc_id"), kind.alias("kind"), F.col("filename").alias("name"), F.lit("not an image").alias("reason"))
+    docs = places.select("doc_id").unionByName(files.select(F.col("batch_id").alias("doc_id")))
+    return sinks.validation_report(docs, places, good, bad)
 
 
 @query("snk_03_library_upsert", views.sql("""
-with e as (select sha256('["' || query || '","' || (chapter % 5) || '","landscape"]') as key, query, chapter, para_index, chapter * 1000 + para_index as saved from plan where chapter % 3 <> 2 and not contains(query, ''''))
+with e as (select sha256('["' || query || '","' || (chapter % 5) || '","landscape"]') as key, query, chapter, para_index, chapter * 1000 + para_index as saved from plan where chapter % 3 <> 2)
 select key, max_by(chapter, saved) as chapter, max_by(para_index, saved) as para_index from e group by 1""", "plan"))
 def _(spark, d):
-    rows = views.plans(spark, d).where("NOT contains(query, \"'\")").selectExpr(
+    rows = views.plans(spark, d).selectExpr(
         "concat(' ', upper(query)) AS query", "cast(chapter % 5 AS string) AS subject", "'Landscape' AS orientation", "CASE chapter % 3 WHEN 0 THEN 'pexels' WHEN 1 THEN 'pixabay' ELSE 'other' END AS source", "chapter", "para_index", "chapter * 1000 + para_index AS saved"
     )
     return sinks.library(rows, ["pexels", "pixabay", "openverse"], "saved").select("key", "chapter", "para_index")
@@ -614,25 +638,39 @@ def _(spark, d):
     return views.jobs(spark, d).groupBy("job_type", "status").agg(F.count("*").alias("n"), F.min(took).alias("least_s"), F.max(took).alias("most_s"))
 
 
-JOB_LABELS = {"click": "Clicked", "view": "Viewed"}
+_TYPES = "case job_type when 'click' then 'simple_edit' when 'view' then 'text_edit' when 'purchase' then 'toc_update' else 'format' end"
+_ACTIONS = "case job_id % 4 when 0 then 'bullets' when 1 then 'blank_line_after' when 2 then 'unknown' else '' end"
+_LABELLED = f"""case {_TYPES} when 'simple_edit' then case job_id % 4 when 0 then 'Edit → Bullets' when 1 then 'Edit + Blank line below' else 'Formatting edit' end
+  when 'text_edit' then 'Text edit' when 'toc_update' then 'TOC update' else 'Initial format' end"""
+
+
+def _detailed(spark, d):
+    """Jobs with a type that has a label, and their action and source in JSON details, under another key for each type."""
+    rows = views.jobs(spark, d).selectExpr("job_id", "status", "parent_id AS before", f"{_TYPES} AS job_type", f"{_ACTIONS} AS action")
+    own = F.format_string('{"%s":{"source_job_id":"%s","action":"%s"},"source_format_job_id":""}', "job_type", F.coalesce(F.col("before").cast("string"), F.lit("")), "action")
+    formatted = F.format_string('{"simple_edit":{"action":"bullets"},"source_format_job_id":"%s"}', F.coalesce(F.col("before").cast("string"), F.lit("")))
+    rows = rows.withColumn("details", F.when(F.col("job_type") == "format", formatted).otherwise(own))
+    return rows.select("job_id", "status", "job_type", "details", jobs.source_job(F.col("details")).cast("long").alias("parent_id"))
 
 
-@query("jn_16_job_lineage", views.sql("""
+@query("jn_16_job_lineage", views.sql(f"""
 with walk as (select job_id as start, 0 as depth, job_id, parent_id, job_type from jobs where status = 'completed'
   union all select w.start, w.depth + 1, j.job_id, j.parent_id, j.job_type from walk w join jobs j on j.job_id = w.parent_id where j.status = 'completed')
-select start, depth, job_id, case job_type when 'click' then 'Clicked' when 'view' then 'Viewed' else job_type end as label from walk""", "jobs", recursive=True))
+select start, depth, job_id, {_LABELLED} as label from walk""", "jobs", recursive=True))
 def _(spark, d):
-    return matching.lineage(views.jobs(spark, d), JOB_LABELS)
+    return matching.lineage(_detailed(spark, d), jobs.job_label(F.col("job_type"), F.col("details")))
 
 
-@query("fn_23_label_of_job", views.sql("select job_type, case job_type when 'click' then 'Clicked' when 'view' then 'Viewed' else job_type end as label, count(*) as n from jobs group by 1, 2", "jobs"))
+@query("fn_23_label_of_job", views.sql(f"select {_TYPES} as job_type, {_LABELLED} as label, count(*) as n from jobs group by 1, 2", "jobs"))
 def _(spark, d):
-    table = spark.createDataFrame(list(JOB_LABELS.items()), "job_type string, label string")
-    rows = views.jobs(spark, d).join(F.broadcast(table), "job_type", "left")
-    return rows.groupBy("job_type", F.coalesce("label", "job_type").alias("label")).agg(F.count("*").alias("n"))
+    rows = _detailed(spark, d).withColumn("label", jobs.job_label(F.col("job_type"), F.col("details")))
+    return rows.groupBy("job_type", "label").agg(F.count("*").alias("n"))
 
 
-@query("jn_12_ttl_asof")
+@query("jn_12_ttl_asof", """
+with recursive r as (select user_id % 50 as key, ts, event_id as id from events), s as (
+  select key, min(ts) as saved from r group by 1 union all select s.key, min(r.ts) from s join r on r.key = s.key and r.ts > s.saved + interval 24 hours group by s.key, s.saved)
+select r.key, r.ts, r.id, (select max(saved) from s where s.key = r.key and s.saved <= r.ts) as saved_at from r""")
 def _(spark, d):
     requests = views.read(spark, d, "events").select(F.expr("user_id % 50").alias("key"), "ts", F.col("event_id").alias("id"))
     return matching.served_from_store(requests)
@@ -646,20 +684,37 @@ def _(spark, d):
     return matching.latest_within(rows.where("event_type <> 'click'").drop("event_type"), rows.where("event_type = 'click'").select("key", "ts"), "key", 24).select("key", "id", "found")
 
 
-@query("src_07_harvest_json_urls", "select event_id, 'https://e.example.org/' || event_id as url, '/0000/0000/0001' as path from events where event_id % 3 = 0 union all select event_id, 'http://s.example.org/' || event_id % 7, '/0001' from events where event_id % 3 = 0")
+@query("src_07_harvest_json_urls", "select event_id, 'https://e.example.org/' || event_id as url, '/000000000/000000000/000000001' as path from events union all select event_id, 'http://s.example.org/' || event_id % 7, '/000000001' from events")
 def _(spark, d):
-    rows = views.read(spark, d, "events").where("event_id % 3 = 0").select("event_id", F.format_string('{"data":[{"url":"https://e.example.org/%d","n":1},"x"],"signed_url":"http://s.example.org/%d","url":"ftp://no"}', "event_id", F.expr("event_id % 7")).alias("j"))
+    rows = views.read(spark, d, "events").select("event_id", F.format_string('{"data":[{"url":"https://e.example.org/%d","n":1},"x"],"signed_url":"http://s.example.org/%d","url":"ftp://no"}', "event_id", F.expr("event_id % 7")).alias("j"))
     return scan.harvested_urls(rows, "event_id", "j")
 
 
+@query("src_07_media_urls", "select event_id, 'https://cdn.example.org/' || event_id as url, '/000000001' as path from events where event_id % 2 = 0 union all select event_id, 'https://cdn.example.org/f' || event_id % 7, '/000000004/000000000/000000006/000000001' from events union all select event_id, 'https://cdn.example.org/d', '/000000004/000000000/000000003' from events")
+def _(spark, d):
+    first = F.when(F.col("event_id") % 2 == 0, F.format_string("https://cdn.example.org/%d", "event_id")).otherwise("https://other.test/1")
+    text = '{"signed_url":"%s","url":5,"note":{"url":"https://cdn.example.org/no"},"data":[{"download_url":"https://cdn.example.org/d","files":["http://cdn.example.org/plain","https://cdn.example.org/f%d",3],"else":["https://cdn.example.org/no"]}]}'
+    rows = views.read(spark, d, "events").select("event_id", F.format_string(text, first, F.expr("event_id % 7")).alias("j"))
+    return scan.media_urls(rows, "event_id", "j", ["example.org"])
+
+
 @query("fn_22_json_formats", "select event_id, case event_id % 3 when 0 then 'jpg,png' when 1 then 'png' else '' end as formats from events")
 def _(spark, d):
     formats = F.expr("CASE event_id % 3 WHEN 0 THEN map('png', 1, 'svg', 2, 'jpg', 3) WHEN 1 THEN map('png', 1) ELSE map('ai', 1) END")
     return views.read(spark, d, "events").select("event_id", F.array_join(tx.raster_formats(formats), ",").alias("formats"))
 
 
-@query("src_02_archive_manifest", views.sql("select batch_id, count(*) as members, sum(length(filename))::bigint as bytes from files group by 1", "files"))
+@query("src_02_archive_manifest", views.sql("""
+with f as (select batch_id, file_id, filename, length(filename) as bytes, case file_id % 8 when 0 then '../' when 3 then '__MACOSX/' when 5 then 'dir/.' else '' end as folder from files),
+s as (select *, row_number() over (partition by batch_id, lower(folder || filename) order by file_id) as nth from f where folder = ''),
+r as (select *, count(*) over w as n, sum(bytes) over w as t from s where nth = 1 window w as (partition by batch_id order by file_id))
+select batch_id, count(*) as members, sum(bytes)::bigint as bytes, string_agg(filename, '|' order by file_id) as names from r where n <= 5 and t <= 60 group by 1""", "files"))
 def _(spark, d):
     from quirelake.sources import archives
 
-    return scan.archive_members(archives.zipped(views.files(spark, d))).groupBy(F.col("path").cast("long").alias("batch_id")).agg(F.count("*").alias("members"), F.sum("bytes").alias("bytes"))
+    folder = F.expr("CASE file_id % 8 WHEN 0 THEN '../' WHEN 3 THEN '__MACOSX/' WHEN 5 THEN 'dir/.' ELSE '' END")
+    packed = archives.zipped(views.files(spark, d).withColumn("filename", F.concat(folder, "filename")))
+    members = scan.archive_members(packed).where(filters.safe_path(F.col("member")) & ~filters.ignored_member(F.col("member")) & ~F.col("is_link"))
+    kept = sampling.running_caps(members.select(F.col("path").alias("archive"), F.col("member").alias("path"), F.col("pos"), F.length("member").alias("bytes")), most=5, each=100, whole=60)
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]), "|")
+    return kept.groupBy(F.col("archive").cast("long").alias("batch_id")).agg(F.count("*").alias("members"), F.sum("bytes").cast("long").alias("bytes"), names.alias("names"))

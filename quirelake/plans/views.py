@@ -90,7 +90,7 @@ def tokens_sql(column: str) -> str:
 def plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of kind `head` with the text that follows them: chapter, para_index, heading, excerpt, query."""
     excerpts = layout.context_excerpts(paragraphs(spark, sf_dir)).where("kind = 'head' AND excerpt <> ''")
-    heading = F.left("text", F.lit(160))
+    heading = F.col("text")
     query = F.array_join(F.slice(F.array_distinct(tx.tokens(heading)), 1, 4), " ")
     return excerpts.select(F.col("doc_id").alias("chapter"), "para_index", heading.alias("heading"), "excerpt", query.alias("query"))
 
@@ -114,8 +114,8 @@ excerpts as (
 PLAN = rf"""
 plan as (
   select chapter, para_index, heading, excerpt, array_to_string(list_slice(list_distinct_ordered, 1, 4), ' ') as query
-  from (select doc_id as chapter, para_index, left(text, 160) as heading, excerpt,
-               list_filter({tokens_sql("left(text, 160)")}, lambda t, k: list_position({tokens_sql("left(text, 160)")}, t) = k) as list_distinct_ordered
+  from (select doc_id as chapter, para_index, text as heading, excerpt,
+               list_filter({tokens_sql("text")}, lambda t, k: list_position({tokens_sql("text")}, t) = k) as list_distinct_ordered
         from excerpts where kind = 'head' and excerpt <> '')
 )"""
 

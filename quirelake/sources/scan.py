@@ -5,12 +5,16 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from quirelake.functions import urls
+from quirelake.operators.durable import settle
+
 # Attributes that advertise a page's picture, and the end of a URL that is punctuation.
 META_NAMES = "og:image|og:image:url|og:image:secure_url|twitter:image|image"
 URL = r"(?i)https?://[^\s<>\"']+"
@@ -91,18 +95,52 @@ def archive_members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(run, "path string, pos int, member string, bytes long, is_link boolean, error string")
 
 
+def _walked(rows: DataFrame, key: str, json: str, step) -> Iterator[DataFrame]:
+    """The values of nested JSON level by level: key, v (variant), path, name (of a field; null in an array). step
+    gives the columns rank (the place of a value among its siblings) and deeper (whether it is entered)."""
+    spark = rows.sparkSession
+    level = rows.select(F.col(key).alias("_key"), F.try_parse_json(json).alias("v"), F.lit("").alias("path"))
+    while True:
+        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("_key", F.col("value").alias("v"), "path", "pos", F.col("key").alias("name"))
+        inside = step(inside).withColumn("path", F.concat("path", F.lit("/"), F.lpad(F.col("rank").cast("string"), 9, "0"))).drop("rank", "pos")
+        found = settle(inside)
+        if found.isEmpty():
+            return
+        yield found
+        level = found.where("deeper").select("_key", "v", "path")
+
+
+def _first(found: list[DataFrame], key: str) -> DataFrame:
+    """(key, url, path): each URL of a key once, with its first path."""
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy(F.col("_key").alias(key), "url").agg(F.min("path").alias("path"))
+
+
 def harvested_urls(rows: DataFrame, key: str, json: str) -> DataFrame:
     """All `signed_url` and `url` strings of nested JSON that start with http(s), distinct, with the first path they
     stand at: key, url, path. Objects and arrays of any shape are walked level by level."""
-    view = f"harvest_{abs(hash((key, json))) % 10**9}"
-    rows.select(key, json).createOrReplaceTempView(view)
-    found = rows.sparkSession.sql(f"""
-        WITH RECURSIVE walk (k, v, path, name) AS (
-          SELECT {key}, try_parse_json({json}), '', cast(null AS string) FROM {view}
-          UNION ALL
-          SELECT w.k, e.value, concat(w.path, '/', lpad(cast(e.pos AS string), 4, '0')), e.key
-          FROM walk w, LATERAL variant_explode(w.v) e
-        )
-        SELECT k AS {key}, try_variant_get(v, '$', 'string') AS url, path FROM walk
-        WHERE name IN ('signed_url', 'url') AND try_variant_get(v, '$', 'string') rlike '^https?://'""")
-    return found.groupBy(key, "url").agg(F.min("path").alias("path"))
+    text = F.try_variant_get("v", "$", "string")
+    none = rows.select(F.col(key).alias("_key"), F.lit("").alias("url"), F.lit("").alias("path")).limit(0)
+    step = lambda d: d.withColumns({"rank": F.col("pos"), "deeper": F.lit(True)})
+    hit = F.col("name").isin("signed_url", "url") & text.rlike("^https?://")
+    return _first([none, *[x.where(hit).select("_key", text.alias("url"), "path") for x in _walked(rows, key, json, step)]], key)
+
+
+# The fields of a provider's answer that may hold a download link, and those that may hold such fields.
+LINK_FIELDS = ("signed_url", "url", "download_url")
+OUTER_FIELDS = ("data", "download", "files", "generated", "urls")
+
+
+def media_urls(rows: DataFrame, key: str, json: str, hosts: list[str]) -> DataFrame:
+    """Download links of trusted hosts in a provider's answer: key, url, path. Only the named fields hold links, only
+    the named outer fields and arrays are entered, and a string in an array is a link itself."""
+    text = F.try_variant_get("v", "$", "string")
+    order = F.array_position(F.array(*[F.lit(x) for x in (*LINK_FIELDS, *OUTER_FIELDS)]), F.col("name"))
+    none = rows.select(F.col(key).alias("_key"), F.lit("").alias("url"), F.lit("").alias("path")).limit(0)
+
+    def step(d: DataFrame) -> DataFrame:
+        rank = F.when(F.col("name").isNull(), F.col("pos")).otherwise(order)
+        return d.withColumns({"rank": rank, "deeper": F.col("name").isNull() | F.col("name").isin(*OUTER_FIELDS)})
+
+    hit = (F.col("name").isNull() | F.col("name").isin(*LINK_FIELDS)) & (F.schema_of_variant("v") == "STRING") & urls.trusted(text, hosts, subdomains=True)
+    return _first([none, *[x.where(hit).select("_key", text.alias("url"), "path") for x in _walked(rows, key, json, step)]], key)

@@ -2,27 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quirelake.functions import text as tx
 
 
-def csv_section(rows: DataFrame) -> DataFrame:
-    """rows with every text cell safe for spreadsheets; write it with `df.write.csv`, one dataset a section."""
-    return rows.select(*[tx.csv_safe(F.col(f.name)).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f.name) for f in rows.schema])
-
-
-def validation_report(sides: DataFrame) -> DataFrame:
-    """(doc_id, report) from (doc_id, number, side): a section for each side that has numbers, and a status line."""
-    def section(side: str, title: str):
-        numbers = F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("number"))))
-        lines = F.transform(numbers, lambda n: F.concat(F.lit("  "), n.cast("string")))
-        return F.when(F.size(numbers) > 0, F.concat(F.lit(f"{title}:\n"), F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
-
-    status = F.when(F.bool_or(F.col("side") == "missing"), "Status: INCOMPLETE").otherwise("Status: OK")
-    return sides.groupBy("doc_id").agg(F.concat(section("missing", "Missing"), section("unused", "Unused"), status).alias("report"))
+# The sections of a report and their columns.
+REPORT = {
+    "documents": ("Document path", "Status", "Eligible headings", "Planned images", "Photos found", "Approved images", "Inserted images", "Message"),
+    "sources": ("Chapter", "Heading", "Source provider", "Licence", "Photographer", "Source URL", "Relevance check", "Relevance estimate (uncalibrated)", "Relevance rationale"),
+    "missing": ("Chapter", "Heading", "Suggested search words"),
+    "notices": ("Processing notices",),
+}
+
+
+def csv_section(rows: DataFrame, section: str | None = None) -> DataFrame:
+    """rows with every text cell safe for spreadsheets, and, for a section of REPORT, its columns in order."""
+    rows = rows if section is None else rows.select(*REPORT[section])
+    return rows.select(*[F.coalesce(tx.csv_safe(F.col(f"`{f.name}`")), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in rows.schema])
+
+
+def write_report(sections: dict[str, DataFrame], folder: str) -> None:
+    """One CSV dataset for each section under folder; a section without rows gives a header alone."""
+    for name, rows in sections.items():
+        csv_section(rows, name).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+
+
+# The wording of a validation report.
+COUNTERS = ("Image insertion positions found: ", "Images inserted: ", "Missing images: ", "Unused uploaded images: ")
+SECTIONS = ("Missing Images", "Unused Images", "Duplicate Placeholders", "Duplicate Image Numbers", "Corrupted Images", "Unsupported or Invalidly Named Files", "Archive Errors")
+ENDINGS = ("Formatting completed with warnings.", "Formatting successful.")
+
+
+def validation_report(docs: DataFrame, places: DataFrame, files: DataFrame, problems: DataFrame) -> DataFrame:
+    """(doc_id, report): counters, each section that has lines, and a closing line, for every row of docs (doc_id).
+
+    places (doc_id, number, filename): a row an occurrence of a placeholder, with the file put there or null. files
+    (doc_id, number, filename, chosen): the valid files. problems (doc_id, kind, name, reason): kind is `corrupted`,
+    `unsupported` or `archive`. Every line is a row with its section and place until they are joined.
+    """
+    image = F.concat(F.lit("Image "), F.col("number").cast("string"))
+
+    def lines(rows: DataFrame, section: int, text: Column, *place: Column) -> DataFrame:
+        return rows.select("doc_id", F.lit(section).alias("section"), F.array(*[F.lpad(x.cast("string"), 12, "0") if i == 0 and section != 1 else x.cast("string") for i, x in enumerate(place)]).alias("place"), text.alias("line"))
+
+    none = F.lit("")
+    gone = places.where("filename IS NULL").groupBy("doc_id", "number").agg(F.count("*").alias("n"))
+    used = places.where("filename IS NOT NULL").select("doc_id", "filename").distinct()
+    idle = files.select("doc_id", "filename").distinct().join(used, ["doc_id", "filename"], "left_anti")
+    often = places.groupBy("doc_id", "number").agg(F.count("*").alias("n")).where("n > 1")
+    same = files.groupBy("doc_id", "number").agg(F.count("*").alias("n"), F.max(F.when(F.col("chosen"), F.col("filename"))).alias("pick")).where("n > 1")
+    pick = F.coalesce("pick", F.lit("none (all invalid)"))
+    others = files.join(same.select("doc_id", "number", "pick"), ["doc_id", "number"]).where(~F.col("filename").eqNullSafe(pick))
+    totals = gone.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("m")).where("n > m")
+    bad = {k: problems.where(F.col("kind") == k) for k in ("corrupted", "unsupported", "archive")}
+    told = F.concat_ws(": ", "name", "reason")
+    last = F.lit(999999999999)
+    every = [
+        lines(gone, 0, image, F.col("number"), none), lines(totals, 0, F.concat(F.lit("Missing placeholder occurrences: "), F.col("n").cast("string")), last, none),
+        lines(idle, 1, F.col("filename"), F.lower("filename"), F.col("filename")), lines(often, 2, F.concat(image, F.lit(": "), F.col("n").cast("string"), F.lit(" occurrences")), F.col("number"), none),
+        lines(same, 3, F.concat(image, F.lit(": selected "), pick), F.col("number"), none, none),
+        lines(others, 3, F.concat(F.lit("  Ignored duplicate: "), F.col("filename")), F.col("number"), F.concat(F.lit("1"), F.lower("filename")), F.col("filename")),
+        lines(bad["corrupted"], 4, told, F.lit(0), F.col("name")), lines(bad["unsupported"], 5, F.col("name"), F.lit(0), F.col("name")), lines(bad["archive"], 6, told, F.lit(0), F.col("name")),
+    ]
+    rows = reduce(DataFrame.unionByName, every)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
+    titled = rows.groupBy("doc_id", "section").agg(F.concat(F.lit("\n\n"), F.get(F.array(*map(F.lit, SECTIONS)), F.col("section")), F.lit("\n"), F.array_join(parts, "\n")).alias("text"))
+    body = titled.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "").alias("body"))
+    counts = [places.groupBy("doc_id").agg(F.count("*").alias("n0"), F.count("filename").alias("n1")), gone.groupBy("doc_id").agg(F.count("*").alias("n2")), idle.groupBy("doc_id").agg(F.count("*").alias("n3"))]
+    out = reduce(lambda d, x: d.join(x, "doc_id", "left"), [*counts, body], docs.select("doc_id").distinct())
+    head = F.concat_ws("\n", F.lit("Document Formatting Complete\n"), *[F.concat(F.lit(t), F.coalesce(f"n{i}", F.lit(0)).cast("string")) for i, t in enumerate(COUNTERS)])
+    end = F.when(F.col("body").isNull(), ENDINGS[1]).otherwise(ENDINGS[0])
+    return out.select("doc_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("\n\n"), end).alias("report"))
 
 
 def library_key(query, subject, orientation):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirelake.functions import rules, urls
 from quirelake.functions import text as tx
 from quirelake.operators import filters, layout, matching, sampling
+from quirelake.sources import sinks
 
 
 def values(spark, rows, expr, schema="x string"):
@@ -119,10 +120,53 @@ def test_fuzzy_replacement(spark):
 
 def test_lineage_stops_at_cycles_and_failures(spark):
     jobs = spark.createDataFrame([(1, None, "format", "completed"), (2, 1, "edit", "completed"), (3, 2, "edit", "failed"), (4, 3, "edit", "completed"), (5, 6, "edit", "completed"), (6, 5, "edit", "completed")], "job_id int, parent_id int, job_type string, status string")
-    got = sorted((r.start, r.depth, r.job_id, r.label) for r in matching.lineage(jobs, {"format": "First"}).collect())
+    got = sorted((r.start, r.depth, r.job_id, r.label) for r in matching.lineage(jobs, F.when(F.col("job_type") == "format", "First").otherwise(F.col("job_type"))).collect())
     assert got == [(1, 0, 1, "First"), (2, 0, 2, "edit"), (2, 1, 1, "First"), (4, 0, 4, "edit"), (5, 0, 5, "edit"), (5, 1, 6, "edit"), (6, 0, 6, "edit"), (6, 1, 5, "edit")]
 
 
+def test_lineage_of_long_chains_and_rings(spark):
+    chain = [(i, i - 1 if i else None, "t", "completed") for i in range(120)]
+    ring = [(1000 + i, 1000 + (i + 1) % 7, "t", "completed") for i in range(7)] + [(2000, 1000, "t", "completed"), (3000, 3000, "t", "completed")]
+    jobs = spark.createDataFrame(chain + ring, "job_id int, parent_id int, job_type string, status string")
+    got = matching.lineage(jobs).collect()
+    assert sorted((r.depth, r.job_id) for r in got if r.start == 119) == [(k, 119 - k) for k in range(120)]
+    assert sorted((r.depth, r.job_id) for r in got if r.start == 2000) == [(0, 2000), *[(k + 1, 1000 + k) for k in range(7)]]
+    assert [(r.depth, r.job_id) for r in got if r.start == 3000] == [(0, 3000)]
+    assert len(got) == 120 * 121 // 2 + 7 * 7 + 8 + 1
+
+
+def test_equal_requests_stay_apart(spark):
+    at = dt.datetime(2024, 1, 2)
+    left = spark.createDataFrame([("k", at), ("k", at), ("z", at)], "key string, ts timestamp")
+    right = spark.createDataFrame([("k", at - dt.timedelta(hours=3))] * 2, "key string, ts timestamp")
+    assert sorted((r.key, r.found) for r in matching.latest_within(left, right, "key", 24).where("found IS NOT NULL").collect()) == [("k", at - dt.timedelta(hours=3))] * 2
+    assert matching.latest_within(left, right, "key", 24).count() == 3
+
+
+def test_heading_levels(spark):
+    styles = spark.createDataFrame([("a", "My Heading 2", None, None), ("b", "Lead", None, "a"), ("c", "TOC 1", None, "a"), ("d", "x", 3, None), ("e", "y", None, "f"), ("f", "z", None, "e")], "style_id string, name string, outline int, base string")
+    told = {r.style_id: (r.contents, r.style_level) for r in filters.style_levels(styles, []).collect()}
+    assert told == {"a": (False, 2), "b": (False, 2), "c": (True, None), "d": (False, 4), "e": (False, None), "f": (False, None)}
+    rows = [("2.3 Safe handling", 1.0, 2), ("2 Intro", 1.0, None), ("2.3.4 More", 0.6, 3), ("Unit 4: Care", 0.9, 1), ("2.3 Support for medicines", 0.5, None), ("2.3 " + "x" * 130, 1.0, None)]
+    df = spark.createDataFrame(rows, "t string, b double, want int")
+    level = filters.heading_level(F.lit(False), F.lit(None).cast("int"), F.lit(None).cast("int"), F.col("t"), F.col("b"))
+    assert all(r.level == r.want for r in df.withColumn("level", level).collect())
+
+
+def test_report_sections_are_written(spark, tmp_path):
+    rows = spark.createDataFrame([("=1+1", "h", None)], "Chapter string, Heading string, `Suggested search words` string")
+    notes = spark.createDataFrame([(" -x",)], "`Processing notices` string")
+    sinks.write_report({"missing": rows, "notices": notes}, str(tmp_path))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/missing").first().Chapter == "'=1+1"
+    assert spark.read.option("header", True).csv(f"{tmp_path}/notices").columns == list(sinks.REPORT["notices"])
+
+
+def test_stock_items(spark):
+    rows = [("7", "photo", "Landscape", ["Free"], []), ("8", "photo", "vertical", ["freemium"], None), ("9", "vector", "landscape", ["free"], []), ("10", "photo", "landscape", ["premium"], []), ("11", "photo", "landscape", ["free"], ["p"]), ("x", "photo", "landscape", ["free"], [])]
+    items = spark.createDataFrame(rows, "id string, kind string, orientation string, licences array<string>, products array<string>")
+    assert [r.id for r in filters.eligible_stock(items).collect()] == ["7"] and [r.id for r in filters.eligible_stock(items, portrait=True).collect()] == ["8"]
+
+
 def test_excluded_sections_against_a_loop(spark):
     rng, rows, want = random.Random(5), [], set()
     for doc in range(60):
