@@ -133,7 +133,7 @@ def served_from_store(requests: DataFrame, hours: int = 24) -> DataFrame:
     """
     limit = hours * 3600
     own = W.partitionBy("key").orderBy("ts", "id")
-    seconds = F.unix_micros("ts") / 1e6
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     gap = seconds - F.lag(seconds).over(own) > limit
     runs = requests.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_run", F.sum("_new").over(own)).drop("_new")
 

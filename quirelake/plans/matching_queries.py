@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -239,7 +241,13 @@ def _(spark, d):
     return sampling.running_caps(rows, whole=60_000_000).select(F.col("archive").alias("batch_id"), F.col("pos").alias("file_id"))
 
 
-@query("win_21_unique_names")
+@query("win_21_unique_names", views.sql(r"""
+f as (select batch_id, file_id, case file_id % 4 when 0 then 'Image 1_2.jpg' when 1 then 'image 1.jpg' else filename end as filename from files),
+q as (select *, regexp_extract(filename, '^(.+)\.[^.]+$', 1) as stem, regexp_extract(filename, '^.+(\.[^.]+)$', 1) as ext, row_number() over (partition by batch_id order by file_id) as nth from f),
+w as (select batch_id, 0::bigint as nth, []::varchar[] as used, null::varchar as pick from (select distinct batch_id from q)
+  union all select w.batch_id, q.nth, list_append(w.used, lower(x)), x from w join q on q.batch_id = w.batch_id and q.nth = w.nth + 1,
+    lateral (select list_filter(list_concat([q.filename], list_transform(range(2, 12), lambda k: q.stem || '_' || k || q.ext)), lambda c: not list_contains(w.used, lower(c)))[1] as x) t)
+select q.batch_id, q.file_id, q.filename, w.pick as unique_name from q join w using (batch_id, nth)""", "files", recursive=True))
 def _(spark, d):
     rows = views.files(spark, d).withColumn("filename", F.when(F.col("file_id") % 4 == 0, "Image 1_2.jpg").when(F.col("file_id") % 4 == 1, "image 1.jpg").otherwise(F.col("filename")))
     return sampling.unique_names(rows, "batch_id", "file_id").select("batch_id", "file_id", "filename", "unique_name")
@@ -395,7 +403,13 @@ def _(spark, d):
     return ranking.narrowest_attempt(rows, ["chapter", "para_index"]).select("chapter", "para_index", "identifier", "attempt")
 
 
-@query("top_04_greedy_unique_assign")
+@query("top_04_greedy_unique_assign", views.sql(_RANKED + """,
+t as (select chapter, para_index, list(identifier order by rank desc, pos, identifier)[1:5] as best from r group by 1, 2),
+q as (select *, row_number() over (partition by chapter order by para_index) as nth from t),
+w as (select chapter, 0::bigint as nth, []::varchar[] as used, null::varchar as pick from (select distinct chapter from q)
+  union all select w.chapter, q.nth, case when x is null then w.used else list_append(w.used, x) end, x from w join q on q.chapter = w.chapter and q.nth = w.nth + 1,
+    lateral (select list_filter(q.best, lambda c: not list_contains(w.used, c))[1] as x) y)
+select chapter, para_index, pick as identifier from q join w using (chapter, nth) where pick is not null""", "plan", "cand", recursive=True))
 def _(spark, d):
     top = ranking.top_per(_ranked(spark, d), ["chapter", "para_index"], [F.desc("rank"), "pos", "identifier"], 5)
     ranked = top.select("chapter", "para_index", "identifier", F.col("place").alias("rank"))
@@ -439,13 +453,19 @@ def _(spark, d):
     return views.candidates(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count("width").alias("sized"), F.min("identifier").alias("first_id"))
 
 
-@query("flt_08_metadata_gate", views.sql(r"""
-with x as (select identifier, pos, case pos % 6 when 0 then 'Corporate executive meeting in a boardroom ' || caption when 1 then 'Care workers and nursing staff in a care home team meeting' when 2 then 'Office group meeting' when 3 then '' when 4 then 'Nurse ' || caption else 'patient  training' end as c from cand)
-select identifier, case pos % 6 when 1 then true when 5 then true else false end as eligible, (case pos % 6 when 0 then 0 when 1 then 100 when 2 then 0 when 3 then 0 when 4 then 50 else 80 end)::int as score from x where pos % 6 <> 4""", "cand"))
+_GATED = "case pos % 6 when 0 then 'Corporate executive meeting in a boardroom ' || caption when 1 then 'Care workers and nursing staff in a care home team meeting' when 2 then 'Office group meeting' when 3 then '' when 4 then 'Nurse ' || caption else 'patient  training' end"
+_ADULT = next(p for n, p in rules.ANCHORS.items() if n == "adult_safeguarding").replace("'", "''")
+_SEEN = next(seen for when, seen in rules.ACTIONS if re.search(when, "managing a care team")).replace("'", "''")
+_PLAIN = "list_distinct(list_transform(list_filter(regexp_extract_all(lower({0}), '[a-z]{{3,}}'), lambda w: not list_contains([" + ", ".join(f"'{w}'" for w in sorted(rules.GENERIC_WORDS)) + "]::varchar[], w)), lambda w: rtrim(w, 's')))"
+
+
+@query("flt_08_metadata_gate", views.sql(f"""
+with x as (select identifier, lower(trim(regexp_replace({_GATED}, '\\s+', ' ', 'g'))) as c from cand), y as (select *, regexp_matches(c, '{_ADULT}') as shown, regexp_matches(c, '{_SEEN}') as visible, 50 + case when regexp_matches(c, '{_SEEN}') then 30 else 0 end + least(20, 10 * len(list_intersect({_PLAIN.format("'care worker nursing home'")}, {_PLAIN.format("c")}))) as points from x)
+select identifier, shown and visible and points >= 80 as eligible, (case when not shown then 0 when not visible then least(points, 74) else least(points, 100) end)::int as score from y""", "cand"))
 def _(spark, d):
     caption = F.expr("CASE pos % 6 WHEN 0 THEN concat('Corporate executive meeting in a boardroom ', caption) WHEN 1 THEN 'Care workers and nursing staff in a care home team meeting' WHEN 2 THEN 'Office group meeting' WHEN 3 THEN '' WHEN 4 THEN concat('Nurse ', caption) ELSE 'patient  training' END")
     told = rules.metadata_decision(caption, F.lit("adult_safeguarding"), F.lit("Managing a care team"), F.lit("care worker nursing home"), F.lit(True))
-    return views.candidates(spark, d).where("pos % 6 <> 4").select("identifier", told.alias("t")).select("identifier", "t.eligible", "t.score")
+    return views.candidates(spark, d).select("identifier", told.alias("t")).select("identifier", "t.eligible", "t.score")
 
 
 @query("flt_09_verdict_gate", views.sql("""
@@ -498,20 +518,25 @@ def _(spark, d):
 @query("jn_13_fuzzy_replacement")
 def _(spark, d):
     parts = views.read(spark, d, "part").select(F.col("p_partkey").alias("other_id"), urls.slug(F.col("p_name")).alias("other_slug"))
-    retired = parts.where("other_id % 20 = 0").select(F.col("other_id").alias("id"), F.concat("other_slug", F.when(F.col("other_id") % 40 == 0, "s").otherwise("")).alias("slug"))
+    retired = parts.select(F.col("other_id").alias("id"), F.concat("other_slug", F.when(F.col("other_id") % 2 == 0, "s").otherwise("")).alias("slug"))
     return matching.replacements(retired, parts)
 
 
-@query("jn_14_title_to_cover", """
-with c as (select item_id as pos, text as cover from benchmark where item_id < 40), t as (select p_partkey, p_name, lower(regexp_extract(trim(p_name), '(\\S+)$', 1)) as w from part)
-select p_partkey, min_by(cover, pos) as cover from t join c on contains(lower(cover), substr(w, 1, 3)) group by 1""")
+@query("jn_14_title_to_cover", views.sql("""
+with c as (select item_id as pos, text as cover from benchmark), t as (select chapter, para_index, lower(regexp_extract(trim(query), '(\\S+)$', 1)) as w from plan)
+select chapter, para_index, min_by(cover, pos) as cover from t join c on w <> '' and contains(lower(cover), w) group by 1, 2""", "plan"))
 def _(spark, d):
-    covers = views.read(spark, d, "benchmark").where("item_id < 40").select(F.col("item_id").alias("pos"), F.col("text").alias("cover"))
-    titles = views.read(spark, d, "part").select("p_partkey", F.left(F.regexp_extract(F.trim("p_name"), r"(\S+)$", 1), F.lit(3)).alias("title"))
-    return matching.title_covers(titles, covers, "p_partkey")
+    covers = views.read(spark, d, "benchmark").select(F.col("item_id").alias("pos"), F.col("text").alias("cover"))
+    titles = views.plans(spark, d).select(F.struct("chapter", "para_index").alias("key"), F.col("query").alias("title"))
+    return matching.title_covers(titles, covers, "key").select("key.*", "cover")
 
 
-@query("win_19_half_coverage_pick")
+@query("win_19_half_coverage_pick", views.sql("""
+q as (select chapter, list({{'p': para_index, 'h': heading, 'q': query}} order by para_index) as l, count(*) as n, (count(*) + 1) // 2 as slots from plan group by 1),
+w as (select chapter, l, n, slots, 0::bigint as s, []::bigint[] as chosen, []::varchar[] as used from q
+  union all select chapter, l, n, slots, s + 1, list_append(chosen, b.j), list_append(used, l[b.j + 1].q) from w,
+    lateral (select list_min(list_transform(list_filter(range(n), lambda j: not list_contains(chosen, j)), lambda j: {{'u': list_contains(used, l[j + 1].q), 'd': abs(j - least(n - 1, ((2 * s + 1) * n) // (2 * slots))), 'j': j}})) as b) t where s < slots)
+select chapter, l[j + 1].p as para_index, l[j + 1].h as heading, l[j + 1].q as query from (select chapter, l, unnest(chosen) as j from w where s = slots)""".replace("{{", "{").replace("}}", "}"), "plan", recursive=True))
 def _(spark, d):
     return sampling.half_coverage(views.plans(spark, d).select("chapter", "para_index", "heading", "query"))
 
@@ -708,13 +733,13 @@ def _(spark, d):
 with f as (select batch_id, file_id, filename, length(filename) as bytes, case file_id % 8 when 0 then '../' when 3 then '__MACOSX/' when 5 then 'dir/.' else '' end as folder from files),
 s as (select *, row_number() over (partition by batch_id, lower(folder || filename) order by file_id) as nth from f where folder = ''),
 r as (select *, count(*) over w as n, sum(bytes) over w as t from s where nth = 1 window w as (partition by batch_id order by file_id))
-select batch_id, count(*) as members, sum(bytes)::bigint as bytes, string_agg(filename, '|' order by file_id) as names from r where n <= 5 and t <= 60 group by 1""", "files"))
+select batch_id, count(*) as members, sum(bytes)::bigint as bytes, string_agg(file_id || '/' || filename, '|' order by file_id) as names from r where n <= 5 and t <= 60 group by 1""", "files"))
 def _(spark, d):
     from quirelake.sources import archives
 
     folder = F.expr("CASE file_id % 8 WHEN 0 THEN '../' WHEN 3 THEN '__MACOSX/' WHEN 5 THEN 'dir/.' ELSE '' END")
     packed = archives.zipped(views.files(spark, d).withColumn("filename", F.concat(folder, "filename")))
     members = scan.archive_members(packed).where(filters.safe_path(F.col("member")) & ~filters.ignored_member(F.col("member")) & ~F.col("is_link"))
-    kept = sampling.running_caps(members.select(F.col("path").alias("archive"), F.col("member").alias("path"), F.col("pos"), F.length("member").alias("bytes")), most=5, each=100, whole=60)
+    kept = sampling.running_caps(members.select(F.col("path").alias("archive"), F.col("member").alias("path"), "pos", "bytes"), most=5, each=100, whole=60)
     names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "path"))), lambda x: x["path"]), "|")
     return kept.groupBy(F.col("archive").cast("long").alias("batch_id")).agg(F.count("*").alias("members"), F.sum("bytes").cast("long").alias("bytes"), names.alias("names"))

@@ -176,7 +176,7 @@ def sql(body: str, *views: str, recursive: bool = False) -> str:
     names = list(dict.fromkeys(x for v in views for x in [*_BEFORE.get(v, []), v]))
     parts = [_NEEDS[n].strip() for n in names]
     body = body.strip()
-    if body[:4].lower() == "with":
-        body = body[4:].strip()
+    if body[:4].lower() == "with" or recursive:
+        body = body[4:].strip() if body[:4].lower() == "with" else body
         return f"with {'recursive ' if recursive else ''}" + ",\n".join([*parts, body])
     return ("with " + ",\n".join(parts) + "\n" if parts else "") + body
