@@ -66,20 +66,21 @@ def reference_rows(par: DataFrame, is_reference: Column) -> DataFrame:
 
 
 def context_excerpts(par: DataFrame, ahead: int = 12, enough: int = 1000, longest: int = 1100) -> DataFrame:
-    """Headings with excerpt: the rows after them up to the next heading, until enough characters are gathered."""
-    rows = F.collect_list(F.struct("is_heading", "text")).over(order().rowsBetween(1, ahead))
-    start = F.struct(F.lit(False).alias("done"), F.lit(0).alias("size"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, row: Column) -> Column:
-        clean = tx.collapsed(row["text"])
-        stop = acc["done"] | row["is_heading"]
-        size = F.when(stop, acc["size"]).otherwise(acc["size"] + F.length(clean))
-        parts = F.when(stop | (clean == ""), acc["parts"]).otherwise(F.concat(acc["parts"], F.array(clean)))
-        return F.struct((stop | (size >= enough)).alias("done"), size.alias("size"), parts.alias("parts"))
-
-    out = par.withColumn("_rows", rows).where("is_heading")
-    out = out.withColumn("_fold", F.aggregate("_rows", start, step))
-    return out.withColumn("excerpt", F.left(F.array_join("_fold.parts", " "), F.lit(longest))).drop("_rows", "_fold")
+    """Headings with excerpt: the rows after them up to the next heading, until enough characters are gathered.
+
+    Rows are numbered to the heading they follow and gathered by it, each once; one shuffle by document serves all.
+    """
+    rows = par.withColumn("_r", F.row_number().over(order())).withColumn("_clean", tx.collapsed(F.col("text")))
+    rows = rows.withColumn("_h", F.last(F.when(F.col("is_heading"), F.col("_r")), ignorenulls=True).over(so_far()))
+    near = F.col("is_heading") | ((F.col("_r") - F.col("_h") <= ahead) & (F.col("_clean") != ""))
+    size = F.when(~F.col("is_heading"), F.length("_clean"))
+    own = W.partitionBy("doc_id", "_h").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.where(F.col("_h").isNotNull() & near).withColumn("_before", F.coalesce(F.sum(size).over(own), F.lit(0)))
+    body = F.when(~F.col("is_heading") & (F.col("_before") < enough), F.struct("_r", F.left("_clean", F.lit(longest)).alias("line")))
+    head = F.first(F.when(F.col("is_heading"), F.struct(*par.columns)), ignorenulls=True)
+    met = rows.groupBy("doc_id", "_h").agg(head.alias("_head"), F.collect_list(body).alias("_rows"))  # `ahead` rows at most
+    text = F.array_join(F.transform(F.array_sort("_rows"), lambda x: x["line"]), " ")
+    return met.select("_head.*", F.left(text, F.lit(longest)).alias("excerpt"))
 
 
 def picture_ahead(par: DataFrame) -> DataFrame:

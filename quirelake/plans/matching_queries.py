@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quirelake.functions import jobs, rules, urls
+from quirelake.functions import jobs, rules, scenes, urls
 from quirelake.functions import text as tx
 from quirelake.operators import aggregates, filters, matching, ranking, sampling
 from quirelake.plans import views
@@ -317,18 +317,30 @@ def _(spark, d):
     return views.plans(spark, d).select("chapter", "para_index", told.alias("domain"))
 
 
-TEST_SCENES = {"tion": (("ing", "people talking", "a talk"), ("er", "people working", "work")), "eau": (("que", "water", "a lake"),)}
-TEST_FALLBACK = {"tion": ("office", "an office"), "eau": ("river", "a river"), "sch": ("school", "a school")}
+_PHRASES = ("report", "risk", "hygiene", "listen to", "conflict", "record", "plan", "")
+_SUBJECTS = tuple(scenes.FALLBACK)
+
+
+def _scene_sql() -> str:
+    """The tables of scenes as one chain of conditions on d (discipline) and a (what the heading says)."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for d, last in scenes.FALLBACK.items():
+        own = "".join(f"when regexp_matches(a, {quoted('(?i)(?:' + p + ')')}) then {quoted(q)} " for p, q, _ in scenes.SCENES.get(d, ()))
+        own += f"when regexp_matches(a, 'conflict|disagree|mediat|negotiat|dispute') then {quoted(scenes.CONFLICTS[d][0])} " if d in scenes.CONFLICTS else ""
+        parts.append(f"when {quoted(d)} then case {own}else {quoted(last[0])} end" if own else f"when {quoted(d)} then {quoted(last[0])}")
+    return f"case d {' '.join(parts)} end"
 
 
 @query("fn_17_scene", views.sql(f"""
-with x as (select chapter, para_index, lower(heading) as h, {_DOMAIN.format("lower(heading)")} as d, lower(trim(heading)) || case when len(regexp_extract_all(lower(heading), '[a-zA-Z]{{3,}}')) <= 2 then ' ' || lower(left(excerpt, 240)) else '' end as a from plan)
-select chapter, para_index, case d when 'tion' then case when contains(a, 'ing') then 'people talking' when contains(a, 'er') then 'people working' else 'office' end
-  when 'eau' then case when contains(a, 'que') then 'water' when contains(a, 'dispute') then 'mediation' else 'river' end when 'sch' then 'school' end as search from x""", "plan"))
+with x as (select chapter, para_index, excerpt, list_value{_SUBJECTS}[chapter % {len(_SUBJECTS)} + 1] as d, list_value{_PHRASES}[(chapter + para_index) % {len(_PHRASES)} + 1] || ' ' || heading as h from plan),
+y as (select *, lower(trim(h)) || case when len(regexp_extract_all(lower(h), '[a-zA-Z]{{3,}}')) <= 2 then ' ' || lower(left(excerpt, 240)) else '' end as a from x)
+select chapter, para_index, d as domain, {_scene_sql()} as search from y""", "plan"))
 def _(spark, d):
-    rows = matching.first_rule(views.plans(spark, d).withColumn("h", F.lower("heading")), TEST_RULES, "h", "domain")
-    scene = rules.scene_of(F.col("domain"), F.col("heading"), F.col("excerpt"), TEST_SCENES, {"eau": ("mediation", "talks")}, TEST_FALLBACK)
-    return rows.withColumn("s", scene).select("chapter", "para_index", "s.search")
+    pick = lambda words, at: F.get(F.array(*map(F.lit, words)), F.expr(at).cast("int"))
+    rows = views.plans(spark, d).withColumns({"domain": pick(_SUBJECTS, f"chapter % {len(_SUBJECTS)}"), "h": F.concat(pick(_PHRASES, f"(chapter + para_index) % {len(_PHRASES)}"), F.lit(" "), "heading")})
+    scene = rules.scene_of(F.col("domain"), F.col("h"), F.col("excerpt"), scenes.SCENES, scenes.CONFLICTS, scenes.FALLBACK)
+    return rows.select("chapter", "para_index", "domain", scene["search"].alias("search"))
 
 
 @query("agg_10_domain_consensus", views.sql(f"""
@@ -387,20 +399,41 @@ def _(spark, d):
     return ranking.top_per(_ranked(spark, d), ["chapter", "para_index", "source"], [F.desc("rank"), "pos", "identifier"], 5).select("chapter", "para_index", "source", "identifier", "rank", "place")
 
 
-@query("top_02_source_fallback", views.sql(_RANKED + """,
-b as (select *, row_number() over (partition by chapter, para_index order by case source when 'pexels' then 1 else 2 end, rank desc, pos, identifier) as x from r),
-c as (select *, sum((source = 'pixabay')::int) over (partition by chapter order by para_index) as paid from b where x = 1)
-select chapter, para_index, source, identifier from c where source <> 'pixabay' or paid <= 1""", "plan", "cand"))
+_SOURCES = ("library", "pexels", "pixabay", "openverse", "freepik")
+
+
+@query("top_02_source_fallback", views.sql(_RANKED + f""",
+v as (select * replace (list_value{_SOURCES}[5 - pos % 5] as source) from r),
+b as (select *, row_number() over (partition by chapter, para_index order by list_position(list_value{_SOURCES}, source), rank desc, pos, identifier) as x from v),
+c as (select *, sum((source = 'freepik')::int) over (partition by chapter order by para_index) as paid from b where x = 1)
+select chapter, para_index, source, identifier, true as opted from c where source <> 'freepik' or paid <= 1
+union all select chapter, para_index, source, identifier, false from b where source <> 'freepik' qualify row_number() over (partition by chapter, para_index order by x) = 1""", "plan", "cand"))
 def _(spark, d):
-    return ranking.first_source(_ranked(spark, d), ["chapter", "para_index"], ["pexels", "pixabay"], paid="pixabay", budget=1).select("chapter", "para_index", "source", "identifier")
+    rows = _ranked(spark, d).withColumn("source", F.get(F.array(*map(F.lit, _SOURCES)), (4 - F.col("pos") % 5).cast("int")))
+    opted = ranking.first_source(rows, ["chapter", "para_index"], list(_SOURCES), paid="freepik", budget=1).withColumn("opted", F.lit(True))
+    free = ranking.first_source(rows, ["chapter", "para_index"], list(_SOURCES[:4])).withColumn("opted", F.lit(False))
+    return opted.unionByName(free).select("chapter", "para_index", "source", "identifier", "opted")
+
+
+def _matched_sql(query: str) -> str:
+    """Plans and candidates by the concepts of a query, as in _RANKED."""
+    return f"""(select p.chapter, p.para_index, k.identifier, 4 * p.n as rank from (
+      select chapter, para_index, identifier, count(*) as n, any_value(len(c)) as m, bool_or(concept in {rules.GENERIC_CONCEPTS}) as g
+      from (select *, unnest(c) as concept from (select chapter, para_index, {concepts_sql(query)} as c from asked)) join ke using (concept) group by 1, 2, 3) p join k using (identifier)
+      where not (p.n = 1 and p.m >= 2 and p.g))"""
 
 
-@query("top_03_broader_query_retry", views.sql(_RANKED + """,
-a as (select *, case when rank >= 8 then 1 else 2 end as attempt from r)
-select chapter, para_index, identifier, attempt from a qualify attempt = min(attempt) over (partition by chapter, para_index)""", "plan", "cand"))
+@query("top_03_broader_query_retry", views.sql(f"""
+with asked as (select chapter, para_index, case para_index % 3 when 1 then 'safeguarding' when 2 then 'practitioner safeguarding' else query end as q1, case para_index % 3 when 1 then 'care' when 2 then 'worker care' else query end as q2 from plan),
+k as (select identifier, {concepts_sql("caption || case pos % 7 when 0 then ' care worker' else '' end")} as c from cand), ke as (select identifier, unnest(c) as concept from k),
+one as {_matched_sql("q1")}, two as {_matched_sql("q2")}
+select *, 1 as attempt from one union all select *, 2 from two where q2_new(chapter, para_index)""".replace("where q2_new(chapter, para_index)", "where (chapter, para_index) not in (select chapter, para_index from one) and (chapter, para_index) in (select chapter, para_index from asked where q1 <> q2)"), "plan", "cand"))
 def _(spark, d):
-    rows = _ranked(spark, d).withColumn("attempt", F.when(F.col("rank") >= 8, 1).otherwise(2))
-    return ranking.narrowest_attempt(rows, ["chapter", "para_index"]).select("chapter", "para_index", "identifier", "attempt")
+    query = F.expr("CASE para_index % 3 WHEN 1 THEN 'safeguarding' WHEN 2 THEN 'practitioner safeguarding' ELSE query END")
+    plans = views.plans(spark, d).select("chapter", "para_index", query.alias("query"), F.array().cast("array<string>").alias("subject"))
+    text = F.concat("caption", F.when(F.col("pos") % 7 == 0, " care worker").otherwise(""))
+    cand = views.candidates(spark, d).select("identifier", "source", "pos", rules.concepts(text).alias("caption_concepts"))
+    return ranking.with_wider_query(plans, cand, ["chapter", "para_index"]).select("chapter", "para_index", "identifier", F.col("rank").cast("long").alias("rank"), "attempt")
 
 
 @query("top_04_greedy_unique_assign", views.sql(_RANKED + """,
