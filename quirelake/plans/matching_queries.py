@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -10,8 +11,9 @@ from pyspark.sql import Window as W
 from quirelake.functions import jobs, rules, scenes, urls
 from quirelake.functions import text as tx
 from quirelake.operators import aggregates, filters, matching, ranking, sampling
+from quirelake.operators.durable import shared_folder
 from quirelake.plans import views
-from quirelake.sources import scan, sinks
+from quirelake.sources import providers, scan, sinks
 
 Q, SQL = {}, {}
 
@@ -475,15 +477,35 @@ def _(spark, d):
     return views.plans(spark, d).select("chapter", "para_index", rules.locked_query(text, domain).alias("locked"))
 
 
-@query("flt_06_candidate_eligibility", views.sql("select identifier, pos from cand where (width is null or (width >= 650 and height >= 350 and width > height)) and pos % 3 in (0, 1)", "cand"))
+def _answers(spark, d):
+    """Each candidate as the one-item answer of a catalogue, in that catalogue's JSON."""
+    cand = views.candidates(spark, d).withColumns({"n": F.col("pos").cast("string"), "size": F.coalesce("width", F.lit(700)), "tall": F.coalesce("height", F.lit(400))})
+    items = [
+        ("pexels", "named_struct('photos', array(named_struct('id', pos, 'alt', caption, 'url', concat('https://p.test/a-', n), 'photographer', repeat('ab', cast(pos % 60 AS int)), 'src', named_struct('large', concat('https://i.test/', n)))))"),
+        ("pixabay", "named_struct('hits', array(named_struct('id', pos, 'tags', caption, 'largeImageURL', '', 'webformatURL', concat('https://w.test/', n), 'pageURL', concat('https://x.test/', n), 'user', 'u')))"),
+        ("openverse", "named_struct('results', array(named_struct('id', n, 'license', CASE WHEN pos % 3 = 0 THEN 'by' ELSE 'CC0' END, 'width', size, 'height', tall, 'url', 'https://o.test/', 'title', caption, 'tags', array(named_struct('name', 'one'), named_struct('name', 'two')))))"),
+        ("freepik", "named_struct('data', array(named_struct('id', n, 'title', caption, 'url', CASE WHEN pos % 3 = 0 THEN 'https://www.freepik.com/x' ELSE 'https://y.test' END, 'licenses', array(named_struct('type', CASE WHEN pos % 5 = 0 THEN 'premium' ELSE 'Freemium' END)),"
+         " 'author', named_struct('name', 'z'), 'image', named_struct('type', CASE WHEN pos % 7 = 0 THEN 'vector' ELSE 'photo' END, 'orientation', 'Horizontal'), 'products', CASE WHEN pos % 11 = 0 THEN array('p') ELSE array() END)))"),
+    ]
+    whole = [cand.where(F.col("pos") % 4 == i).select(F.col("identifier").alias("query_id"), F.lit(name).alias("source"), F.to_json(F.expr(text)).alias("json")) for i, (name, text) in enumerate(items)]
+    return whole[0].unionByName(whole[1]).unionByName(whole[2]).unionByName(whole[3])
+
+
+_UNION = """
+select identifier as query_id, 'pexels' as source, 'pexels:' || pos as identifier, caption || ' https://p.test/a ' || pos as caption, 'Pexels License' as licence, left(repeat('ab', (pos % 60)::int), 100) as author, 'https://p.test/a-' || pos as page, 'https://i.test/' || pos as media, true as usable from cand where pos % 4 = 0
+union all select identifier, 'pixabay', 'pixabay:' || pos, caption, 'Pixabay Content License', 'u', 'https://x.test/' || pos, 'https://w.test/' || pos, true from cand where pos % 4 = 1
+union all select identifier, 'openverse', 'openverse:' || pos, caption || ' one two', case when pos % 3 = 0 then 'BY' else 'CC0' end, '', '', 'https://o.test/', pos % 3 <> 0 and coalesce(width, 700) >= 650 and coalesce(height, 400) >= 350 and coalesce(width, 700) > coalesce(height, 400) from cand where pos % 4 = 2
+union all select identifier, 'freepik', 'freepik:' || pos, caption, case when pos % 5 = 0 then 'premium' else 'Freemium' end, 'z', case when pos % 3 = 0 then 'https://www.freepik.com/x' else 'https://www.freepik.com/' end, null, pos % 5 <> 0 and pos % 7 <> 0 and pos % 11 <> 0 from cand where pos % 4 = 3"""
+
+
+@query("flt_06_candidate_eligibility", views.sql(f"select query_id, identifier from ({_UNION}) where usable", "cand"))
 def _(spark, d):
-    cand = views.candidates(spark, d).withColumn("licence", F.expr("CASE pos % 3 WHEN 0 THEN 'CC0' WHEN 1 THEN 'by' ELSE 'by-nd' END"))
-    return filters.eligible_candidates(cand, licences=["cc0", "by"]).select("identifier", "pos")
+    return providers.candidates(_answers(spark, d)).select("query_id", "identifier")
 
 
-@query("src_05_candidate_union", views.sql("select source, count(*) as n, count(width) as sized, min(identifier) as first_id from cand group by 1", "cand"))
+@query("src_05_candidate_union", views.sql(f"select * exclude usable from ({_UNION})", "cand"))
 def _(spark, d):
-    return views.candidates(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count("width").alias("sized"), F.min("identifier").alias("first_id"))
+    return providers.candidates(_answers(spark, d), usable=False).drop("place")
 
 
 _GATED = "case pos % 6 when 0 then 'Corporate executive meeting in a boardroom ' || caption when 1 then 'Care workers and nursing staff in a care home team meeting' when 2 then 'Office group meeting' when 3 then '' when 4 then 'Nurse ' || caption else 'patient  training' end"
@@ -626,10 +648,33 @@ def _(spark, d):
     )
 
 
-@query("snk_01_report_csv", views.sql(f"""with {_PROGRESS} select chapter, case when chapter % 3 = 0 then '''=' || chapter when chapter % 3 = 1 then '''  -' || chapter else chapter::varchar end as label, planned, found from progress""", "plan"))
-def _(spark, d):
-    label = F.concat(F.expr("CASE chapter % 3 WHEN 0 THEN '=' WHEN 1 THEN '  -' ELSE '' END"), F.col("chapter").cast("string"))
-    return sinks.csv_section(_progress(spark, d).select("chapter", label.alias("label"), "planned", "found"))
+_CELL = r"case when regexp_matches({0}, '^\s*[=+@-]') then chr(39) || {0} else {0} end"
+
+
+@query("snk_01_report_csv", views.sql(f"""with {_PROGRESS},
+docs as (select chapter, planned, searched, found, approved, case when chapter % 3 = 0 then '=' when chapter % 3 = 1 then '  -' else '' end || chapter as path from progress),
+hit as (select q.chapter, q.para_index, heading, query, found, approved from queue q join plan using (chapter, para_index)),
+every as (
+  select 'documents' as section, [path, case when planned = searched then 'done' else 'open' end, planned::varchar, planned::varchar, found::varchar, approved::varchar, '0', ''] as cells from docs
+  union all select 'sources', [chapter::varchar, heading, 'Pexels', 'Pexels License', '@' || query, 'https://p.test/' || para_index, 'metadata', '80', ''] from hit where found and approved
+  union all select 'missing', [chapter::varchar, heading, query] from hit where not found
+  union all select 'notices', ['+ chapter ' || chapter || ' has no heading'] from docs where planned = 0)
+select section, array_to_string(list_transform(cells, lambda x: {_CELL.format("x")}), chr(9)) as line from every""", "plan"))
+def _(spark, d):
+    text = lambda x: F.col(x).cast("string")
+    docs = _progress(spark, d).withColumn("path", F.concat(F.expr("CASE chapter % 3 WHEN 0 THEN '=' WHEN 1 THEN '  -' ELSE '' END"), text("chapter")))
+    status = F.when(F.col("planned") == F.col("searched"), "done").otherwise("open")
+    hit = _queue(spark, d).join(views.plans(spark, d).select("chapter", "para_index", "heading", "query"), ["chapter", "para_index"])
+    source = [text("chapter"), F.col("heading"), F.lit("Pexels"), F.lit("Pexels License"), F.concat(F.lit("@"), "query"), F.concat(F.lit("https://p.test/"), text("para_index")), F.lit("metadata"), F.lit("80"), F.lit("")]
+    rows = {
+        "documents": (docs, [F.col("path"), status, text("planned"), text("planned"), text("found"), text("approved"), F.lit("0"), F.lit("")]),
+        "sources": (hit.where("found AND approved"), source),
+        "missing": (hit.where("NOT found"), [text("chapter"), F.col("heading"), F.col("query")]),
+        "notices": (docs.where("planned = 0"), [F.concat(F.lit("+ chapter "), text("chapter"), F.lit(" has no heading"))]),
+    }
+    folder = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_report({name: df.select(*[c.alias(n) for c, n in zip(columns, sinks.REPORT[name], strict=True)]) for name, (df, columns) in rows.items()}, folder)
+    return sinks.read_report(spark, folder)
 
 
 @query("snk_02_validation_report", views.sql(rf"""with {_PICK},

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from quirelake.streaming import streams
@@ -33,7 +31,7 @@ def _(spark, d):
     return _drained(spark, streams.worked_queue(streams.events(spark, f"{d}/events.parquet")))
 
 
-@query("str_02_ttl_dedupe")
+@query("str_02_ttl_dedupe", "select (user_id % 50) || ':' || event_type as key from events group by 1")
 def _(spark, d):
     stream = streams.events(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rows = stream.withColumn("key", F.concat_ws(":", F.expr("user_id % 50"), "event_type"))
@@ -48,8 +46,5 @@ def _(spark, d):
 
 @query("str_04_progress_stream", "select event_type, count(*) as attempts, count(*) filter (value >= 1) as successes from events group by 1")
 def _(spark, d):
-    name = f"progress_{uuid.uuid4().hex}"
     stream = streams.counters(streams.events(spark, f"{d}/events.parquet"), "event_type")
-    run = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", streams.workspace(spark)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    return streams.drain_counters(stream, streams.workspace(spark))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -23,13 +23,20 @@ REPORT = {
 def csv_section(rows: DataFrame, section: str | None = None) -> DataFrame:
     """rows with every text cell safe for spreadsheets, and, for a section of REPORT, its columns in order."""
     rows = rows if section is None else rows.select(*REPORT[section])
-    return rows.select(*[F.coalesce(tx.csv_safe(F.col(f"`{f.name}`")), F.lit("")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in rows.schema])
+    return rows.select(*[tx.csv_safe(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in rows.schema])
 
 
 def write_report(sections: dict[str, DataFrame], folder: str) -> None:
     """One CSV dataset for each section under folder; a section without rows gives a header alone."""
     for name, rows in sections.items():
-        csv_section(rows, name).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+        csv_section(rows, name).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{folder}/{name}")
+
+
+def read_report(spark: SparkSession, folder: str) -> DataFrame:
+    """(section, line): the rows of a report that write_report wrote, cells joined by tabs."""
+    read = lambda x: spark.read.schema(", ".join(f"`{c}` string" for c in REPORT[x])).options(header=True, escape='"', multiLine=True)
+    parts = [read(x).csv(f"{folder}/{x}").select(F.lit(x).alias("section"), F.array_join(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in REPORT[x]]), "\t").alias("line")) for x in REPORT]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # The wording of a validation report.

@@ -5,7 +5,6 @@ Each takes a folder for its checkpoint and for what it writes; give folders on s
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from quirelake.operators.durable import shared_folder
+
 
 def workspace(spark: SparkSession) -> str:
-    """A new folder below the session's checkpoint folder, or a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirelake-stream-")
-    return f"{base}/stream-{uuid.uuid4()}"
+    """A new folder in the folder that the driver and the executors share."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4()}"
 
 
 def events(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -75,3 +75,15 @@ def unused(stream: DataFrame, review: str, identifier: str) -> DataFrame:
 def counters(stream: DataFrame, group: str) -> DataFrame:
     """Running attempts and successes of each group."""
     return stream.groupBy(group).agg(F.count("*").alias("attempts"), F.count_if(F.col("value") >= 1).alias("successes"))
+
+
+def drain_counters(stream: DataFrame, folder: str) -> DataFrame:
+    """Bring running counters up to date and give their current rows. Each batch writes the whole state to a folder of
+    its own, named by the batch, so that a batch that runs again writes the same folder again."""
+
+    def put(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/batch-{batch:012d}")
+
+    run = stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.read.parquet(f"{folder}/batch-{run.lastProgress['batchId']:012d}")
