@@ -91,23 +91,25 @@ class Index:
     """BM25 over the documents of one shard. Postings of a term stand together, by document."""
 
     def __init__(self, ids: list[np.ndarray]):
-        terms = [_terms(x) for x in ids]
-        size = np.array([len(t) for t in terms], float)
-        owner = np.repeat(np.arange(len(ids), dtype=np.uint64), size.astype(np.int64))
-        flat = (np.concatenate(terms) if terms else np.zeros(0, np.uint32)).astype(np.uint64) << np.uint64(32) | owner
+        size = np.array([max(len(x) - 1, 0) for x in ids], np.int64)
+        flat, low = np.zeros(int(size.sum()), np.uint64), 0
+        for k, x in enumerate(ids):  # term and document in one word, filled and sorted in place
+            flat[low : low + size[k]] = _terms(x).astype(np.uint64) << np.uint64(32) | np.uint64(k)
+            low += int(size[k])
         flat.sort()
         at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(at, len(flat)))
+        tf = np.diff(np.append(at, len(flat))).astype(np.int32)
         flat = flat[at]
-        doc, value = (flat & np.uint64(0xFFFFFFFF)).astype(np.int32), flat >> np.uint64(32)
-        head = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(flat) else np.zeros(0, np.int64)
+        del at
+        new = np.r_[True, flat[1:] >> np.uint64(32) != flat[:-1] >> np.uint64(32)] if len(flat) else np.zeros(0, bool)
+        head = np.flatnonzero(new)
         df = np.diff(np.append(head, len(flat)))
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
+        shared = np.repeat(df > 1, df)  # a term of one document finds none
+        self.doc, tf, df = (flat[shared] & np.uint64(0xFFFFFFFF)).astype(np.int32), tf[shared], df[df > 1]
+        del flat, new, head, shared
         norm = K1 * (1 - B + B * size / max(size.mean(), 1.0)) if len(size) else size
-        score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[doc])
-        # a term of one document finds none
-        shared = np.repeat(df > 1, df)
-        self.doc, self.score, df = doc[shared], score[shared], df[df > 1]
+        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
+        self.score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
         self.term = np.repeat(np.arange(len(df), dtype=np.int32), df)
         self.end = np.cumsum(df)
         self.begin = self.end - df
