@@ -809,7 +809,7 @@ def _(spark, d):
 
 @query("src_02_archive_manifest", views.sql("""
 with f as (select batch_id, file_id, filename, length(filename) as bytes, case file_id % 8 when 0 then '../' when 3 then '__MACOSX/' when 5 then 'dir/.' else '' end as folder from files),
-s as (select *, row_number() over (partition by batch_id, lower(folder || filename) order by file_id) as nth from f where folder = ''),
+s as (select *, row_number() over (partition by batch_id, lower(file_id || '/' || filename) order by file_id) as nth from f where folder = ''),
 r as (select *, count(*) over w as n, sum(bytes) over w as t from s where nth = 1 window w as (partition by batch_id order by file_id))
 select batch_id, count(*) as members, sum(bytes)::bigint as bytes, string_agg(file_id || '/' || filename, '|' order by file_id) as names from r where n <= 5 and t <= 60 group by 1""", "files"))
 def _(spark, d):
