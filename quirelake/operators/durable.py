@@ -60,3 +60,17 @@ class Stored:
 
     def free(self) -> None:
         self._files.delete(self._path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder in the shared one that is deleted at the end; it is not there yet."""
+    path = f"{shared_folder(spark).rstrip('/')}/quirelake-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(folder)
+    try:
+        yield path
+    finally:
+        files.delete(folder, True)
