@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.operators.durable import Stored, settle
+from quirelake.operators.durable import Stored, scratch, settle  # noqa: F401
 
 #: The six characters that the word and whitespace rules of this package treat as blank.
 BLANKS = " \t\n\v\f\r"

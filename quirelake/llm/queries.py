@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm import exact_dedup, fingerprint, language_id, ngram_join, packing, pieces, quality, secret_scan, substring_dedup, url_filter
+from quirelake.llm import exact_dedup, fingerprint, language_id, ngram_join, packing, periodic, pieces, quality, secret_scan, substring_dedup, url_filter, warc, whitening
+from quirelake.llm.common import scratch
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,3 +151,53 @@ select words.doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sh
 """
 
 SQL |= {"op7_ngram_join": OP7_SQL, "op8_substring_dedup": OP8_SQL}
+
+
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    with scratch(spark) as folder:
+        warc.write_archives(pages, folder)
+        told = warc.page_report(spark, folder)
+    same = dict(pages.dtypes)["page_id"]
+    return told.select(F.col("page_id").cast(same), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(same))
+
+
+OP12_SQL = r"""
+with p as (select page_id, coalesce(html, '') as t from pages),
+d as (select page_id, t, strlen(t) as n, sha1(t) as h, first_value(page_id) over g as first_id, row_number() over g as k from p window g as (partition by t order by page_id))
+select page_id, n as payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(h, 1 + 5 * cast(i // 4 as int), 5))::bigint >> (15 - 5 * (i % 4))) & 31 as int), 1)), '') as payload_digest,
+       case when k = 1 then 'response' else 'revisit' end as record_type, case when k > 1 then first_id end as refers_to
+from d
+"""
+
+
+def repeated_tail(doc_id: int | None, n: int) -> np.ndarray | None:
+    """In a tenth of the documents, by crc32 of the id, the words from some place on repeat a few words found there."""
+    if doc_id is None:
+        return None
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if h % 10:
+        return None
+    a = g % n
+    words, tail = np.arange(n), np.arange(n - a)
+    words[a:] = a + tail % (1 + (n - a) // (3 + g % 8))
+    return words
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_documents(spark, sf_dir).select("doc_id", "text"), repeated_tail)
+    best = periodic.best_run(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")).select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256"
+    )
+
+
+QUERIES |= {"op11_whitening": op11_whitening, "op12_warc": op12_warc, "op13_periodic_runs": op13_periodic_runs}
+SQL |= {"op12_warc": OP12_SQL}
