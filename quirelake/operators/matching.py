@@ -124,31 +124,65 @@ def overlaid(original: DataFrame, edited: DataFrame, key: str, value: str) -> Da
     return original.join(new, key, "left").withColumn("edited", F.coalesce("_hit", F.lit(False))).withColumn(value, F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(value))).drop("_new", "_hit")
 
 
-def served_from_store(requests: DataFrame, hours: int = 24) -> DataFrame:
-    """requests (key, ts, id) with saved_at: the time of the answer that serves them.
+def _slice(at: Column, width: int) -> Column:
+    return F.floor(at / F.lit(width)).cast("long")
+
+
+def _pointers(times: DataFrame, life: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Of distinct times (k, at): (k, at, next), the first time more than `life` after each that has one; and the times (k, at)
+    with none in the `life` before them.
+
+    Times are cut into slices of `width`. What is looked for stands in a slice that is known, or else first (last) in the
+    next (previous) slice that holds any time, so that the times of a hot key spread over as many tasks as it has slices.
+    """
+    cut = times.withColumn("slice", _slice(F.col("at"), width))
+    slices = settle(cut.groupBy("k", "slice").agg(F.min("at").alias("first"), F.max("at").alias("last")))
+    order = W.partitionBy("k").orderBy("slice")
+    before = slices.select("k", "slice", F.lag("last").over(order).alias("before"))
+    inner = cut.withColumn("prev", F.lag("at").over(W.partitionBy("k", "slice").orderBy("at"))).join(before, ["k", "slice"])
+    prev = F.coalesce("prev", "before")
+    heads = inner.where(prev.isNull() | (F.col("at") - prev > life)).select("k", "at")
+    none = F.lit(None).cast("long")
+    probes = times.select("k", (F.col("at") + life).alias("t"), F.col("at").alias("own"), none.alias("there"))
+    marks = times.select("k", F.col("at").alias("t"), none.alias("own"), F.col("at").alias("there"))
+    both = probes.unionByName(marks).withColumn("slice", _slice(F.col("t"), width))
+    # from a slice's end backwards, what was met last comes next; a probe stands before the mark of the same time, as it asks for later ones
+    back = W.partitionBy("k", "slice").orderBy(F.desc("t"), F.desc_nulls_last("own")).rowsBetween(W.unboundedPreceding, 0)
+    asked = both.withColumn("near", F.last("there", ignorenulls=True).over(back)).where("own is not null").select("k", "slice", "own", "near")
+    places = slices.select("k", "slice", "first").unionByName(asked.where("near is null").select("k", "slice", none.alias("first")))
+    places = places.groupBy("k", "slice").agg(F.max("first").alias("first"))
+    far = places.select("k", "slice", F.first("first", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("far"))
+    links = asked.join(far, ["k", "slice"], "left").select("k", F.col("own").alias("at"), F.coalesce("near", "far").alias("next"))
+    return links.where("next is not null"), heads
+
+
+def served_from_store(requests: DataFrame, hours: int = 24, width: int = 3600) -> DataFrame:
+    """requests (key, ts, id) with saved_at: the time of the answer that serves them; null where ts is null.
 
     A request within `hours` of the last saved answer of its key is a hit and does not renew it; any other is asked
-    anew and saved. After a gap of more than `hours` the answer is always a new one, so the requests of a key are cut
-    at such gaps and only what lies between two of them is folded in order.
+    anew and saved. Each time points to the first one that its answer would not serve. A time with no other in the
+    `hours` before it is always saved, and from these pointers lead to all others that are. They are followed by doubling: after
+    k joins all saved ones up to 2 ** k pointers away are marked. A request then finds its answer in its own stretch of
+    `hours` or the one before; a stretch holds one at most. No key is gathered: joins and windows go by slices of `width`
+    seconds. A null key is a key.
     """
-    limit = hours * 3600
-    own = W.partitionBy("key").orderBy("ts", "id")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    gap = seconds - F.lag(seconds).over(own) > limit
-    runs = requests.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("_run", F.sum("_new").over(own)).drop("_new")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "id"])
-        times = pdf["ts"].to_numpy("datetime64[us]")
-        saved, at = times.copy(), 0
-        while at < len(times):  # from one saved answer to the first request it does not serve
-            after = int(np.searchsorted(times, times[at] + np.timedelta64(limit, "s"), "right"))
-            saved[at:after] = times[at]
-            at = after
-        return pdf.drop(columns="_run").assign(saved_at=saved)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema) + ", saved_at timestamp"
-    return runs.groupBy("key", "_run").applyInPandas(fold, schema)
+    life = hours * 3_600_000_000
+    rows = requests.withColumns({"_k": F.coalesce(F.concat(F.lit("="), F.col("key").cast("string")), F.lit("")), "_at": F.unix_micros(F.col("ts").cast("timestamp"))})
+    times = settle(rows.where("_at is not null").groupBy(F.col("_k").alias("k"), F.col("_at").alias("at")).agg(F.min("ts").alias("ts")))
+    links, heads = _pointers(times.select("k", "at"), life, width * 1_000_000)
+    saved = settle(heads)
+    jump = settle(links.join(saved.withColumnRenamed("at", "next"), ["k", "next"], "left_anti"))  # a head is marked without them
+    while not jump.isEmpty():
+        met = saved.join(jump, ["k", "at"]).select("k", F.col("next").alias("at"))
+        saved = settle(saved.unionByName(met).distinct())
+        ahead = jump.select("k", F.col("at").alias("next"), F.col("next").alias("then"))
+        jump = settle(jump.join(ahead, ["k", "next"]).select("k", "at", F.col("then").alias("next")))
+    answers = saved.join(times, ["k", "at"]).select("k", _slice(F.col("at"), life).alias("part"), F.struct("at", "ts").alias("a"))
+    ahead = answers.select("k", (F.col("part") + 1).alias("part"), F.col("a").alias("before"))
+    known = answers.withColumnRenamed("a", "own").join(ahead, ["k", "part"], "full").withColumnsRenamed({"k": "_k", "part": "_part"})
+    met = rows.withColumn("_part", _slice(F.col("_at"), life)).join(known, ["_k", "_part"], "left")
+    serves = F.when(F.col("own.at") <= F.col("_at"), F.col("own.ts")).otherwise(F.col("before.ts"))
+    return met.select(*requests.columns, serves.alias("saved_at"))
 
 
 def latest_within(left: DataFrame, right: DataFrame, key: str, hours: int) -> DataFrame:

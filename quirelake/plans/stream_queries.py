@@ -31,11 +31,13 @@ def _(spark, d):
     return _drained(spark, streams.worked_queue(streams.events(spark, f"{d}/events.parquet")))
 
 
-@query("str_02_ttl_dedupe", "select (user_id % 50) || ':' || event_type as key from events group by 1")
+@query("str_02_ttl_dedupe", """
+with recursive r as (select (user_id % 50) || ':' || event_type as key, ts from events), s as (
+  select key, min(ts) as ts from r group by 1 union all select s.key, min(r.ts) from s join r on r.key = s.key and r.ts > s.ts + interval 24 hours group by s.key, s.ts)
+select key, ts from s""")
 def _(spark, d):
-    stream = streams.events(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = stream.withColumn("key", F.concat_ws(":", F.expr("user_id % 50"), "event_type"))
-    return _drained(spark, streams.answered_once(rows.select("key", "ts"), ["key"])).select("key")
+    rows = streams.events(spark, f"{d}/events.parquet").withColumn("key", F.concat_ws(":", F.expr("user_id % 50"), "event_type"))
+    return _drained(spark, streams.answered_once(rows.select("key", "ts")))
 
 
 @query("str_03_used_ids", "select review, identifier, event_id from (select user_id % 20 as review, event_type || (event_id % 30) as identifier, event_id, row_number() over (partition by user_id % 20, event_type || (event_id % 30) order by ts, event_id) as n from events) where n = 1")
