@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import difflib
-
-import numpy as np
-import pandas as pd
+import re
+import re._constants as sre_constants
+import re._parser as sre
+from collections import Counter
+from collections.abc import Iterator
+from functools import reduce
+
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -90,13 +95,111 @@ def first_rule(rows: DataFrame, rules: list[tuple[str, str]], column: str = "tex
     return rows.withColumn(name, out)
 
 
+def required_literals(pattern: str) -> list[str] | None:
+    """Lower-cased strings of which each match of a regular expression holds one at least, as long as can be told; null
+    where no such strings are known (or the expression is not read here), so that it must be tried on every text."""
+    try:
+        parsed = sre.parse(pattern)
+    except (re.error, RecursionError, OverflowError):
+        return None
+    if parsed.state.flags & (re.VERBOSE | re.LOCALE) or re.search(r"\(\?[a-z]*[uUx]|\\[Q0]|&&|\[[^\]]*\[", pattern):
+        return None
+
+    def best(items) -> list[str] | None:
+        """The most telling set of strings of a sequence: the one whose shortest string is longest."""
+        options: list[list[str]] = []
+        run = ""
+
+        def closed() -> None:
+            nonlocal run
+            if run:
+                options.append([run])
+            run = ""
+
+        for kind, value in items:
+            if kind is sre_constants.LITERAL and value < 128:
+                run += chr(value).lower()
+                continue
+            if kind is sre_constants.AT:  # takes no characters, but a string may not go on over it in every reading
+                closed()
+                continue
+            closed()
+            inner = None
+            if kind is sre_constants.SUBPATTERN:
+                inner = best(value[-1])
+            elif kind in (sre_constants.MAX_REPEAT, sre_constants.MIN_REPEAT, sre_constants.POSSESSIVE_REPEAT) and value[0] >= 1:
+                inner = best(value[2])
+            elif kind is sre_constants.ATOMIC_GROUP:
+                inner = best(value)
+            elif kind is sre_constants.BRANCH:
+                ways = [best(way) for way in value[1]]
+                inner = sorted({s for way in ways for s in way}) if all(ways) else None
+            if inner:
+                options.append(inner)
+        closed()
+        return max(options, key=lambda o: (min(map(len, o)), -len(o)), default=None)
+
+    return best(parsed)
+
+
+#: Rules whose strings one automaton holds; more are met in several passes.
+RULES_AT_ONCE = 200_000
+
+
 def first_rule_of_table(rows: DataFrame, rules: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, value): as first_rule, for a table of rules (rule_order, pattern, value), each of which is tried on each row.
-    rules is a small table given by its maker; it is broadcast below 10,000 rows and refused above."""
-    if rules.limit(10_001).count() > 10_000:
-        raise ValueError("too many rules for a rule table; group them first")
-    hits = rows.join(F.broadcast(rules), F.expr(f"{column} rlike pattern"))
-    return hits.groupBy(key).agg(F.min_by("value", "rule_order").alias("value"))
+    """(key, value): as first_rule, for a table of rules (rule_order, pattern, value) of any size.
+
+    Each rule is known by strings of which every match holds one. One multi-pattern automaton a task finds these in a
+    text and so fetches the rules worth trying; only they are run, in the engine's own regular expressions. Rules without
+    such strings are tried on each text: a short list in a table of literal words. Of several hits the smallest
+    rule_order counts. A null text meets no rule; rows of the same key are one.
+    """
+    spark = rows.sparkSession
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def literals(patterns: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else required_literals(p) for p in patterns.to_pylist()], pa.list_(pa.string()))
+
+    known = settle(rules.where("pattern is not null").select("rule_order", "pattern", "value", literals("pattern").alias("words")))
+    texts = rows.select(key, F.col(column).alias("_text")).where("_text is not null")
+    hits = []
+    loose = known.where("words is null").drop("words")
+    if not loose.isEmpty():
+        hits.append(texts.join(F.broadcast(loose), F.expr("_text rlike pattern")).select(key, "rule_order", "value"))
+    telling = known.where("words is not null")
+    passes = -(-telling.count() // RULES_AT_ONCE)
+    for turn in range(passes):
+        part = telling.where(F.pmod(F.xxhash64("rule_order", "pattern"), F.lit(passes)) == turn)
+        chosen = part.withColumn("_at", F.xxhash64("rule_order", "pattern", "value"))
+        words = chosen.select(F.explode("words").alias("w"), "_at").groupBy("w").agg(F.collect_set("_at").alias("at"))
+        fetched = _with_words(texts, [(r["w"], r["at"]) for r in words.collect()], "_at")
+        hits.append(fetched.join(chosen.drop("words"), "_at").where(F.expr("_text rlike pattern")).select(key, "rule_order", "value"))
+    if not hits:
+        return texts.select(key, F.lit(None).cast("string").alias("value")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, hits).groupBy(key).agg(F.min_by("value", "rule_order").alias("value"))
+
+
+def _with_words(texts: DataFrame, words: list[tuple[str, list[int]]], name: str) -> DataFrame:
+    """texts (with _text) once for each number that the words given lead to, where the text holds the word in any case."""
+    given = texts.sparkSession.sparkContext.broadcast(words)
+    place = texts.columns.index("_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for word, numbers in given.value:
+            automaton.add_word(word, numbers)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(place).to_pylist()):
+                mine = {n for _, numbers in automaton.iter(text.lower()) for n in numbers}
+                at += [i] * len(mine)
+                found += sorted(mine)
+            if at:
+                kept = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.int64())], names=[*kept.schema.names, name])
+
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def stale_plans(plans: DataFrame, par: DataFrame) -> DataFrame:
@@ -202,41 +305,121 @@ def sequence_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
 
-def replacements(retired: DataFrame, catalogue: DataFrame, least: float = 0.88) -> DataFrame:
-    """(id, slug, other_id, score): the best catalogue row (other_id, other_slug) for each retired one (id, slug).
+@F.arrow_udf(T.DoubleType())
+def most_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
+    """What sequence_ratio cannot exceed: twice the characters that two strings have in common, as often as both have them, over both lengths."""
+    counts: dict[str, Counter] = {}
+
+    def counted(text: str) -> Counter:
+        if text not in counts:
+            counts[text] = Counter(text)
+        return counts[text]
+
+    def most(x: str, y: str) -> float:
+        return 2 * (counted(x) & counted(y)).total() / ((len(x) + len(y)) or 1)
+
+    return pa.array([None if x is None or y is None else most(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
+
+
+def catalogue_slugs(items: DataFrame, title: Column, url: str = "url", own: str = "slug") -> DataFrame:
+    """(other_id, other_slug): the up to three slugs that each item (id, URL, slug, title) is known by: of its address, its own, of its title."""
+    from quirelake.functions import urls
+
+    known = F.array_distinct(F.array_compact(F.array(urls.resource_slug(F.col(url)), urls.slug(F.col(own)), urls.slug(title))))
+    return items.select(F.col("id").alias("other_id"), F.explode(known).alias("other_slug")).where("other_slug <> ''")
 
-    Score: 1 for an equal slug, else 0.7 * sequence ratio + 0.3 * share of the slug's words that the other has; rows of
-    the same id are no match, and less than `least` is none. A pair can reach it only with a share of (least - 0.7) / 0.3
-    of the slug's words, so all but that many less one of them, the rarest in the catalogue, propose pairs.
+
+def _other_than(ids: Column, own: Column) -> Column:
+    """Of the one or two smallest ids the first that is not own; null if there is none."""
+    return F.get(F.filter(ids, lambda i: ~i.eqNullSafe(own)), F.lit(0))
+
+
+def similar_slugs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(slug, other_slug, score) of the pairs of distinct, unequal slugs that reach `least`.
+
+    Score: 0.7 * sequence ratio + 0.3 * share of the slug's words that the other has. A pair can reach it only with a
+    share of (least - 0.7) / 0.3 of the slug's words, so all but that many less one of them, the rarest in the catalogue,
+    propose pairs; a ratio cannot exceed what lengths, then counts of characters allow, and only pairs that still can
+    reach the mark are compared.
     """
     words = lambda c: F.array_distinct(F.split(c, "-"))
-    right = catalogue.select("other_id", "other_slug", F.explode(words(F.col("other_slug"))).alias("word")).where("word <> ''")
-    often = right.groupBy("word").agg(F.count("*").alias("_often"))
-    left = retired.select("id", "slug", F.size(words(F.col("slug"))).alias("_n"), F.explode(words(F.col("slug"))).alias("word")).join(often, "word")
+    postings = right.select("other_slug", F.explode(words(F.col("other_slug"))).alias("word")).where("word <> ''")
+    often = postings.groupBy("word").agg(F.count("*").alias("_often"))
+    asked = left.select("slug", F.size(words(F.col("slug"))).alias("_n"), F.explode(words(F.col("slug"))).alias("word")).join(often, "word")
     need = F.greatest(F.lit(1), F.ceil(F.col("_n") * F.lit(max(least - 0.7, 0) / 0.3) - 1e-9))
-    place = F.row_number().over(W.partitionBy("id", "slug").orderBy("_often", "word"))
-    left = left.withColumn("_place", place).where(F.col("_place") <= F.col("_n") - need + 1).select("id", "slug", "word")
-    pairs = left.join(right, "word").where("id <> other_id").select("id", "slug", "other_id", "other_slug").distinct()
+    place = F.row_number().over(W.partitionBy("slug").orderBy("_often", "word"))
+    asked = asked.withColumn("_place", place).where(F.col("_place") <= F.col("_n") - need + 1).select("slug", "word")
+    pairs = asked.join(postings, "word").where("slug <> other_slug").select("slug", "other_slug").distinct()
     share = F.size(F.array_intersect(words(F.col("slug")), words(F.col("other_slug")))) / F.size(words(F.col("slug")))
-    # a ratio cannot exceed twice the shorter length over both lengths: pairs that cannot reach the mark go unscored
-    most = 0.7 * 2 * F.least(F.length("slug"), F.length("other_slug")) / (F.length("slug") + F.length("other_slug")) + 0.3 * share
-    near = pairs.where((F.col("slug") == F.col("other_slug")) | (most >= least))
-    score = F.when(F.col("slug") == F.col("other_slug"), 1.0).otherwise(0.7 * sequence_ratio("slug", "other_slug") + 0.3 * share)
-    best = W.partitionBy("id").orderBy(F.desc("score"), "other_id")
-    return near.withColumn("score", score).where(F.col("score") >= least).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("id", "slug", "other_id", "score")
+    by_length = 2 * F.least(F.length("slug"), F.length("other_slug")) / (F.length("slug") + F.length("other_slug"))
+    near = pairs.withColumn("_share", share).where(0.7 * by_length + 0.3 * F.col("_share") >= least - 1e-9)
+    near = near.withColumn("_most", most_ratio("slug", "other_slug")).where(0.7 * F.col("_most") + 0.3 * F.col("_share") >= least - 1e-9)
+    return near.withColumn("score", 0.7 * sequence_ratio("slug", "other_slug") + 0.3 * F.col("_share")).where(F.col("score") >= least).select("slug", "other_slug", "score")
+
+
+def replacements(retired: DataFrame, catalogue: DataFrame, least: float = 0.88) -> DataFrame:
+    """(id, slug, other_id, score): the best catalogue row (other_id, other_slug) for each retired one (id, slug).
+
+    An item may have several slugs, the best counts. Score: 1 for an equal slug, else as in similar_slugs; rows of the
+    same id are no match, and less than `least` is none. Of equal scores the smallest other_id wins. Slugs are compared
+    once each, however many rows have them: a slug stands for the two smallest ids that have it, as one of them may be
+    the retired row itself.
+    """
+    first = catalogue.groupBy("other_slug").agg(F.min("other_id").alias("_a"))
+    second = catalogue.join(first, "other_slug").where("other_id <> _a").groupBy("other_slug").agg(F.min("other_id").alias("_b"))
+    nodes = settle(first.join(second, "other_slug", "left").select("other_slug", F.array_compact(F.array("_a", "_b")).alias("_ids")))
+    asked = settle(retired.select("id", "slug").where("slug <> ''").distinct())
+    equal = asked.join(nodes, F.col("slug") == F.col("other_slug"), "left").select("id", "slug", _other_than(F.col("_ids"), F.col("id")).alias("other_id"))
+    equal = settle(equal)
+    open_ = equal.where("other_id is null").select("id", "slug")
+    near = settle(similar_slugs(open_.select("slug").distinct(), nodes.select("other_slug"), least))
+    found = open_.join(near, "slug").join(nodes, "other_slug").select("id", "slug", _other_than(F.col("_ids"), F.col("id")).alias("other_id"), "score")
+    best = found.where("other_id is not null").groupBy("id", "slug").agg(F.min(F.struct((-F.col("score")).alias("_less"), "other_id")).alias("_best"))
+    best = best.select("id", "slug", "_best.other_id", (-F.col("_best._less")).alias("score"))
+    return equal.where("other_id is not null").withColumn("score", F.lit(1.0)).unionByName(best)
+
+
+#: Covers looked at first for each word, in their order; words that none of them holds look at all that may.
+FIRST_COVERS = 64
 
 
 def title_covers(titles: DataFrame, covers: DataFrame, key: str) -> DataFrame:
     """(key, cover): the first cover (pos, cover) whose lower-cased name holds the title's last word; one cover alone
-    serves all. covers is one batch's short list; it is refused above 10,000 rows."""
-    n = covers.limit(10_001).count()
-    if n > 10_000:
-        raise ValueError("too many covers for one batch")
-    if n == 1:
-        return titles.select(key, F.lit(covers.first()["cover"]).alias("cover"))
+    serves all. pos tells covers apart.
+
+    Covers are indexed by the strings of one, two and three characters in them. A word of up to three is such a string,
+    whose first cover is known; of a longer word the rarest three propose, by their first covers and, where none of
+    these holds the word, by all. Words are looked up once each, however many titles end in them.
+    """
+    few = covers.limit(2).collect()
+    if len(few) == 1:
+        return titles.select(key, F.lit(few[0]["cover"]).cast("string").alias("cover"))
     word = F.lower(F.element_at(F.split(F.trim("title"), r"\s+"), -1))
-    hits = titles.withColumn("_w", word).join(F.broadcast(covers), F.expr("_w <> '' AND contains(lower(cover), _w)"))
-    return hits.groupBy(key).agg(F.min_by("cover", "pos").alias("cover"))
+    asked = settle(titles.select(key, word.alias("_w")).where("_w <> ''"))
+    words = settle(asked.select("_w").distinct())
+    low = covers.select("pos", F.lower("cover").alias("_low"))
+
+    def pieces(text: Column, n: int) -> Column:
+        return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))))
+
+    all_pieces = F.flatten(F.array_compact(F.array(*[pieces(F.col("_low"), n) for n in (1, 2, 3)])))
+    postings = settle(low.select("pos", F.explode(all_pieces).alias("piece")))
+    first = postings.groupBy(F.col("piece").alias("_w")).agg(F.min("pos").alias("pos"))
+    short = words.where(F.length("_w") <= 3).join(first, "_w")
+    often = postings.where(F.length("piece") == 3).groupBy("piece").agg(F.count("*").alias("_n"))
+    long = words.where(F.length("_w") > 3).select("_w", F.explode(pieces(F.col("_w"), 3)).alias("piece")).join(often, "piece", "left")
+    # a word with a piece that no cover has is in none
+    rarest = settle(long.groupBy("_w").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "piece")).alias("_r")).where("_r.n > 0").select("_w", "_r.piece", "_r.n"))
+    postings = postings.join(rarest.select("piece").distinct(), "piece", "left_semi")
+    early = postings.withColumn("_nth", F.row_number().over(W.partitionBy("piece").orderBy("pos"))).where(F.col("_nth") <= FIRST_COVERS).drop("_nth")
+
+    def held(some: DataFrame, lists: DataFrame) -> DataFrame:
+        return some.join(lists, "piece").join(low, "pos").where(F.contains("_low", F.col("_w"))).groupBy("_w").agg(F.min("pos").alias("pos"))
+
+    soon = settle(held(rarest, early))
+    later = held(rarest.where(F.col("n") > FIRST_COVERS).join(soon, "_w", "left_anti"), postings)
+    found = short.unionByName(soon).unionByName(later).join(covers.select("pos", "cover"), "pos")
+    return asked.join(found, "_w").select(key, "cover")
 
 
 def lineage(jobs: DataFrame, label: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from quirelake.functions import jobs, rules, scenes, urls
 from quirelake.functions import text as tx
 from quirelake.operators import aggregates, filters, matching, ranking, sampling
-from quirelake.operators.durable import shared_folder
+from quirelake.operators.durable import settle, shared_folder
 from quirelake.plans import views
 from quirelake.sources import providers, scan, sinks
 
@@ -380,10 +380,17 @@ r as (select m.chapter, m.para_index, m.identifier, k.source, k.pos, (4 * m.n +
 """
 
 
+def _asked(spark, d):
+    """Plans with the concepts of their query and of their text, worked out once."""
+    return settle(views.plans(spark, d).select("chapter", "para_index", rules.concepts(F.col("query")).alias("concepts"), rules.concepts(F.col("excerpt")).alias("subject")))
+
+
+def _offered(spark, d):
+    return settle(views.candidates(spark, d).select("identifier", "source", "pos", rules.concepts(F.col("caption")).alias("caption_concepts")))
+
+
 def _ranked(spark, d):
-    plans = views.plans(spark, d).select("chapter", "para_index", rules.concepts(F.col("query")).alias("concepts"), rules.concepts(F.col("excerpt")).alias("subject"))
-    cand = views.candidates(spark, d).select("identifier", "source", "pos", rules.concepts(F.col("caption")).alias("caption_concepts"))
-    return ranking.concept_matches(plans, cand, ["chapter", "para_index"])
+    return ranking.concept_matches(_asked(spark, d), _offered(spark, d), ["chapter", "para_index"])
 
 
 @query("jn_08_concept_match", views.sql(_RANKED + "select * from r", "plan", "cand"))
@@ -446,9 +453,10 @@ w as (select chapter, 0::bigint as nth, []::varchar[] as used, null::varchar as
     lateral (select list_filter(q.best, lambda c: not list_contains(w.used, c))[1] as x) y)
 select chapter, para_index, pick as identifier from q join w using (chapter, nth) where pick is not null""", "plan", "cand", recursive=True))
 def _(spark, d):
-    top = ranking.top_per(_ranked(spark, d), ["chapter", "para_index"], [F.desc("rank"), "pos", "identifier"], 5)
+    plans = _asked(spark, d)
+    top = ranking.top_per(ranking.concept_matches(plans, _offered(spark, d), ["chapter", "para_index"]), ["chapter", "para_index"], [F.desc("rank"), "pos", "identifier"], 5)
     ranked = top.select("chapter", "para_index", "identifier", F.col("place").alias("rank"))
-    queue = views.plans(spark, d).select("chapter", "para_index", F.col("para_index").alias("turn"))
+    queue = plans.select("chapter", "para_index", F.col("para_index").alias("turn"))
     return sampling.greedy_unique(queue, ranked, "chapter", "para_index", "turn")
 
 
@@ -572,9 +580,14 @@ def _(spark, d):
 
 @query("jn_13_fuzzy_replacement")
 def _(spark, d):
-    parts = views.read(spark, d, "part").select(F.col("p_partkey").alias("other_id"), urls.slug(F.col("p_name")).alias("other_slug"))
-    retired = parts.select(F.col("other_id").alias("id"), F.concat("other_slug", F.when(F.col("other_id") % 2 == 0, "s").otherwise("")).alias("slug"))
-    return matching.replacements(retired, parts)
+    # items titled by their first words; retired ones ask by such words with one letter more, which only copies can answer
+    words = F.array_join(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), F.lit(8)), " ")
+    docs = views.read(spark, d, "documents").select(F.col("doc_id").alias("id"), words.alias("title"))
+    docs = docs.withColumn("url", F.when(F.col("id") % 3 > 0, F.concat(F.lit("https://stock.example.org/free-photo/"), urls.slug(F.col("title")), F.lit("_"), F.col("id"), F.lit(".htm"))))
+    items = docs.withColumn("slug", F.when(F.col("id") % 2 == 0, F.concat("title", F.lit("!"))))
+    asked = F.when(F.col("id") % 4 == 0, F.col("title")).otherwise(F.concat("title", F.lit("x")))
+    retired = docs.select("id", urls.resource_slug(F.concat(F.lit("https://stock.example.org/free-vector/"), urls.slug(asked), F.lit("_"), F.col("id"), F.lit(".htm"))).alias("slug"))
+    return matching.replacements(retired, matching.catalogue_slugs(items, F.col("title")))
 
 
 @query("jn_14_title_to_cover", views.sql("""
