@@ -1,7 +1,6 @@
 """The scenes that headings of a discipline are searched with, for functions.rules.scene_of."""
 
-# Fixed values: (pattern, search, description) of each discipline, tried in order; what a conflict is searched with; and what
-# stands where none fits.
+# Fixed values: (pattern, search, description) of each discipline, tried in order.
 SCENES = {
     "child_safeguarding": (
         (r"voice|rights|participat|listen|individuali|child.centr", "social worker listening child", "a child-care practitioner listening attentively to a young person's views in a calm, appropriate setting"),
@@ -89,12 +88,15 @@ SCENES = {
         (r"customer|complain|service|reception", "customer service worker helping client", "a customer service professional speaking with a client at a service desk"),
     ),
 }
+# What a heading about a conflict is searched with, and how such a heading is told.
+CONFLICT_PATTERN = r"conflict|disagree|mediat|negotiat|dispute"
 CONFLICTS = {
     "child_safeguarding": ("childcare staff resolving disagreement", "care practitioners discussing a disagreement calmly in a safe care setting"),
     "adult_safeguarding": ("care staff mediation discussion", "care professionals discussing a difficult situation respectfully in a care setting"),
     "education": ("teachers discussion school meeting", "educators resolving a workplace disagreement professionally"),
     "healthcare": ("nurses discussing problem hospital", "healthcare colleagues discussing a workplace disagreement professionally"),
 }
+# What stands where none fits.
 FALLBACK = {
     "child_safeguarding": ("social care professionals meeting", "care professionals discussing appropriate safeguarding practice in a professional meeting"),
     "adult_safeguarding": ("social care worker supporting adult", "a social care professional working appropriately with a person receiving support"),
@@ -110,3 +112,9 @@ FALLBACK = {
     "safety": ("workplace safety inspection worker", "a worker checking safety arrangements in a professional environment"),
     "management": ("business team workplace meeting", "colleagues working together in a professional business setting"),
 }
+# How a description is worded around its heading, course and scene, for a scene, a conflict and a fallback.
+WORDING = (
+    ("A natural, realistic landscape stock photograph for '", "' in the course '", "': ", ". Use authentic people, credible equipment and varied camera angles; no advertising, watermarks or readable private information."),
+    ("A realistic landscape stock photograph for '", "' in '", "': ", ". No promotional text, watermarks or visible private information."),
+    ("A natural, realistic landscape stock photograph for '", "' in the course '", "': ", ". Select this only if the photograph supports the section's teaching context; otherwise leave the heading without a photograph. No text or watermarks."),
+)

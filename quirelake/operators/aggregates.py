@@ -60,6 +60,37 @@ def progress_totals(progress: DataFrame, review: str) -> DataFrame:
     return out.where(F.col(review).isNotNull()).withColumn("has_more", F.col("remaining") > 0)
 
 
+# The counters of a run's report, its settings, and its lists.
+RUN_COUNTERS = (
+    "chapters_processed", "guides_created", "documents_with_images", "image_recommendations", "photos_inserted", "covers_prepared", "openrouter_refined_sections",
+    "generation_attempts", "freepik_stock_downloads", "freepik_search_attempts", "image_library_hits",
+)
+RUN_SETTINGS = ("mode", "image_source", "freepik_enabled", "reuse_existing")
+RUN_LISTS = ("image_sources", "cover_sources")
+RUN_PROVIDERS = ("pexels", "pixabay", "openverse", "freepik", "openrouter", "openai")
+
+
+def run_summary(facts: DataFrame, run: str) -> DataFrame:
+    """One row a run from its facts (run, seq, kind, amount, detail), as they come in any number and order.
+
+    Counters are sums of amounts, 0 without a fact; a setting is its last detail; lists hold all details in order of
+    seq; warnings each once, at its first place; providers_configured tells for each provider whether a fact of kind
+    `provider` names it. A row holds the lists of its run.
+    """
+    of = lambda kind: F.col("kind") == kind
+    details = lambda rows: F.transform(F.array_sort(rows), lambda x: x["detail"])
+    # a warning counts once, so that repeated ones are not gathered
+    warned = facts.where(of("warning")).groupBy(run, "detail").agg(F.min("seq").alias("seq"))
+    warned = warned.groupBy(run).agg(details(F.collect_list(F.struct("seq", "detail"))).alias("warnings"))
+    rows = facts.groupBy(run).agg(
+        *[F.coalesce(F.sum(F.when(of(c), F.col("amount"))), F.lit(0)).alias(c) for c in RUN_COUNTERS],
+        *[F.max_by("detail", F.when(of(c), F.col("seq"))).alias(c) for c in RUN_SETTINGS],
+        *[details(F.collect_list(F.when(of(c), F.struct("seq", "detail")))).alias(c) for c in RUN_LISTS],
+        F.create_map(*[x for p in RUN_PROVIDERS for x in (F.lit(p), F.coalesce(F.bool_or(of("provider") & (F.col("detail") == p)), F.lit(False)))]).alias("providers_configured"),
+    )
+    return rows.join(warned, run, "left").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
+
+
 def cumulative_counters(attempts: DataFrame, group: str, batch: str) -> DataFrame:
     """Per group and batch: attempts and successes, running over the batches."""
     own = W.partitionBy(group).orderBy(batch)

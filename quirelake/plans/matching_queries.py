@@ -11,9 +11,9 @@ from pyspark.sql import Window as W
 from quirelake.functions import jobs, rules, scenes, urls
 from quirelake.functions import text as tx
 from quirelake.operators import aggregates, filters, matching, ranking, sampling
-from quirelake.operators.durable import settle, shared_folder
+from quirelake.operators.durable import scratch, settle, shared_folder
 from quirelake.plans import views
-from quirelake.sources import providers, scan, sinks
+from quirelake.sources import library, providers, scan, sinks
 
 Q, SQL = {}, {}
 
@@ -324,25 +324,32 @@ _SUBJECTS = tuple(scenes.FALLBACK)
 
 
 def _scene_sql() -> str:
-    """The tables of scenes as one chain of conditions on d (discipline) and a (what the heading says)."""
+    """The tables of scenes as one chain of conditions on d (discipline) and a (what the heading says): search, scene and kind."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    told = lambda kind, search, scene: f"{{'q': {quoted(search)}, 's': {quoted(scene)}, 'k': {kind}}}"
     parts = []
     for d, last in scenes.FALLBACK.items():
-        own = "".join(f"when regexp_matches(a, {quoted('(?i)(?:' + p + ')')}) then {quoted(q)} " for p, q, _ in scenes.SCENES.get(d, ()))
-        own += f"when regexp_matches(a, 'conflict|disagree|mediat|negotiat|dispute') then {quoted(scenes.CONFLICTS[d][0])} " if d in scenes.CONFLICTS else ""
-        parts.append(f"when {quoted(d)} then case {own}else {quoted(last[0])} end" if own else f"when {quoted(d)} then {quoted(last[0])}")
+        own = "".join(f"when regexp_matches(a, {quoted('(?i)(?:' + p + ')')}) then {told(0, q, x)} " for p, q, x in scenes.SCENES.get(d, ()))
+        own += f"when regexp_matches(a, '{scenes.CONFLICT_PATTERN}') then {told(1, *scenes.CONFLICTS[d])} " if d in scenes.CONFLICTS else ""
+        parts.append(f"when {quoted(d)} then case {own}else {told(2, *last)} end" if own else f"when {quoted(d)} then {told(2, *last)}")
     return f"case d {' '.join(parts)} end"
 
 
+def _worded_sql(piece: int) -> str:
+    return f"list_value({', '.join(chr(39) + w[piece].replace(chr(39), chr(39) * 2) + chr(39) for w in scenes.WORDING)})[x.k + 1]"
+
+
 @query("fn_17_scene", views.sql(f"""
 with x as (select chapter, para_index, excerpt, list_value{_SUBJECTS}[chapter % {len(_SUBJECTS)} + 1] as d, list_value{_PHRASES}[(chapter + para_index) % {len(_PHRASES)} + 1] || ' ' || heading as h from plan),
-y as (select *, lower(trim(h)) || case when len(regexp_extract_all(lower(h), '[a-zA-Z]{{3,}}')) <= 2 then ' ' || lower(left(excerpt, 240)) else '' end as a from x)
-select chapter, para_index, d as domain, {_scene_sql()} as search from y""", "plan"))
+y as (select *, lower(trim(h)) || case when len(regexp_extract_all(lower(h), '[a-zA-Z]{{3,}}')) <= 2 then ' ' || lower(left(excerpt, 240)) else '' end as a from x),
+z as (select *, {_scene_sql()} as x from y)
+select chapter, para_index, d as domain, x.q as search, {_worded_sql(0)} || h || {_worded_sql(1)} || 'Course ' || chapter || {_worded_sql(2)} || x.s || {_worded_sql(3)} as description from z""", "plan"))
 def _(spark, d):
     pick = lambda words, at: F.get(F.array(*map(F.lit, words)), F.expr(at).cast("int"))
     rows = views.plans(spark, d).withColumns({"domain": pick(_SUBJECTS, f"chapter % {len(_SUBJECTS)}"), "h": F.concat(pick(_PHRASES, f"(chapter + para_index) % {len(_PHRASES)}"), F.lit(" "), "heading")})
-    scene = rules.scene_of(F.col("domain"), F.col("h"), F.col("excerpt"), scenes.SCENES, scenes.CONFLICTS, scenes.FALLBACK)
-    return rows.select("chapter", "para_index", "domain", scene["search"].alias("search"))
+    course = F.concat(F.lit("Course "), F.col("chapter").cast("string"))
+    scene = rules.scene_of(F.col("domain"), F.col("h"), F.col("excerpt"), scenes.SCENES, scenes.CONFLICTS, scenes.FALLBACK, scenes.CONFLICT_PATTERN, course, scenes.WORDING)
+    return rows.select("chapter", "para_index", "domain", scene.alias("scene")).select("chapter", "para_index", "domain", "scene.search", "scene.description")
 
 
 @query("agg_10_domain_consensus", views.sql(f"""
@@ -405,7 +412,8 @@ def _(spark, d):
 
 @query("top_01_top5_per_query", views.sql(_RANKED + "select chapter, para_index, source, identifier, rank, row_number() over (partition by chapter, para_index, source order by rank desc, pos, identifier)::int as place from r qualify place <= 5", "plan", "cand"))
 def _(spark, d):
-    return ranking.top_per(_ranked(spark, d), ["chapter", "para_index", "source"], [F.desc("rank"), "pos", "identifier"], 5).select("chapter", "para_index", "source", "identifier", "rank", "place")
+    top = ranking.top_matches(_asked(spark, d), _offered(spark, d), ["chapter", "para_index"], 5)
+    return top.select("chapter", "para_index", "source", "identifier", "rank", "place")
 
 
 _SOURCES = ("library", "pexels", "pixabay", "openverse", "freepik")
@@ -418,7 +426,8 @@ c as (select *, sum((source = 'freepik')::int) over (partition by chapter order
 select chapter, para_index, source, identifier, true as opted from c where source <> 'freepik' or paid <= 1
 union all select chapter, para_index, source, identifier, false from b where source <> 'freepik' qualify row_number() over (partition by chapter, para_index order by x) = 1""", "plan", "cand"))
 def _(spark, d):
-    rows = _ranked(spark, d).withColumn("source", F.get(F.array(*map(F.lit, _SOURCES)), (4 - F.col("pos") % 5).cast("int")))
+    cand = _offered(spark, d).withColumn("source", F.get(F.array(*map(F.lit, _SOURCES)), (4 - F.col("pos") % 5).cast("int")))
+    rows = settle(ranking.top_matches(_asked(spark, d), cand, ["chapter", "para_index"], 1).drop("place"))
     opted = ranking.first_source(rows, ["chapter", "para_index"], list(_SOURCES), paid="freepik", budget=1).withColumn("opted", F.lit(True))
     free = ranking.first_source(rows, ["chapter", "para_index"], list(_SOURCES[:4])).withColumn("opted", F.lit(False))
     return opted.unionByName(free).select("chapter", "para_index", "source", "identifier", "opted")
@@ -454,7 +463,7 @@ w as (select chapter, 0::bigint as nth, []::varchar[] as used, null::varchar as
 select chapter, para_index, pick as identifier from q join w using (chapter, nth) where pick is not null""", "plan", "cand", recursive=True))
 def _(spark, d):
     plans = _asked(spark, d)
-    top = ranking.top_per(ranking.concept_matches(plans, _offered(spark, d), ["chapter", "para_index"]), ["chapter", "para_index"], [F.desc("rank"), "pos", "identifier"], 5)
+    top = ranking.top_matches(plans, _offered(spark, d), ["chapter", "para_index"], 5, by_source=False)
     ranked = top.select("chapter", "para_index", "identifier", F.col("place").alias("rank"))
     queue = plans.select("chapter", "para_index", F.col("para_index").alias("turn"))
     return sampling.greedy_unique(queue, ranked, "chapter", "para_index", "turn")
@@ -661,6 +670,32 @@ def _(spark, d):
     )
 
 
+_KINDS = (*aggregates.RUN_COUNTERS, *aggregates.RUN_SETTINGS, *aggregates.RUN_LISTS, "warning", "provider")
+_FACT_DETAIL = "case when {kind} = 'provider' then list_value{providers}[event_id % {n} + 1] else event_type || '-' || (event_id % 5) end"
+_COUNTED = ", ".join(f"coalesce(sum(amount) filter (kind = '{c}'), 0)::bigint as {c}" for c in aggregates.RUN_COUNTERS)
+_SET = ", ".join(f"max_by(detail, seq) filter (kind = '{c}') as {c}" for c in aggregates.RUN_SETTINGS)
+_LISTED = ", ".join(f"coalesce(string_agg(detail, '|' order by seq) filter (kind = '{c}'), '') as {c}" for c in aggregates.RUN_LISTS)
+_TOLD = " || ',' || ".join(f"'{p}=' || coalesce(bool_or(kind = 'provider' and detail = '{p}'), false)" for p in aggregates.RUN_PROVIDERS)
+
+
+@query("agg_07_run_report", f"""
+with f as (select user_id % 20 as run, event_id as seq, list_value{_KINDS}[(event_id * 7 + user_id) % {len(_KINDS)} + 1] as kind, 1 + event_id % 3 as amount, event_type, event_id, user_id from events),
+g as (select *, {_FACT_DETAIL.format(kind="kind", providers=aggregates.RUN_PROVIDERS, n=5)} as detail from f),
+w as (select run, string_agg(detail, '|' order by seq) as warnings from (select run, detail, min(seq) as seq from g where kind = 'warning' group by 1, 2) group by 1)
+select g.run, {_COUNTED}, {_SET}, {_LISTED}, {_TOLD} as providers, coalesce(any_value(w.warnings), '') as warnings from g left join w on w.run = g.run group by g.run""")
+def _(spark, d):
+    pick = lambda values, at: F.get(F.array(*map(F.lit, values)), F.expr(at).cast("int"))
+    facts = views.read(spark, d, "events").select(
+        F.expr("user_id % 20").alias("run"), F.col("event_id").alias("seq"), pick(_KINDS, f"(event_id * 7 + user_id) % {len(_KINDS)}").alias("kind"),
+        F.expr("1 + event_id % 3").alias("amount"), "event_type", "event_id",
+    )
+    plain = F.concat("event_type", F.lit("-"), F.expr("event_id % 5").cast("string"))
+    facts = facts.withColumn("detail", F.when(F.col("kind") == "provider", pick(aggregates.RUN_PROVIDERS, "event_id % 5")).otherwise(plain))
+    told = aggregates.run_summary(facts, "run")
+    providers = F.concat_ws(",", *[F.concat(F.lit(f"{p}="), F.col("providers_configured")[p].cast("string")) for p in aggregates.RUN_PROVIDERS])
+    return told.select("run", *aggregates.RUN_COUNTERS, *aggregates.RUN_SETTINGS, *[F.array_join(c, "|").alias(c) for c in aggregates.RUN_LISTS], providers.alias("providers"), F.array_join("warnings", "|").alias("warnings"))
+
+
 _CELL = r"case when regexp_matches({0}, '^\s*[=+@-]') then chr(39) || {0} else {0} end"
 
 
@@ -699,6 +734,7 @@ idle as (select distinct g.batch_id as doc_id, g.filename from good g where not
 often as (select doc_id, number, count(*) as n from places group by 1, 2 having count(*) > 1),
 same as (select batch_id as doc_id, number, max(filename) filter (chosen) as pick from good group by 1, 2 having count(*) > 1),
 bad as (select batch_id as doc_id, filename from files where filename like '%.txt'),
+broken as (select distinct batch_id as doc_id from files where file_id % 11 = 0),
 e as (
   select doc_id, 0 as s, 'Missing Images' || chr(10) || string_agg('Image ' || number, chr(10) order by number) || case when sum(n) > count(*) then chr(10) || 'Missing placeholder occurrences: ' || sum(n) else '' end as x from gone group by 1
   union all select doc_id, 1, 'Unused Images' || chr(10) || string_agg(filename, chr(10) order by lower(filename), filename) from idle group by 1
@@ -707,7 +743,8 @@ e as (
     select m.doc_id, m.number, 'Image ' || m.number || ': selected ' || m.pick || coalesce(chr(10) || string_agg('  Ignored duplicate: ' || g.filename, chr(10) order by lower(g.filename), g.filename) filter (g.filename <> m.pick), '') as x
     from same m join good g on g.batch_id = m.doc_id and g.number = m.number group by m.doc_id, m.number, m.pick) group by 1
   union all select doc_id, 4, 'Corrupted Images' || chr(10) || string_agg(filename || ': not an image', chr(10) order by filename) from bad where contains(filename, '_') group by 1
-  union all select doc_id, 5, 'Unsupported or Invalidly Named Files' || chr(10) || string_agg(filename, chr(10) order by filename) from bad where not contains(filename, '_') group by 1),
+  union all select doc_id, 5, 'Unsupported or Invalidly Named Files' || chr(10) || string_agg(filename, chr(10) order by filename) from bad where not contains(filename, '_') group by 1
+  union all select doc_id, 6, 'Archive Errors' || chr(10) || 'upload_' || doc_id || '.zip: not an archive' from broken),
 b as (select doc_id, string_agg(chr(10) || chr(10) || x, '' order by s) as body from e group by 1)
 select d.doc_id, 'Document Formatting Complete' || chr(10) || chr(10) || 'Image insertion positions found: ' || (select count(*) from places p where p.doc_id = d.doc_id) || chr(10) || 'Images inserted: ' || (select count(filename) from places p where p.doc_id = d.doc_id)
   || chr(10) || 'Missing images: ' || (select count(*) from gone g where g.doc_id = d.doc_id) || chr(10) || 'Unused uploaded images: ' || (select count(*) from idle i where i.doc_id = d.doc_id)
@@ -719,6 +756,8 @@ def _(spark, d):
     good = good.select(F.col("batch_id").alias("doc_id"), "number", "filename", F.coalesce("chosen", F.lit(False)).alias("chosen"))
     kind = F.when(F.contains("filename", F.lit("_")), "corrupted").otherwise("unsupported")
     bad = files.where("filename LIKE '%.txt'").select(F.col("batch_id").alias("doc_id"), kind.alias("kind"), F.col("filename").alias("name"), F.lit("not an image").alias("reason"))
+    broken = files.where("file_id % 11 = 0").select(F.col("batch_id").alias("doc_id")).distinct()
+    bad = bad.unionByName(broken.select("doc_id", F.lit("archive").alias("kind"), F.concat(F.lit("upload_"), F.col("doc_id").cast("string"), F.lit(".zip")).alias("name"), F.lit("not an archive").alias("reason")))
     docs = places.select("doc_id").unionByName(files.select(F.col("batch_id").alias("doc_id")))
     return sinks.validation_report(docs, places, good, bad)
 
@@ -733,6 +772,27 @@ def _(spark, d):
     return sinks.library(rows, ["pexels", "pixabay", "openverse"], "saved").select("key", "chapter", "para_index")
 
 
+@query("snk_03_library_lookup", views.sql("""
+with e as (select query, chapter % 5 as subject, chapter, para_index, 1020 + (chapter + para_index) % 10 as size, 2 * (chapter * 1000 + para_index) + (chapter % 2) * 1000000000 as saved from plan where chapter % 3 <> 2 and para_index % 4 <> 0),
+k as (select query, subject, max_by(chapter || ':' || para_index, saved) as identifier, max_by(size, saved) as size from e group by 1, 2)
+select chapter, para_index, case when k.size > 1024 then k.identifier end as identifier, case when k.size > 1024 then k.size::int end as size from plan left join k on k.query = plan.query and k.subject = plan.chapter % 5""", "plan"))
+def _(spark, d):
+    plans = settle(views.plans(spark, d).selectExpr("chapter", "para_index", "query", "cast(chapter % 5 AS string) AS subject", "'landscape' AS orientation"))
+    answers = plans.selectExpr(
+        "upper(query) AS query", "subject", "orientation", "CASE chapter % 3 WHEN 0 THEN 'pexels' WHEN 1 THEN 'pixabay' ELSE 'other' END AS source", "'' AS source_url",
+        "concat(chapter, ':', para_index) AS identifier", "'' AS licence", "'' AS author",
+        # a picture without the right start is not kept; one that is too small is kept and not given out
+        "concat(CASE WHEN para_index % 4 = 0 THEN X'FFD9' ELSE X'FFD8' END, cast(repeat('x', 1018 + cast((chapter + para_index) % 10 AS int)) AS binary)) AS payload",
+        "chapter * 1000 + para_index AS saved", "chapter % 2 AS turn",
+    )
+    with scratch(spark) as folder:
+        kept = library.Library(spark, folder, buckets=16)
+        for turn in (0, 1):
+            kept.save(answers.where(F.col("turn") == turn), "saved")
+        found = kept.find(plans)
+        return settle(found.select("chapter", "para_index", "identifier", F.octet_length("payload").alias("size")))
+
+
 @query("snk_04_public_projection", views.sql("select identifier, source, pos, width from cand", "cand"))
 def _(spark, d):
     rows = views.candidates(spark, d).withColumns({"path": F.lit("/private"), "picture": F.struct("width", F.lit("k").alias("secret"))})
@@ -748,10 +808,10 @@ def _(spark, d):
     return sinks.current_jobs(events).select("job_id", "status", F.col("ts").alias("updated_at"))
 
 
-@query("agg_14_job_stats", views.sql("select job_type, status, count(*) as n, min(epoch(completed_at)::bigint - epoch(created_at)::bigint) as least_s, max(epoch(completed_at)::bigint - epoch(created_at)::bigint) as most_s from jobs group by 1, 2", "jobs"))
+@query("agg_14_job_stats", views.sql("select job_type, status, count(*) as n, min(epoch(completed_at)::bigint - epoch(created_at)::bigint) as least_s, max(epoch(completed_at)::bigint - epoch(created_at)::bigint) as most_s, quantile_disc(epoch(completed_at)::bigint - epoch(created_at)::bigint, 0.5) as median_s, quantile_disc(epoch(completed_at)::bigint - epoch(created_at)::bigint, 0.9) as slow_s from jobs group by 1, 2", "jobs"))
 def _(spark, d):
     took = F.unix_seconds(F.col("completed_at").cast("timestamp")) - F.unix_seconds(F.col("created_at").cast("timestamp"))
-    return views.jobs(spark, d).groupBy("job_type", "status").agg(F.count("*").alias("n"), F.min(took).alias("least_s"), F.max(took).alias("most_s"))
+    return views.jobs(spark, d).groupBy("job_type", "status").agg(F.count("*").alias("n"), F.min(took).alias("least_s"), F.max(took).alias("most_s"), F.percentile_approx(took, 0.5).alias("median_s"), F.percentile_approx(took, 0.9).alias("slow_s"))
 
 
 _TYPES = "case job_type when 'click' then 'simple_edit' when 'view' then 'text_edit' when 'purchase' then 'toc_update' else 'format' end"

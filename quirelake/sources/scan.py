@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import io
-import zipfile
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quirelake.functions import urls
 from quirelake.operators.durable import settle
+from quirelake.sources.archives import MEMBERS, member_batch, members
 
 # Attributes that advertise a page's picture, and the end of a URL that is punctuation.
 META_NAMES = "og:image|og:image:url|og:image:secure_url|twitter:image|image"
@@ -79,20 +79,15 @@ def text_links(hyperlinks: DataFrame, fields: DataFrame, codes: DataFrame, bare:
 
 def archive_members(archives: DataFrame) -> DataFrame:
     """The members of zip archives given as (path, content), as `binaryFile` reads them: path, pos, member, bytes,
-    is_link, error. Only the listing runs in Python; an archive that cannot be read gives one row with its error."""
+    is_link, error. Only the listing runs in Python; an archive that cannot be read gives one row with its error. For archives
+    too large to be held, see archives.listed."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    for pos, i in enumerate(zipfile.ZipFile(io.BytesIO(content)).infolist()):
-                        rows.append((path, pos, i.filename, i.file_size, (i.external_attr >> 16) & 0o170000 == 0o120000, None))
-                except (zipfile.BadZipFile, TypeError):
-                    rows.append((path, None, None, None, None, "not a readable archive"))
-            yield pd.DataFrame(rows, columns=["path", "pos", "member", "bytes", "is_link", "error"])
-
-    return archives.select("path", "content").mapInPandas(run, "path string, pos int, member string, bytes long, is_link boolean, error string")
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield member_batch(members(path, io.BytesIO(content.as_buffer()) if content.is_valid else None))
+
+    return archives.select("path", "content").mapInArrow(run, MEMBERS)
 
 
 def _walked(rows: DataFrame, key: str, json: str, step) -> Iterator[DataFrame]:
