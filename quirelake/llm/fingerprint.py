@@ -24,6 +24,8 @@ SHINGLE = 5
 SCALE = 8
 #: Bytes of texts in one range of ids, about.
 RANGE = 32 << 20
+#: Ranges at most, and ids drawn for each to set its bounds.
+RANGES, DRAWN = 8192, 64
 
 
 def sketches(texts: pa.Array, k: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
@@ -86,14 +88,17 @@ def merged(one: pa.Array, other: pa.Array) -> pa.Array:
     return pa.array([encoded(_united(decoded(a), decoded(b))) for a, b in zip(one.to_pylist(), other.to_pylist(), strict=True)], pa.string())
 
 
-def _ranges(docs: DataFrame, parts: int) -> tuple[list[int], dict[int, int | None]]:
-    """Bounds that cut the ids into about `parts` equal ranges, and for each range that has rows the first id after it.
+def _ranges(docs: DataFrame, n: int, parts: int) -> tuple[list[int], dict[int, int | None]]:
+    """Bounds that cut n ids into about `parts` equal ranges, and for each range that has rows the first id after it.
 
-    The last range gets the smallest id of all. At most one row a range comes to the driver.
+    The last range gets the smallest id of all. Bounds come from ids drawn by hash, about DRAWN a range, and one row a
+    range comes back, so that the driver holds some RANGES * DRAWN ids at most, however large docs is.
     """
-    cuts = F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]), F.lit(20 * parts))
-    bounds = sorted(set(docs.agg(cuts.alias("cuts")).first()["cuts"] or [])) if parts > 1 else []
-    firsts = docs.where("doc_id is not null").groupBy(_range_of(bounds)(F.col("doc_id")).alias("part")).agg(F.min("doc_id").alias("first"))
+    known = docs.where("doc_id is not null")
+    share = int((1 << 30) * min(1.0, parts * DRAWN / max(n, 1)))
+    drawn = sorted(r[0] for r in known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share).select("doc_id").distinct().collect())
+    bounds = sorted({drawn[i * len(drawn) // parts] for i in range(1, parts)}) if drawn else []
+    firsts = known.groupBy(_range_of(bounds)(F.col("doc_id")).alias("part")).agg(F.min("doc_id").alias("first"))
     rows = sorted((r["part"], r["first"]) for r in firsts.collect())
     return bounds, {part: rows[(i + 1) % len(rows)][1] for i, (part, _) in enumerate(rows)}
 
@@ -112,15 +117,15 @@ def with_next(docs: DataFrame, per_batch, schema: str, parts: int | None = None)
     """Rows of schema that per_batch(doc_ids, texts, next_texts) makes of each text and the one with the next larger doc_id.
 
     After the largest id comes the smallest. Rows with the same id follow each other by text; a row with a null id is
-    its own next. Texts are shuffled once, by ranges of ids of about RANGE bytes; the first row of each range also goes
-    to the range before.
+    its own next. Texts are shuffled once, by ranges of ids of about RANGE bytes, or by RANGES larger ones; a task sorts its range, spilling,
+    and holds one batch of it. The first row of each range also goes to the range before.
     """
     spark = docs.sparkSession
+    size, n = docs.agg(F.sum(F.octet_length("text")), F.count("doc_id")).first()
     if parts is None:
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE))
+        parts = min(RANGES, max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // RANGE)))
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds, following = _ranges(docs, parts)
+    bounds, following = _ranges(docs, n, parts)
     known = docs.where("doc_id is not null").withColumns({"part": _range_of(bounds)(F.col("doc_id")), "guest": F.lit(False)})
     homes = spark.createDataFrame([(first, part) for part, first in following.items()], "doc_id long, part int")
     guests = docs.join(F.broadcast(homes), "doc_id").select("doc_id", "text", "part", F.lit(True).alias("guest"))

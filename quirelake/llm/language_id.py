@@ -207,13 +207,15 @@ def identify(docs: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
     return told.withColumns({"lang_pred": F.col(f"{name}.lang"), "score": F.col(f"{name}.score")}).drop(name)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.0, fill: bool = False) -> DataFrame:
     """The rows of docs whose language is known (not `und`) with at least that score; columns as they came.
 
-    Where no row has a usable label no model can be fitted, and all rows with a letter stay.
+    With fill a null lang becomes the predicted one. Where no row has a usable label no model can be fitted, and all
+    rows with a letter stay as they are.
     """
     model = _learned(docs)
     if not model.langs:
         return docs.where(has_letter("text"))
     told, name = _told(docs, model)
-    return told.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= least)).drop(name)
+    kept = told.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= least))
+    return (kept.withColumn("lang", F.coalesce("lang", F.col(f"{name}.lang"))) if fill else kept).drop(name)

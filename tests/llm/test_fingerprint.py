@@ -85,3 +85,17 @@ def test_merged_sketches_are_those_of_the_union(spark):
         both = set(fp.decoded(r.x).tolist()) | set(fp.decoded(r.y).tolist())
         assert set(fp.decoded(r.m).tolist()) == ({h for h in both if h < 2**32 // fp.SCALE} or {min(both)})
         assert r.c is None or 0 <= r.c <= 1
+
+
+def test_many_ranges_and_few_drawn_ids(spark, monkeypatch):
+    """More ranges than ids, and bounds from a few drawn ids: the same edits, and no more on the driver than was drawn."""
+    rows = [(7 * i, f"text {i} " * (i % 9)) for i in range(400)] + [(21, "again")] * 200
+    want = expected(rows)
+    docs = table(spark, rows)
+    for parts, drawn in ((1000, 64), (10, 2)):
+        monkeypatch.setattr(fp, "DRAWN", drawn)
+        bounds, _ = fp._ranges(docs.select("doc_id"), 600, parts)
+        assert len(bounds) <= min(parts, 401)
+        schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+        got = fp.with_next(docs, fp._edited, schema, parts=parts).collect()
+        assert sorted([(r.doc_id, r.n_chars, r.edited_sha256) for r in got], key=str) == want

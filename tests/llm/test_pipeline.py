@@ -2,6 +2,7 @@ import re
 
 import corpus_pipeline as cp
 from helpers import ODD, SCHEMA, given, table
+from pyspark.sql import functions as F
 from test_ngram_join import brute
 from test_packing import check
 
@@ -54,3 +55,21 @@ def test_stages_on_odd_rows_and_extra_columns(spark):
     assert got == sorted(["3", "4", "5", "7", "8", "None", "9"])
     for _, stage in cp.STAGES[:-1]:
         assert stage(spark, spark.createDataFrame([], SCHEMA), "").count() == 0
+
+
+def test_the_language_model_fills_what_is_missing(spark):
+    """The stage's answer depends on its model: languages that are not given are predicted, given ones stay."""
+    docs = given(spark, "sf0.01")
+    known = {r.doc_id: r.lang for r in docs.collect()}
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("lang")))
+    left = cp.identify_language(spark, hidden, "").collect()
+    assert all(r.lang is not None for r in left)
+    assert all(r.lang == known[r.doc_id] for r in left if r.doc_id % 3 and known[r.doc_id] is not None)
+    told = [(r.lang, known[r.doc_id]) for r in left if r.doc_id % 3 == 0 and known[r.doc_id] is not None and len(r.text) > 40]
+    assert len({t for t, _ in told}) > 2 and sum(a == b for a, b in told) >= 0.9 * len(told)
+    # labels turned round turn the answers round
+    other = {"en": "es", "es": "en"}
+    swapped = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("lang") == "en", "es").when(F.col("lang") == "es", "en").otherwise(F.col("lang")))
+    again = {r.doc_id: r.lang for r in cp.identify_language(spark, swapped, "").collect()}
+    told = [(again[r.doc_id], other[r.lang]) for r in left if r.doc_id % 3 == 0 and r.lang in other and len(r.text) > 40]
+    assert told and sum(a == b for a, b in told) >= 0.9 * len(told)
