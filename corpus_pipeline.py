@@ -13,8 +13,8 @@ from quirelake.llm.common import settle
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told (null, or no letter) go."""
-    return language_id.keep_identified(docs)
+    """Documents whose language cannot be told (null, or no letter) go; a language that is not given becomes the predicted one."""
+    return language_id.keep_identified(docs, fill=True)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
