@@ -16,15 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirelake.llm.common import mix64, settle
 
 WINDOW = 1024
-#: Tokens of a shard, about: bounds the memory of one task.
-SHARD = 2_000_000
+#: Tokens of a shard at most, with ROW for each document besides its own: bounds the memory of one task. A single
+#: document may be larger.
+SHARD, ROW = 2_000_000, 32
+#: Signatures are counted in so many steps for each doubling, 63 times as many in all.
+STEPS = 1024
 #: Rows whose texts and ids a worker holds at once while it encodes.
 ROWS = 512
 #: Neighbours that are put in order at first; the rest only where these leave room.
@@ -129,6 +131,8 @@ class Index:
         terms = self.own[self.from_[seed] : self.from_[seed + 1]]
         begin, length = self.begin[terms], self.end[terms] - self.begin[terms]
         n = int(length.sum())
+        if not n:
+            return
         if 4 * n < len(self.doc):
             at = np.repeat(begin - np.cumsum(length) + length, length) + np.arange(n)
             doc, score = self.doc[at], self.score[at]
@@ -137,17 +141,25 @@ class Index:
             asked[terms] = True
             at = asked[self.term]
             doc, score = self.doc[at], self.score[at]
-        total = np.bincount(doc, score, len(unused))
+        if 8 * n < len(unused):  # few documents of the shard are met: only these are summed
+            order = np.argsort(doc, kind="stable")
+            doc, score = doc[order], score[order]
+            heads = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+            found, total = doc[heads].astype(np.int64), np.add.reduceat(score, heads)
+        else:
+            total = np.bincount(doc, score, len(unused))
+            found = np.flatnonzero(total > 0)
+            total = total[found]
         self.passed += n
         if self.passed > 8 * len(self.doc):
             self._drop(unused)
-        found = np.flatnonzero((total > 0) & unused)
-        rest = found[:0]
+        free = unused[found]
+        found, total = found[free], total[free]
+        first = np.ones(len(found), bool)
         if len(found) > FIRST:
-            last = np.partition(total[found], -FIRST)[-FIRST]
-            found, rest = found[total[found] >= last], found[total[found] < last]
-        for group in (found, rest):
-            yield from group[np.lexsort((group, -total[group]))].tolist()
+            first = total >= np.partition(total, -FIRST)[-FIRST]
+        for group in (first, ~first):
+            yield from found[group][np.lexsort((found[group], -total[group]))].tolist()
 
 
 def order_of(ids: list[np.ndarray], window: int = WINDOW) -> list[int]:
@@ -191,6 +203,31 @@ def _pieces(docs: list[tuple], window: int) -> Iterator[tuple[int, int, int, int
                 sequence, begin = sequence + 1, at
 
 
+def dealt_out(ready: DataFrame, shard: int) -> tuple[DataFrame, int]:
+    """ready (n_ids, signature and more) with shard, and the number of shards.
+
+    Neighbouring signatures go together while their documents fit: the tokens of each step of signatures are counted,
+    63 * STEPS rows for the driver at most, and steps are put into shards in their order. A step that is too large alone,
+    such as that of one common passage or of all texts without terms, is dealt among as many shards as it fills.
+    """
+    slot = F.floor(F.log2(F.col("signature") + F.lit(1.0)) * STEPS).cast("int")
+    weight = F.col("n_ids") + ROW
+    cells = ready.groupBy(slot.alias("slot")).agg(F.sum(weight).alias("w")).orderBy("slot").collect()
+    places, shards, filled = [], 0, shard
+    for r in cells:
+        salts = max(1, math.ceil(r["w"] / shard))
+        if salts > 1 or filled + r["w"] > shard:
+            places.append((r["slot"], shards, salts))
+            shards, filled = shards + salts, r["w"] if salts == 1 else shard
+        else:
+            places.append((r["slot"], shards - 1, 1))
+            filled += r["w"]
+    table = ready.sparkSession.createDataFrame(places, "slot int, first int, salts int")
+    # the rows are those of a checkpoint, so that their numbers stay the same
+    met = ready.withColumns({"slot": slot, "row": F.monotonically_increasing_id()}).join(F.broadcast(table), "slot")
+    return met.withColumn("shard", (F.col("first") + F.pmod("row", F.col("salts"))).cast("int")).drop("slot", "row", "first", "salts"), shards
+
+
 def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -199,26 +236,26 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW,
     """
     if window & (window - 1):
         raise ValueError("window must be a power of two")
-    ready = settle(tokenised(docs, tokenizer))
-    total = ready.agg(F.sum("n_ids")).first()[0] or 0
-    shards = max(1, math.ceil(total / shard))
-    dealt = ready.repartitionByRange(shards, "signature", "doc_id")
+    met, shards = dealt_out(settle(tokenised(docs, tokenizer)), shard)
+    dealt = met.repartitionById(max(shards, 1), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        mine: dict[int, list] = {}
         for batch in batches:
             ids = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
-            rows += zip(batch.column("doc_id").to_pylist(), ids, batch.column("signature").to_pylist(), strict=True)
-        rows.sort(key=lambda r: (r[2], r[0] is None, r[0] or 0, r[1].tobytes()))
-        rows = [rows[i] for i in order_of([r[1] for r in rows], window)]
-        base = TaskContext.get().partitionId() << 32
-        out = []
-        for k, start, take, sequence, offset in _pieces(rows, window):
-            doc_id, ids, _ = rows[k]
-            crc = zlib.crc32(ids[start : start + take].astype("<u4").tobytes())
-            out.append((doc_id, start, take, crc, len(ids), base + sequence, offset))
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            for number, *row in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), ids, batch.column("signature").to_pylist(), strict=True):
+                mine.setdefault(number, []).append(row)
+        for number in sorted(mine):
+            rows = mine.pop(number)
+            rows.sort(key=lambda r: (r[2], r[0] is None, r[0] or 0, r[1].tobytes()))
+            rows = [rows[i] for i in order_of([r[1] for r in rows], window)]
+            out = []
+            for k, start, take, sequence, offset in _pieces(rows, window):
+                doc_id, ids, _ = rows[k]
+                crc = zlib.crc32(ids[start : start + take].astype("<u4").tobytes())
+                out.append((doc_id, start, take, crc, len(ids), (number << 32) + sequence, offset))
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            columns = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return dealt.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

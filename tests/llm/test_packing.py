@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 from helpers import ODD, given, table
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quirelake.llm import packing
@@ -113,3 +114,23 @@ def test_a_seed_takes_its_best_neighbours_until_its_window_is_full():
             unused[take] = False
             want += take
     assert packing.order_of(docs, 64) == want and sorted(want) == list(range(200))
+
+
+def test_shards_hold_what_they_may(spark):
+    """Long, short, empty and equal texts: no shard is over its bound, and few are much below it."""
+    docs = given(spark).select("doc_id", "text").unionByName(table(spark, [(10_000 + i, "same words again " * 40) for i in range(300)] + [(20_000 + i, "") for i in range(2000)]).select("doc_id", "text"))
+    ready = packing.settle(packing.tokenised(docs, "byte_bpe_50k"))
+    met, n = packing.dealt_out(ready, 40_000)
+    sizes = {r.shard: r.w for r in met.groupBy("shard").agg(F.sum(F.col("n_ids") + packing.ROW).alias("w")).collect()}
+    whole = ready.agg(F.sum(F.col("n_ids") + packing.ROW)).first()[0]
+    largest = ready.agg(F.max("n_ids")).first()[0]
+    assert n == max(sizes) + 1 and max(sizes.values()) <= 1.2 * 40_000 + largest and n <= 3 * whole / 40_000
+    check(docs, packing.pack(docs, shard=40_000))
+
+
+def test_many_empty_texts_in_one_shard():
+    import time
+
+    began = time.time()
+    assert packing.order_of([np.zeros(1, np.uint16)] * 200_000) == list(range(200_000))
+    assert time.time() - began < 20
