@@ -72,6 +72,11 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def own_columns(df: DataFrame) -> list:
+    """The columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def text_column(df: DataFrame):
     """The text with null as empty."""
     return F.coalesce(F.col("text"), F.lit(""))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import BLANKS, bit_filter, passing, settle, text_column
+from quirelake.llm.common import BLANKS, bit_filter, own_columns, passing, settle, text_column
 
 #: Code points of the normalised text that the second level hashes.
 PREFIX = 256
@@ -107,7 +107,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     some = settle(digests(docs, repeated=repeated).where("survivor").drop("survivor"))
     kinds = _judged(some).groupBy("doc_id", "n_code", "text_sha256", "kept").agg(F.count("*").alias("n"))
     told = settle(kinds.where("not kept or n > 1"))
-    rows = digests(docs.withColumn("_row", F.struct(*docs.columns)), repeated=repeated, others=("_row",))
+    rows = digests(docs.withColumn("_row", F.struct(*own_columns(docs))), repeated=repeated, others=("_row",))
     mark = told.select(F.col("doc_id").alias("_id"), F.col("n_code").alias("_len"), F.col("text_sha256").alias("_sha"), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n_code") == F.col("_len")) & (F.col("text_sha256") == F.col("_sha"))
     if told.where("kept").isEmpty():

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import Stored, bit_filter, hashed_words, lists_of_longs, mix64, passing, settle, shingle_sets, text_column
+from quirelake.llm.common import Stored, bit_filter, hashed_words, lists_of_longs, mix64, own_columns, passing, settle, shingle_sets, text_column
 from quirelake.llm.components import components
 
 #: Nodes that share a key, above which the key counts as frequent.
@@ -274,7 +274,7 @@ def drop_similar(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) ->
         groups = similar_groups(docs, k, num, den)
         gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
         return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_column(docs).alias("text"))
+    rows = docs.select(F.struct(*own_columns(docs)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), text_column(docs).alias("text"))
     own = spelled.select(F.col("doc_id").alias("_own"), F.col("_sha"), "_alias")
     rows = rows.join(own, (F.col("_id") == F.col("_own")) & (F.sha2("text", 256) == F.col("_sha")), "left")
     again = F.col("_alias").isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")

@@ -9,23 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import exact_dedup, fingerprint, language_id, ngram_join, packing, periodic, pieces, quality, secret_scan, substring_dedup, url_filter, warc, whitening
-from quirelake.llm.common import scratch
+from quirelake.llm.common import scratch, settle
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-# The place rules of the URL query, longest match first, and words that mark a host as spam.
+# The place rules of the URL query.
 PLACES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-SPAM_WORDS = ("spam", "pills", "casino", "viagra", "poker", "porn", "xxx", "malware", "phishing", "warez")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = [url_filter.place_rule(p, v) for p, v in PLACES] + [url_filter.word_rule(w, "block") for w in SPAM_WORDS]
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    judged = url_filter.filter_urls(pages, url_filter.rule_table(spark, rules))
-    placed = F.when(~F.col("rule").startswith("word:"), F.col("rule"))
+    rules = url_filter.rule_table(spark, [url_filter.place_rule(p, v) for p, v in PLACES]).unionByName(url_filter.trap_rules(pages))
+    judged = url_filter.filter_urls(pages, settle(rules))
+    placed = F.when(~F.col("rule").startswith("trap:"), F.col("rule"))
     return judged.select("page_id", "host", "path", placed.alias("rule"), "verdict")
 
 
@@ -35,6 +34,11 @@ with parts as (
          coalesce(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
          coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') as path
   from pages
+), traps as (
+  select host, path from (
+    select distinct url, coalesce(translate(regexp_extract(url, '(?s)\A.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+           coalesce(regexp_extract(url, '(?s)\A.*?://[^/?#]*([^?#]*)', 1), '') as path from pages)
+  where host <> '' and regexp_matches(host || path, '[A-Za-z0-9]') group by 1, 2 having count(*) >= {url_filter.TRAP}
 ), rules(rule, rule_host, rule_path, verdict) as (
   values ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
          ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
@@ -45,8 +49,7 @@ with parts as (
         from parts p cross join rules r)
   group by page_id, host, path
 )
-select page_id, host, path, rule,
-       coalesce(verdict, case when regexp_matches(host, '(^|[^A-Za-z0-9])({"|".join(SPAM_WORDS)})([^A-Za-z0-9]|$)') then 'block' else 'allow' end) as verdict
+select page_id, host, path, rule, coalesce(verdict, case when (host, path) in (select host, path from traps) then 'block' else 'allow' end) as verdict
 from best
 """
 

@@ -14,10 +14,12 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import settle, unused_name
+from quirelake.llm.common import own_columns, settle, unused_name
 
 #: Rules whose index is broadcast, at most.
 BROADCAST = 200_000
+#: URLs of one place that make it a trap.
+TRAP = 3
 #: Columns of a table of rules.
 RULES = "name string, pattern string, tokens array<string>, verdict string, rank int"
 _TOKEN = re.compile(r"[A-Za-z0-9]+")
@@ -67,6 +69,20 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(r.name, r.pattern, list(r.tokens), r.verdict, r.rank) for r in rules], RULES)
 
 
+def trap_rules(urls: DataFrame, least: int = TRAP, url: str = "url") -> DataFrame:
+    """A table of rules that block each place (host and path) which `least` or more different URLs lead to: addresses
+    that differ in their query or fragment alone, as calendars, sessions and sort orders make without end.
+
+    Every other rule outranks them. A place without an ASCII letter or digit gets no rule, as no token could fetch it.
+    """
+    places = urls.select(F.col(url).alias("url"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")).where("host <> ''").distinct()
+    many = places.groupBy("host", "path").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    place = F.concat("host", "path")
+    literal = F.concat(F.lit(r"(?s)\A\Q"), F.replace(place, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E\z"))
+    rules = many.select(F.concat(F.lit("trap:"), place).alias("name"), literal.alias("pattern"), tokens_of(place).alias("tokens"), F.lit("block").alias("verdict"), F.lit(0).alias("rank"))
+    return rules.where(F.size("tokens") > 0)
+
+
 def token_index(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """(token, name, pattern, verdict, rank): each rule under that of its tokens which the fewest targets hold.
 
@@ -103,4 +119,5 @@ def filter_urls(urls: DataFrame, rules: DataFrame, default: str = "allow", url:
     told = fits.groupBy("host", "path").agg(F.max(F.struct("rank", "name", "verdict")).alias(best))
     judged = parts.drop("rule", "verdict").join(told, ["host", "path"], "left")
     out = judged.withColumns({"rule": F.col(f"{best}.name"), "verdict": F.coalesce(f"{best}.verdict", F.lit(default))}).drop(best)
-    return out.select(*[c for c in parts.columns if c.lower() not in ("rule", "verdict")], "rule", "verdict")
+    kept = [c for c, name in zip(own_columns(parts), parts.columns, strict=True) if name.lower() not in ("rule", "verdict")]
+    return out.select(*kept, "rule", "verdict")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 from helpers import ODD, given, table
+from pyspark.sql import functions as F
 
 from quirelake.llm import common
 from quirelake.llm import exact_dedup as ed
@@ -68,3 +69,9 @@ def test_rows_go_one_by_one_not_by_their_id(spark):
 def test_no_python_on_the_main_path(spark):
     plan = ed.exact_dedup(given(spark))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_column_names_with_dots(spark):
+    docs = table(spark, [(1, "a"), (2, "a "), (3, "b")]).withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
+    out = ed.drop_copies(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [2, 3]

@@ -4,6 +4,7 @@ from itertools import combinations
 
 import pytest
 from helpers import ODD, given, table
+from pyspark.sql import functions as F
 
 from quirelake.llm import ngram_join as nj
 
@@ -113,3 +114,9 @@ def test_sketch_words_bound_the_difference():
             if m * 100 >= n * 80:
                 assert set(bands.of(n)) & set(bands.of(m)), (n, m)
         assert len(bands.of(n)) <= 2
+
+
+def test_column_names_with_dots(spark):
+    docs = table(spark, [(1, "one two three four five six"), (1, "one two three four five six"), (2, "other words that are here now")]).withColumn("a.b", F.lit(1))
+    out = nj.drop_similar(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]

@@ -10,17 +10,24 @@ URLS = [
     "http://a.net/x", "http://net/", "http://net", "https://en.example.net/en/1?x=/en/", "http://example.net/EN/1", "http://badexample.net/en/", None, "",
     "no scheme", "http://", "HTTP://X.ORG/fr/a", "ftp://u:p@b.org/fr/", "http://b.org:80/fr/", "x://y://z.net/q", "http://www.Cheap-PILLS.example.com/en", "http://example.com/de/#a",
     "http://sub.example.com/de/x", "http://pillsbury.com/", "http://a.net\n/x", "http://ünet/", "http://a.b.org/fr", "http://xn.net?/", "http://casino", "http://x.com/casino",
+    *[f"http://cal.example.org/day?d={i}" for i in range(3)], "http://cal.example.org/day#x", "http://cal.example.org/day/", "http://two.org/a?1", "http://two.org/a?2", "http://two.org/a?2",
+    *[f"https://a.b.org/fr/x?{i}" for i in range(4)], *[f"http://q.com/\\E.*?{i}" for i in range(3)], "http://q.com/\\Ezz", *[f"http://é.é/?{i}" for i in range(3)], *[f"http://?{i}" for i in range(3)],
 ]
 
 
-def judged(url):
-    """(host, path, rule, verdict) by plain Python."""
+def split(url):
     host = path = ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
         host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in host)
+    return host, path
+
+
+def judged(url):
+    """(host, path, rule, verdict) by plain Python."""
+    host, path = split(url)
     fits = []
     for place, verdict in queries.PLACES:
         h, _, p = place.partition("/")
@@ -28,8 +35,9 @@ def judged(url):
             fits.append((len(place), place, verdict))
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    spam = any(t in queries.SPAM_WORDS for t in re.findall("[A-Za-z0-9]+", host))
-    return host, path, None, "block" if spam else "allow"
+    same = len({u for u in URLS if u and split(u) == (host, path)})
+    trap = host and re.search("[A-Za-z0-9]", host + path) and same >= uf.TRAP
+    return host, path, None, "block" if trap else "allow"
 
 
 def test_query_against_plain_python(spark, tmp_path):
@@ -64,3 +72,16 @@ def test_clashing_columns_and_rules_without_a_token(spark):
 def test_no_python_on_the_main_path(spark):
     plan = queries.op2_url_filter(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_traps_are_rules_of_the_data(spark):
+    urls = spark.createDataFrame([(u,) for u in URLS], "url string")
+    rules = {r.name: r for r in uf.trap_rules(urls).collect()}
+    assert set(rules) == {"trap:cal.example.org/day", "trap:a.b.org/fr/x", "trap:q.com/\\E.*"}
+    assert rules["trap:cal.example.org/day"].tokens == ["cal", "example", "org", "day"] and {r["verdict"] for r in rules.values()} == {"block"}
+
+
+def test_column_names_with_dots(spark):
+    urls = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string").withColumn("a.b", F.lit(1)).withColumn("c`d", F.lit(2))
+    out = uf.filter_urls(urls, uf.rule_table(spark, [uf.place_rule("net/", "block")]))
+    assert out.columns == ["page_id", "url", "a.b", "c`d", "host", "path", "rule", "verdict"] and out.first()["verdict"] == "block"
