@@ -285,7 +285,7 @@ def served_from_store(requests: DataFrame, hours: int = 24, width: int = 3600) -
     known = answers.withColumnRenamed("a", "own").join(ahead, ["k", "part"], "full").withColumnsRenamed({"k": "_k", "part": "_part"})
     met = rows.withColumn("_part", _slice(F.col("_at"), life)).join(known, ["_k", "_part"], "left")
     serves = F.when(F.col("own.at") <= F.col("_at"), F.col("own.ts")).otherwise(F.col("before.ts"))
-    return met.select(*requests.columns, serves.alias("saved_at"))
+    return met.select(*[F.col(f"`{c}`") for c in requests.columns], serves.alias("saved_at"))
 
 
 def latest_within(left: DataFrame, right: DataFrame, key: str, hours: int) -> DataFrame:
@@ -422,14 +422,14 @@ def title_covers(titles: DataFrame, covers: DataFrame, key: str) -> DataFrame:
     return asked.join(found, "_w").select(key, "cover")
 
 
-def lineage(jobs: DataFrame, label: Column | None = None) -> DataFrame:
-    """(start, depth, job_id, label): the chain from each completed job (job_id, parent_id, job_type, status) through
-    its parents, the job itself at depth 0. It ends before a job that is missing, not completed or already in the chain.
+def lineage(jobs: DataFrame, label: Column | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+    """(start, depth, job_id, label, is_current and the columns kept): the chain from each completed job (job_id, parent_id, job_type, status) through
+    its parents, the job itself, the current one, at depth 0. It ends before a job that is missing, not completed or already in the chain.
 
     Chains of any length double with each join: a table of jumps holds for each job the one 2 ** k parents up, and rows
     up to depth 2 ** k give those up to twice that. Only where jumps never end, on cycles, chains are held against themselves.
     """
-    done = settle(jobs.where("status = 'completed'").select("job_id", "parent_id", (F.col("job_type") if label is None else label).alias("label")))
+    done = settle(jobs.where("status = 'completed'").select("job_id", "parent_id", (F.col("job_type") if label is None else label).alias("label"), *kept))
     ids = done.select("job_id").distinct()
     jump = settle(done.join(ids.withColumnRenamed("job_id", "parent_id"), "parent_id", "left_semi").select("job_id", F.col("parent_id").alias("up")).distinct())
     rows, reach, n = ids.select(F.col("job_id").alias("start"), F.lit(0).alias("depth"), "job_id"), 1, ids.count()
@@ -440,7 +440,7 @@ def lineage(jobs: DataFrame, label: Column | None = None) -> DataFrame:
             break
         ahead = jump.select(F.col("job_id").alias("up"), F.col("up").alias("_up"))
         jump, reach = settle(jump.join(ahead, "up").select("job_id", F.col("_up").alias("up"))), 2 * reach
-    return rows.join(done.select("job_id", "label"), "job_id").select("start", "depth", "job_id", "label")
+    return rows.join(done.select("job_id", "label", *kept), "job_id").select("start", "depth", "job_id", "label", (F.col("depth") == 0).alias("is_current"), *kept)
 
 
 def number_links(links: DataFrame, most: int = 100) -> DataFrame:

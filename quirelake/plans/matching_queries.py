@@ -834,7 +834,17 @@ with walk as (select job_id as start, 0 as depth, job_id, parent_id, job_type fr
   union all select w.start, w.depth + 1, j.job_id, j.parent_id, j.job_type from walk w join jobs j on j.job_id = w.parent_id where j.status = 'completed')
 select start, depth, job_id, {_LABELLED} as label from walk""", "jobs", recursive=True))
 def _(spark, d):
-    return matching.lineage(_detailed(spark, d), jobs.job_label(F.col("job_type"), F.col("details")))
+    return matching.lineage(_detailed(spark, d), jobs.job_label(F.col("job_type"), F.col("details"))).drop("is_current")
+
+
+@query("jn_16_job_history", views.sql(f"""
+with walk as (select job_id as start, 0 as depth, job_id, parent_id, job_type, completed_at from jobs where status = 'completed'
+  union all select w.start, w.depth + 1, j.job_id, j.parent_id, j.job_type, j.completed_at from walk w join jobs j on j.job_id = w.parent_id where j.status = 'completed')
+select start, depth, job_id, {_LABELLED} as label, depth = 0 as is_current, {_TYPES} as job_type, 'output_' || job_id || '.docx' as filename, completed_at from walk""", "jobs", recursive=True))
+def _(spark, d):
+    done = views.jobs(spark, d).select("job_id", "completed_at", F.concat(F.lit("output_"), F.col("job_id").cast("string"), F.lit(".docx")).alias("filename"))
+    rows = _detailed(spark, d).join(done, "job_id")
+    return matching.lineage(rows, jobs.job_label(F.col("job_type"), F.col("details")), ("job_type", "filename", "completed_at"))
 
 
 @query("fn_23_label_of_job", views.sql(f"select {_TYPES} as job_type, {_LABELLED} as label, count(*) as n from jobs group by 1, 2", "jobs"))

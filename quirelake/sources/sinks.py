@@ -50,41 +50,44 @@ def validation_report(docs: DataFrame, places: DataFrame, files: DataFrame, prob
 
     places (doc_id, number, filename): a row an occurrence of a placeholder, with the file put there or null. files
     (doc_id, number, filename, chosen): the valid files. problems (doc_id, kind, name, reason): kind is `corrupted`,
-    `unsupported` or `archive`. Every line is a row with its section and place until they are joined.
+    `unsupported` or `archive`. Each table is read once and brought to one row a document, whose arrays make the lines.
     """
-    image = F.concat(F.lit("Image "), F.col("number").cast("string"))
-
-    def lines(rows: DataFrame, section: int, text: Column, *place: Column) -> DataFrame:
-        return rows.select("doc_id", F.lit(section).alias("section"), F.array(*[F.lpad(x.cast("string"), 12, "0") if i == 0 and section != 1 else x.cast("string") for i, x in enumerate(place)]).alias("place"), text.alias("line"))
-
-    none = F.lit("")
-    gone = places.where("filename IS NULL").groupBy("doc_id", "number").agg(F.count("*").alias("n"))
-    used = places.where("filename IS NOT NULL").select("doc_id", "filename").distinct()
-    idle = files.select("doc_id", "filename").distinct().join(used, ["doc_id", "filename"], "left_anti")
-    often = places.groupBy("doc_id", "number").agg(F.count("*").alias("n")).where("n > 1")
-    same = files.groupBy("doc_id", "number").agg(F.count("*").alias("n"), F.max(F.when(F.col("chosen"), F.col("filename"))).alias("pick")).where("n > 1")
-    pick = F.coalesce("pick", F.lit("none (all invalid)"))
-    others = files.join(same.select("doc_id", "number", "pick"), ["doc_id", "number"]).where(~F.col("filename").eqNullSafe(pick))
-    totals = gone.groupBy("doc_id").agg(F.sum("n").alias("n"), F.count("*").alias("m")).where("n > m")
-    bad = {k: problems.where(F.col("kind") == k) for k in ("corrupted", "unsupported", "archive")}
-    told = F.concat_ws(": ", "name", "reason")
-    last = F.lit(999999999999)
-    every = [
-        lines(gone, 0, image, F.col("number"), none), lines(totals, 0, F.concat(F.lit("Missing placeholder occurrences: "), F.col("n").cast("string")), last, none),
-        lines(idle, 1, F.col("filename"), F.lower("filename"), F.col("filename")), lines(often, 2, F.concat(image, F.lit(": "), F.col("n").cast("string"), F.lit(" occurrences")), F.col("number"), none),
-        lines(same, 3, F.concat(image, F.lit(": selected "), pick), F.col("number"), none, none),
-        lines(others, 3, F.concat(F.lit("  Ignored duplicate: "), F.col("filename")), F.col("number"), F.concat(F.lit("1"), F.lower("filename")), F.col("filename")),
-        lines(bad["corrupted"], 4, told, F.lit(0), F.col("name")), lines(bad["unsupported"], 5, F.col("name"), F.lit(0), F.col("name")), lines(bad["archive"], 6, told, F.lit(0), F.col("name")),
+    by_number = places.groupBy("doc_id", "number").agg(F.count("*").alias("n"), F.count("filename").alias("there"), F.collect_set("filename").alias("names"))
+    asked = by_number.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "n", "there", "names"))).alias("p"))
+    of_number = files.groupBy("doc_id", "number").agg(F.count("*").alias("n"), F.max(F.when(F.col("chosen"), F.col("filename"))).alias("pick"), F.collect_list("filename").alias("names"))
+    given = of_number.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "n", "pick", "names"))).alias("f"))
+    wrong = problems.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("name", "reason", "kind"))).alias("b"))
+    rows = reduce(lambda d, x: d.join(x, "doc_id", "left"), [asked, given, wrong], docs.select("doc_id").distinct())
+    rows = rows.select("doc_id", *[F.coalesce(c, F.array().cast(t.schema[c].dataType)).alias(c) for c, t in (("p", asked), ("f", given), ("b", wrong))])
+    image = lambda x: F.concat(F.lit("Image "), x["number"].cast("string"))
+    total = lambda values, zero=0: F.aggregate(values, F.lit(zero).cast("long"), lambda a, x: a + x)
+    in_order = lambda names: F.transform(F.array_sort(F.transform(names, lambda x: F.struct(F.lower(x).alias("l"), x.alias("n")))), lambda x: x["n"])
+    gone = F.filter("p", lambda x: x["n"] > x["there"])
+    missed = total(F.transform(gone, lambda x: x["n"] - x["there"]))
+    names = lambda c: F.array_distinct(F.flatten(F.transform(c, lambda x: x["names"])))
+    rows = rows.withColumns({"gone": gone, "missed": missed, "idle": in_order(F.array_except(names("f"), names("p")))})
+
+    def doubled(x: Column) -> Column:
+        pick = F.coalesce(x["pick"], F.lit("none (all invalid)"))
+        others = in_order(F.filter(x["names"], lambda n: ~n.eqNullSafe(pick)))
+        return F.concat(F.array(F.concat(image(x), F.lit(": selected "), pick)), F.transform(others, lambda n: F.concat(F.lit("  Ignored duplicate: "), n)))
+
+    told = lambda x: F.concat_ws(": ", x["name"], x["reason"])
+    of_kind = lambda kind, text: F.transform(F.filter("b", lambda x: x["kind"] == kind), text)
+    often = F.when(F.col("missed") > F.size("gone"), F.array(F.concat(F.lit("Missing placeholder occurrences: "), F.col("missed").cast("string"))))
+    sections = [
+        F.concat(F.transform("gone", image), F.coalesce(often, F.array().cast("array<string>"))), F.col("idle"),
+        F.transform(F.filter("p", lambda x: x["n"] > 1), lambda x: F.concat(image(x), F.lit(": "), x["n"].cast("string"), F.lit(" occurrences"))),
+        F.flatten(F.transform(F.filter("f", lambda x: x["n"] > 1), doubled)),
+        of_kind("corrupted", told), of_kind("unsupported", lambda x: x["name"]), of_kind("archive", told),
     ]
-    rows = reduce(DataFrame.unionByName, every)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"])
-    titled = rows.groupBy("doc_id", "section").agg(F.concat(F.lit("\n\n"), F.get(F.array(*map(F.lit, SECTIONS)), F.col("section")), F.lit("\n"), F.array_join(parts, "\n")).alias("text"))
-    body = titled.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", "text"))), lambda x: x["text"]), "").alias("body"))
-    counts = [places.groupBy("doc_id").agg(F.count("*").alias("n0"), F.count("filename").alias("n1")), gone.groupBy("doc_id").agg(F.count("*").alias("n2")), idle.groupBy("doc_id").agg(F.count("*").alias("n3"))]
-    out = reduce(lambda d, x: d.join(x, "doc_id", "left"), [*counts, body], docs.select("doc_id").distinct())
-    head = F.concat_ws("\n", F.lit("Document Formatting Complete\n"), *[F.concat(F.lit(t), F.coalesce(f"n{i}", F.lit(0)).cast("string")) for i, t in enumerate(COUNTERS)])
-    end = F.when(F.col("body").isNull(), ENDINGS[1]).otherwise(ENDINGS[0])
-    return out.select("doc_id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("\n\n"), end).alias("report"))
+    rows = rows.select("doc_id", "p", "gone", "idle", F.array(*sections).alias("lines"))
+    titled = F.zip_with(F.array(*map(F.lit, SECTIONS)), "lines", lambda t, x: F.when(F.size(x) > 0, F.concat(F.lit("\n\n"), t, F.lit("\n"), F.array_join(x, "\n"))))
+    rows = rows.withColumn("body", F.array_join(titled, ""))
+    counts = [total(F.transform("p", lambda x: x["n"])), total(F.transform("p", lambda x: x["there"])), F.size("gone"), F.size("idle")]
+    head = F.concat_ws("\n", F.lit("Document Formatting Complete\n"), *[F.concat(F.lit(t), n.cast("string")) for t, n in zip(COUNTERS, counts, strict=True)])
+    end = F.when(F.col("body") == "", ENDINGS[1]).otherwise(ENDINGS[0])
+    return rows.select("doc_id", F.concat(head, F.col("body"), F.lit("\n\n"), end).alias("report"))
 
 
 def library_key(query, subject, orientation):
