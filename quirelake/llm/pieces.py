@@ -5,7 +5,7 @@ one sequence of pieces in which every two neighbours are stable (encoding both t
 also the one path of weight 0 through the lattice of pieces, where an unstable pair weighs minus infinity. A boundary
 between chunks has a state for each piece that ends at or reaches over it. A chunk yields the max-plus matrix from its
 entry states to its exit states, here as the list of its finite cells; matrices of a document are combined in an
-associative scan, which fixes each chunk's states, and the chunks are then traced back independently.
+associative scan of joins, level by level, which fixes each chunk's states, and the chunks are then traced back independently.
 
 No piece holds `▁` after another character, so a word start needs no state: between two of them a chunk is encoded
 word by word, and words are remembered. Those words, and texts below CHUNK characters, are encoded by the sentencepiece
@@ -18,10 +18,10 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirelake.llm.common import Uncut, WordMemory, settle, text_column
 
@@ -231,25 +231,55 @@ def pieces_of(name: str) -> Pieces:
     return _models[name]
 
 
-def path_through(matrices: list[list[tuple]]) -> list[tuple[tuple, tuple]]:
-    """(entry, exit) of each chunk: an up-sweep combines neighbouring max-plus matrices, a down-sweep fixes the states."""
-    if len(matrices) == 1:
-        return [tuple(map(tuple, matrices[0][0]))]
-    joined, through = [], []
-    for k in range(0, len(matrices) - 1, 2):
-        after: dict[tuple, list[tuple]] = {}
-        for a, b in matrices[k + 1]:
-            after.setdefault(tuple(a), []).append(tuple(b))
-        cells = {(tuple(a), x): tuple(m) for a, m in matrices[k] for x in after.get(tuple(m), ())}
-        joined.append(list(cells)), through.append(cells)
-    odd = matrices[len(joined) * 2 :]
-    out = []
-    for k, (a, b) in enumerate(path_through(joined + odd)):
-        if k < len(through):
-            out += [(a, through[k][a, b]), (through[k][a, b], b)]
-        else:
-            out.append((a, b))
-    return out
+def product(one: list[list[int]], other: list[list[int]]) -> list[list[int]]:
+    """The max-plus product of two matrices given by their finite cells (entry state, exit state, and what follows): cells of entry,
+    exit and the state between. Every finite weight is 0, so that any state between is as good as another."""
+    after: dict[tuple, list[tuple]] = {}
+    for cell in other:
+        after.setdefault(tuple(cell[:2]), []).append(tuple(cell[2:4]))
+    cells = {(*cell[:2], *leave): tuple(cell[2:4]) for cell in one for leave in after.get(tuple(cell[2:4]), ())}
+    return [[*c, *between] for c, between in cells.items()]
+
+
+_CELLS = T.ArrayType(T.ArrayType(T.IntegerType()))
+
+
+@F.arrow_udf(_CELLS)
+def _products(one: pa.Array, other: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.list_(pa.int32()))
+    return pa.array([a if b is None else product(a, b) for a, b in zip(one.to_pylist(), other.to_pylist(), strict=True)], kind)
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _between(cells: pa.Array, route: pa.Array) -> pa.Array:
+    """The state in the middle of a route (entry, exit) through a product."""
+    found = [next(c[4:6] for c in cell if c[:4] == r) for cell, r in zip(cells.to_pylist(), route.to_pylist(), strict=True)]
+    return pa.array(found, pa.list_(pa.int32()))
+
+
+def routes_through(matrices: DataFrame) -> DataFrame:
+    """(uid, chunk, route): entry and exit state of each chunk of a table (uid, chunk, cells).
+
+    An up-sweep multiplies neighbouring matrices level by level, a join a level, until one is left of each text; a
+    down-sweep hands the states of each product to its two factors. A text's chunks are never gathered: after k joins
+    a row stands for 2 ** k of them, with a few cells.
+    """
+    levels = [settle(matrices.select("uid", "chunk", "cells"))]
+    while not levels[-1].where("chunk > 0").isEmpty():
+        half = levels[-1].withColumn("pair", F.expr("chunk div 2").cast("int"))
+        right = half.where("chunk % 2 = 1").select("uid", "pair", F.col("cells").alias("other"))
+        both = half.where("chunk % 2 = 0").join(right, ["uid", "pair"], "left")
+        up = both.select("uid", F.col("pair").alias("chunk"), _products("cells", "other").alias("cells"), F.col("other").isNull().alias("single"))
+        levels.append(settle(up))
+    route = F.slice(F.get("cells", F.lit(0)), 1, 4)
+    found = levels[-1].select("uid", "chunk", route.alias("route"))
+    for up in reversed(levels[1:]):
+        known = up.join(found, ["uid", "chunk"])
+        alone = known.where("single").select("uid", (2 * F.col("chunk")).alias("chunk"), "route")
+        split = known.where("not single").withColumn("mid", _between("cells", "route"))
+        parts = F.array(F.struct((2 * F.col("chunk")).alias("chunk"), F.concat(F.slice("route", 1, 2), "mid").alias("route")), F.struct((2 * F.col("chunk") + 1).alias("chunk"), F.concat("mid", F.slice("route", 3, 2)).alias("route")))
+        found = settle(alone.unionByName(split.select("uid", F.inline(parts))))
+    return found
 
 
 def _chunks(rows: DataFrame, size: int, margin: int) -> DataFrame:
@@ -285,11 +315,6 @@ def _giant_ids(rows: DataFrame, model: str, size: int) -> DataFrame:
                 out.append([[*a, *b] for a, b in cell])
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("chunk"), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["uid", "chunk", "cells"])
 
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk")
-        found = path_through([[((c[0], c[1]), (c[2], c[3])) for c in map(list, cell)] for cell in pdf["cells"]])
-        return pd.DataFrame({"uid": pdf["uid"].to_numpy(), "chunk": pdf["chunk"].to_numpy(), "route": [[*a, *b] for a, b in found]})
-
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces_of(model)
         for batch in batches:
@@ -298,8 +323,7 @@ def _giant_ids(rows: DataFrame, model: str, size: int) -> DataFrame:
 
     parts = settle(_chunks(rows, size, 2 * 16))
     matrices = parts.mapInArrow(cells, "uid long, chunk int, cells array<array<int>>")
-    routes = matrices.groupBy("uid").applyInPandas(scan, "uid long, chunk int, route array<int>")  # small: a few cells a chunk
-    traced = parts.join(routes, ["uid", "chunk"]).mapInArrow(trace, "uid long, chunk int, ids binary")
+    traced = parts.join(routes_through(matrices), ["uid", "chunk"]).mapInArrow(trace, "uid long, chunk int, ids binary")
     return traced.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
 
 
