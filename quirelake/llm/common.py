@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -15,6 +17,11 @@ from quirelake.operators.durable import Stored, scratch, settle  # noqa: F401
 #: The six characters that the word and whitespace rules of this package treat as blank.
 BLANKS = " \t\n\v\f\r"
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")  # GNU systems; elsewhere freed memory is left to the allocator
+except OSError:
+    _LIBC = None
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -64,6 +71,31 @@ def passing(df: DataFrame, held: BitFilter, *columns: str) -> DataFrame:
     return met.withColumn("_passes", F.coalesce(F.getbit("_mask", F.col("_bit")) == 1, F.lit(False))).drop("_word", "_mask", "_bit")
 
 
+def each_text(texts: pa.Array) -> Iterator[str]:
+    """The texts one by one, null as empty, so that a batch is not held twice."""
+    for text in texts:
+        yield text.as_py() or ""
+
+
+def row_slices(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose texts have about `size` bytes; a longer text stands alone."""
+    low, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > low and held + n > size:
+            yield low, i
+            low, held = i, 0
+        held += n
+    if low < len(texts):
+        yield low, len(texts)
+
+
+def give_back() -> None:
+    """Hand memory that this worker has freed back to the system: workers are kept between tasks, and so is what they hold."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def unused_name(df: DataFrame, name: str) -> str:
     """name, or a longer one that no column of df has."""
     taken = {c.lower() for c in df.columns}

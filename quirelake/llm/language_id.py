@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from quirelake.llm.common import unused_name, utf8_parts
+from quirelake.llm.common import give_back, row_slices, unused_name, utf8_parts
 from quirelake.llm.linear import fit_hinge
 
 #: Labelled rows a language that the models are fitted on, at most: those with the smallest hash of their id.
@@ -161,8 +161,7 @@ def predictor(model: Model):
     """A column function text -> struct(lang, score); `und` with score 0 for null or letterless text or an empty model."""
     families = sorted({_FAMILY.get(x, x) for x in model.langs})
 
-    @F.arrow_udf("struct<lang:string,score:double>")
-    def predict(texts: pa.Array) -> pa.Array:
+    def told(texts: pa.Array) -> pa.StructArray:
         n = len(texts)
         langs, scores = np.full(n, "und", dtype=object), np.zeros(n)
         lettered = np.asarray(_lettered(texts).to_numpy(zero_copy_only=False), bool)
@@ -179,6 +178,12 @@ def predictor(model: Model):
                 scores[hit] = (sure * p)[hit]
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
+    @F.arrow_udf("struct<lang:string,score:double>")
+    def predict(texts: pa.Array) -> pa.Array:
+        parts = [told(texts.slice(low, high - low)) for low, high in row_slices(texts, 4 * _CUT)]
+        give_back()
+        return pa.concat_arrays(parts) if parts else told(texts)
+
     return predict
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import mix64, settle
+from quirelake.llm.common import give_back, mix64, settle
 
 WINDOW = 1024
 #: Tokens of a shard at most, with ROW for each document besides its own: bounds the memory of one task. A single
@@ -85,6 +85,7 @@ def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
                 [batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.binary()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(least, pa.int64())],
                 names=["doc_id", "ids", "n_ids", "signature"],
             )
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, n_ids long, signature long")
 
@@ -257,5 +258,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW,
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             columns = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+            del rows, out, columns
+            give_back()
 
     return dealt.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

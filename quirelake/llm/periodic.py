@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import _SPACE, hashed_words, utf8_parts
+from quirelake.llm.common import _SPACE, hashed_words, row_slices, utf8_parts
 
 #: A run has at least so many words, and so many times its period.
 LEAST, TIMES = 6, 4
@@ -128,17 +128,6 @@ def _joined(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray, counts: np.n
     return pa.StringArray.from_buffers(len(counts), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes()))
 
 
-def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    low, size = 0, 0
-    for i, n in enumerate(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()):
-        if i > low and size + n > _SLICE:
-            yield low, i
-            low, size = i, 0
-        size += n
-    if low < len(texts):
-        yield low, len(texts)
-
-
 def _worked(ids: list, texts: pa.Array, rewrite: Callable | None, least: int, times: int) -> list[pa.Array]:
     raw, byte_at = utf8_parts(texts)
     starts, ends = _word_ends(raw, byte_at)
@@ -177,7 +166,7 @@ def find_runs(docs: DataFrame, rewrite: Callable | None = None, least: int = LEA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high in _slices(batch.column(1)):
+            for low, high in row_slices(batch.column(1), _SLICE):
                 some = batch.slice(low, high - low)
                 ids = some.column(0)
                 yield pa.RecordBatch.from_arrays([ids, *_worked(ids.to_pylist(), some.column(1), rewrite, least, times)], names=["doc_id", "n_words", "runs", "collapsed"])

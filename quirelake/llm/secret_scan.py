@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
-from quirelake.llm.common import unused_name
+from quirelake.llm.common import each_text, give_back, unused_name
 
 #: Distinct labelled credentials, and as many other tokens, that the automata are learned from, at most: those with the smallest hash.
 SAMPLE = 1500
@@ -183,10 +183,10 @@ def _labelled(texts: pa.Array) -> pa.Array:
     """The labelled credentials of each text; with the first text also the SAMPLE other candidates of the whole batch
     that have the smallest hash, which is all that the sample of all texts can take from it."""
     out, pool = [], set()
-    for text in texts.to_pylist():
-        base = base_spans(text or "")
+    for text in each_text(texts):
+        base = base_spans(text)
         out.append([{"kind": "credential", "value": v} for _, _, _, v in base])
-        pool.update(v for _, v in candidates(text or "", base))
+        pool.update(v for _, v in candidates(text, base))
         if len(pool) > 16 * SAMPLE:
             pool = set(_least(pool))
     if out:
@@ -242,7 +242,7 @@ def span_finder(model: tuple[Automaton, Automaton, float] | None):
 
     @F.arrow_udf(_SPANS)
     def find(texts: pa.Array) -> pa.Array:
-        out = [[{"start": a, "end": b, "kind": k, "score": p} for a, b, k, p in spans_of(text or "", model)] for text in texts.to_pylist()]
+        out = [[{"start": a, "end": b, "kind": k, "score": p} for a, b, k, p in spans_of(text, model)] for text in each_text(texts)]
         return pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("score", pa.float64())])))
 
     return find
@@ -254,14 +254,15 @@ def redactor(model: tuple[Automaton, Automaton, float] | None):
     @F.arrow_udf(T.StringType())
     def redacted(texts: pa.Array) -> pa.Array:
         out = []
-        for text in texts.to_pylist():
-            found = spans_of(text or "", model)
+        for text in each_text(texts):
+            found = spans_of(text, model)
             parts, at = [], 0
             for a, b, _, _ in found:
                 if b > at:
                     parts += [text[at : max(a, at)], "[REDACTED]" if a >= at else ""]
                     at = b
             out.append("".join([*parts, text[at:]]) if found else None)
+        give_back()
         return pa.array(out, pa.string())
 
     return redacted

@@ -81,8 +81,7 @@ def test_slices_do_not_matter(spark, monkeypatch):
     whole = periodic._worked([i for i, _ in rows], pa.array([t for _, t in rows]), None, 6, 4)
     monkeypatch.setattr(periodic, "_COPY", 7)
     assert [c.to_pylist() for c in periodic._worked([i for i, _ in rows], pa.array([t for _, t in rows]), None, 6, 4)] == [c.to_pylist() for c in whole]
-    monkeypatch.setattr(periodic, "_SLICE", 1000)
-    assert [b - a for a, b in periodic._slices(pa.array(["x" * 600, None, "y" * 600, "z" * 5000, ""]))] == [2, 1, 1, 1]
+    assert [b - a for a, b in periodic.row_slices(pa.array(["x" * 600, None, "y" * 600, "z" * 5000, ""]), 1000)] == [2, 1, 1, 1]
 
 
 def test_fewer_than_four_periods_are_refused():
