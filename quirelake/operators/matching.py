@@ -190,16 +190,11 @@ def _with_words(texts: DataFrame, words: list[tuple[str, list[int]]], name: str)
             automaton.add_word(word, numbers)
         automaton.make_automaton()
         for batch in batches:
-            at, found = [], []
-            for i, text in enumerate(batch.column(place).to_pylist()):
-                mine = {n for _, numbers in automaton.iter(text.lower()) for n in numbers}
-                at += [i] * len(mine)
-                found += sorted(mine)
-            if at:
-                kept = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(found, pa.int64())], names=[*kept.schema.names, name])
-
-    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField(name, T.LongType())]))
+            found = [sorted({n for _, numbers in automaton.iter(text.as_py().lower()) for n in numbers}) for text in batch.column(place)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, name])
+
+    met = texts.mapInArrow(run, T.StructType([*texts.schema.fields, T.StructField(name, T.ArrayType(T.LongType()))]))
+    return met.withColumn(name, F.explode(name))
 
 
 def stale_plans(plans: DataFrame, par: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -90,35 +90,38 @@ def archive_members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(run, MEMBERS)
 
 
-def _walked(rows: DataFrame, key: str, json: str, step) -> Iterator[DataFrame]:
-    """The values of nested JSON level by level: key, v (variant), path, name (of a field; null in an array). step
-    gives the columns rank (the place of a value among its siblings) and deeper (whether it is entered)."""
-    spark = rows.sparkSession
-    level = rows.select(F.col(key).alias("_key"), F.try_parse_json(json).alias("v"), F.lit("").alias("path"))
-    while True:
-        inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("_key", F.col("value").alias("v"), "path", "pos", F.col("key").alias("name"))
-        inside = step(inside).withColumn("path", F.concat("path", F.lit("/"), F.lpad(F.col("rank").cast("string"), 9, "0"))).drop("rank", "pos")
-        found = settle(inside)
-        if found.isEmpty():
-            return
-        yield found
-        level = found.where("deeper").select("_key", "v", "path")
+#: Levels of nested JSON that are walked in one plan.
+LEVELS = 4
 
 
-def _first(found: list[DataFrame], key: str) -> DataFrame:
-    """(key, url, path): each URL of a key once, with its first path."""
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy(F.col("_key").alias(key), "url").agg(F.min("path").alias("path"))
+def _urls_in(rows: DataFrame, key: str, json: str, step, hit: Column) -> DataFrame:
+    """(key, url, path): each URL of nested JSON once for its key, with the first path where `hit` holds for a string.
+
+    Values are opened level by level: key, v (variant), path, name (of a field; null in an array). step gives the columns rank
+    (the place of a value among its siblings) and deeper (whether it is entered). LEVELS levels go in one plan, which
+    writes the hits; only what lies deeper than these is written to be walked on.
+    """
+    spark, text = rows.sparkSession, F.try_variant_get("v", "$", "string")
+    level, found = rows.select(F.col(key).alias("_key"), F.try_parse_json(json).alias("v"), F.lit("").alias("path")), []
+    while True:
+        hits = []
+        for _ in range(LEVELS):
+            inside = level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("_key", F.col("value").alias("v"), "path", "pos", F.col("key").alias("name"))
+            inside = step(inside).withColumn("path", F.concat("path", F.lit("/"), F.lpad(F.col("rank").cast("string"), 9, "0"))).drop("rank", "pos")
+            hits.append(inside.where(hit).select("_key", text.alias("url"), "path"))
+            level = inside.where("deeper").select("_key", "v", "path")
+        found.append(settle(reduce(DataFrame.unionByName, hits)))
+        level = settle(level.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")))
+        if level.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, found).groupBy(F.col("_key").alias(key), "url").agg(F.min("path").alias("path"))
 
 
 def harvested_urls(rows: DataFrame, key: str, json: str) -> DataFrame:
     """All `signed_url` and `url` strings of nested JSON that start with http(s), distinct, with the first path they
     stand at: key, url, path. Objects and arrays of any shape are walked level by level."""
-    text = F.try_variant_get("v", "$", "string")
-    none = rows.select(F.col(key).alias("_key"), F.lit("").alias("url"), F.lit("").alias("path")).limit(0)
     step = lambda d: d.withColumns({"rank": F.col("pos"), "deeper": F.lit(True)})
-    hit = F.col("name").isin("signed_url", "url") & text.rlike("^https?://")
-    return _first([none, *[x.where(hit).select("_key", text.alias("url"), "path") for x in _walked(rows, key, json, step)]], key)
+    return _urls_in(rows, key, json, step, F.col("name").isin("signed_url", "url") & F.try_variant_get("v", "$", "string").rlike("^https?://"))
 
 
 # The fields of a provider's answer that may hold a download link, and those that may hold such fields.
@@ -131,11 +134,10 @@ def media_urls(rows: DataFrame, key: str, json: str, hosts: list[str]) -> DataFr
     the named outer fields and arrays are entered, and a string in an array is a link itself."""
     text = F.try_variant_get("v", "$", "string")
     order = F.array_position(F.array(*[F.lit(x) for x in (*LINK_FIELDS, *OUTER_FIELDS)]), F.col("name"))
-    none = rows.select(F.col(key).alias("_key"), F.lit("").alias("url"), F.lit("").alias("path")).limit(0)
 
     def step(d: DataFrame) -> DataFrame:
         rank = F.when(F.col("name").isNull(), F.col("pos")).otherwise(order)
         return d.withColumns({"rank": rank, "deeper": F.col("name").isNull() | F.col("name").isin(*OUTER_FIELDS)})
 
     hit = (F.col("name").isNull() | F.col("name").isin(*LINK_FIELDS)) & (F.schema_of_variant("v") == "STRING") & urls.trusted(text, hosts, subdomains=True)
-    return _first([none, *[x.where(hit).select("_key", text.alias("url"), "path") for x in _walked(rows, key, json, step)]], key)
+    return _urls_in(rows, key, json, step, hit)
