@@ -221,6 +221,8 @@ def keep_identified(docs: DataFrame, least: float = 0.0, fill: bool = False) ->
     model = _learned(docs)
     if not model.langs:
         return docs.where(has_letter("text"))
-    told, name = _told(docs, model)
+    # a deterministic function would be called twice, for the condition and for its answer, in two workers a task
+    name = unused_name(docs, "_lang")
+    told = docs.withColumn(name, predictor(model).asNondeterministic()(F.col("text")))
     kept = told.where((F.col(f"{name}.lang") != "und") & (F.col(f"{name}.score") >= least))
     return (kept.withColumn("lang", F.coalesce("lang", F.col(f"{name}.lang"))) if fill else kept).drop(name)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirelake.llm.common import Stored, bit_filter, hashed_words, lists_of_longs, mix64, own_columns, passing, settle, shingle_sets, text_column
+from quirelake.llm.common import Stored, bit_filter, give_back, hashed_words, lists_of_longs, mix64, own_columns, passing, row_slices, settle, shingle_sets, text_column
 from quirelake.llm.components import components
 
 #: Nodes that share a key, above which the key counts as frequent.
@@ -41,6 +41,8 @@ SPARE = 0.08
 PASSES = 4
 #: Rounds after the first; before the last, in which all pairs across components are looked at, one centre a key is.
 ROUNDS = 3
+#: Bytes of text that a worker makes into sets at once; a longer text stands alone.
+SLICE = 1 << 20
 
 
 class Bands:
@@ -75,6 +77,13 @@ def sketch(hashes: np.ndarray, c: int, words: int) -> np.ndarray:
     return mix64(parity + mix64(np.arange(words, dtype=np.uint64) + (np.uint64(c + 1) << np.uint64(40))))
 
 
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about SLICE bytes of text: what is made of a part takes many times its size."""
+    for batch in batches:
+        for low, high in row_slices(batch.column("text"), SLICE):
+            yield batch.slice(low, high - low)
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     words, at = hashed_words(batch.column("text"), lower=True)
     return shingle_sets(words, at, k)
@@ -95,7 +104,7 @@ def sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(num, den, 1 << 34)
-        for batch in batches:
+        for batch in _sliced(batches):
             rows = []
             for i, hashes in enumerate(_sets(batch, k)):
                 whole = mix64(hashes)
@@ -114,6 +123,8 @@ def sketched(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 ],
                 names=["doc_id", "n", "k1", "k2", "first", "band", "spare", "bits", *shares],
             )
+            del batch, rows, i, n, k1, k2, first, band, spare, keys, bits, longs
+        give_back()
 
     shares = [f"keys_{p}" for p in range(PASSES)]
     schema = "doc_id long, n long, k1 long, k2 long, first boolean, band int, spare int, bits array<long>" + "".join(f", {x} array<long>" for x in shares)
@@ -124,9 +135,11 @@ def _shingles(docs: DataFrame, k: int) -> DataFrame:
     """(doc_id, n, hashes) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             sets = list(_sets(batch, k))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists_of_longs(sets)], names=["doc_id", "n", "hashes"])
+            del batch, sets
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, hashes array<long>")
 

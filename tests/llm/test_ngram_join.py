@@ -120,3 +120,29 @@ def test_column_names_with_dots(spark):
     docs = table(spark, [(1, "one two three four five six"), (1, "one two three four five six"), (2, "other words that are here now")]).withColumn("a.b", F.lit(1))
     out = nj.drop_similar(docs)
     assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 2]
+
+
+def test_sketches_of_a_large_batch_are_made_in_parts():
+    """What a worker holds beside its batch does not grow with the batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(5000)]
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    for run in (nj.sketched(Docs(), 5, 80, 100), nj._shingles(Docs(), 5)):
+        tracemalloc.start()
+        rows = sum(len(out.column("doc_id").unique()) for out in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == len(texts) and peak < 40e6, peak

@@ -73,3 +73,14 @@ def test_the_language_model_fills_what_is_missing(spark):
     again = {r.doc_id: r.lang for r in cp.identify_language(spark, swapped, "").collect()}
     told = [(again[r.doc_id], other[r.lang]) for r in left if r.doc_id % 3 == 0 and r.lang in other and len(r.text) > 40]
     assert told and sum(a == b for a, b in told) >= 0.9 * len(told)
+
+
+def test_the_language_of_a_text_is_told_once(spark):
+    """One call of the model a row: the plan that drops and fills holds it once."""
+    import contextlib
+    import io
+
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        cp.identify_language(spark, given(spark), "").explain()
+    assert plan.getvalue().count("ArrowEvalPython") == 1
