@@ -134,3 +134,27 @@ def test_many_empty_texts_in_one_shard():
     began = time.time()
     assert packing.order_of([np.zeros(1, np.uint16)] * 200_000) == list(range(200_000))
     assert time.time() - began < 20
+
+
+def test_texts_without_double_blanks_take_the_quick_pattern():
+    """all_ids gives the full tokenizer's ids, and where no blanks stand side by side in less time than with the pattern that looks ahead."""
+    import time
+
+    import pyarrow as pa
+
+    coder, full = packing.Encoder("byte_bpe_50k"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", None, " ", "  ", "a b ", " a b", "a  b", "a \n b", "a\u00a0\u3000b", "a\u2003b it's 'llama'", "x\ny z", "\x1c \x1d a", "a\u200b b", "\u1680\u2028 a", "ab <|endoftext|>  c", "'re ' s 12 a1!? ..é"]
+    want = [full.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in coder.all_ids(pa.array(texts))] == want
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(1, 9, 3000)]
+    long = pa.array([" ".join(rng.choice(words, 2000)) for _ in range(60)])
+
+    def seconds(f):
+        began = time.process_time()
+        assert f()
+        return time.process_time() - began
+
+    plain = min(seconds(lambda: list(coder.all_ids(long))) for _ in range(5))
+    ahead = min(seconds(lambda: [coder.ids(t) for t in long.to_pylist()]) for _ in range(5))
+    assert plain < 0.9 * ahead
