@@ -88,6 +88,12 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
+def forget_encoders() -> None:
+    """Free this worker's encoders; they are made anew when asked for."""
+    _encoders.clear()
+    give_back()
+
+
 def _terms(ids: np.ndarray) -> np.ndarray:
     """The token bigrams."""
     return ids[:-1].astype(np.uint32) << np.uint32(16) | ids[1:]
@@ -123,25 +129,35 @@ class Index:
             part |= np.uint64(k)
             low += int(size[k])
         flat.sort()
+        # arrays of the shard's size are few at a time, places in them as short as they may be
+        place = np.int32 if len(flat) < 1 << 31 else np.int64
         term = (flat >> np.uint64(32)).astype(np.uint32)
         again = term[1:] == term[:-1]
-        shared = np.r_[False, again] | np.r_[again, False] if len(term) else np.zeros(0, bool)
+        del term
+        shared = np.r_[False, again] | np.r_[again, False] if len(flat) else np.zeros(0, bool)
         flat = flat[shared]  # a term that occurs once finds none
-        del term, again, shared
-        at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-        tf = np.diff(np.append(at, len(flat))).astype(np.int32)
+        del again, shared
+        at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]).astype(place) if len(flat) else np.zeros(0, place)
+        tf = np.diff(np.append(at, place(len(flat)))).astype(np.int32, copy=False)
         flat = flat[at]
         del at
         term, doc = (flat >> np.uint64(32)).astype(np.uint32), flat.astype(np.uint32).view(np.int32)
         del flat
         head = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
         df = np.diff(np.append(head, len(term)))
+        del term, head
         shared = np.repeat(df > 1, df)  # nor does one of a single document
         self.doc, tf, df = doc[shared], tf[shared], df[df > 1]
-        del term, doc, head, shared
+        del doc, shared
         norm = K1 * (1 - B + B * size / max(size.mean(), 1.0)) if len(size) else size
         idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-        self.score = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.doc])
+        self.score = np.repeat(idf, df)
+        self.score *= tf
+        self.score *= K1 + 1
+        below = norm.take(self.doc)
+        below += tf
+        self.score /= below
+        del below, tf
         self.term = np.repeat(np.arange(len(df), dtype=np.int32), df)
         self.end = np.cumsum(df)
         self.begin = self.end - df
@@ -153,8 +169,9 @@ class Index:
     def _drop(self, unused: np.ndarray) -> None:
         """Leave used documents out of the postings."""
         stay = unused.take(self.doc)
-        at = np.append(0, np.cumsum(stay))
-        self.begin, self.end, self.passed = at[self.begin], at[self.end], 0
+        at = np.zeros(len(stay) + 1, np.int32 if len(stay) < 1 << 31 else np.int64)
+        np.cumsum(stay, out=at[1:])
+        self.begin, self.end, self.passed = at[self.begin].astype(np.int64), at[self.end].astype(np.int64), 0
         at = np.flatnonzero(stay)
         self.doc, self.score, self.term = self.doc.take(at), self.score.take(at), self.term.take(at)
 
@@ -255,7 +272,9 @@ def dealt_out(ready: DataFrame, shard: int) -> tuple[DataFrame, int]:
         else:
             places.append((r["slot"], shards - 1, 1))
             filled += r["w"]
-    table = ready.sparkSession.createDataFrame(places, "slot int, first int, salts int")
+    # an Arrow table is read by the engine; a list of rows would start two Python workers and their parent on each executor
+    columns = [pa.array(c, pa.int32()) for c in (zip(*places, strict=True) if places else ((), (), ()))]
+    table = ready.sparkSession.createDataFrame(pa.table(columns, names=["slot", "first", "salts"]))
     # the rows are those of a checkpoint, so that their numbers stay the same
     met = ready.withColumns({"slot": slot, "row": F.monotonically_increasing_id()}).join(F.broadcast(table), "slot")
     return met.withColumn("shard", (F.col("first") + F.pmod("row", F.col("salts"))).cast("int")).drop("slot", "row", "first", "salts"), shards
@@ -274,6 +293,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", window: int = WINDOW,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine: dict[int, list] = {}
+        forget_encoders()  # of no more use once all is tokenised
         for batch in batches:
             ids = [np.frombuffer(x, np.uint16) for x in batch.column("ids").to_pylist()]
             for number, *row in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), ids, batch.column("signature").to_pylist(), strict=True):

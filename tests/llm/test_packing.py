@@ -158,3 +158,49 @@ def test_texts_without_double_blanks_take_the_quick_pattern():
     plain = min(seconds(lambda: list(coder.all_ids(long))) for _ in range(5))
     ahead = min(seconds(lambda: [coder.ids(t) for t in long.to_pylist()]) for _ in range(5))
     assert plain < 0.9 * ahead
+
+
+def test_an_index_holds_few_arrays_of_its_shards_size():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    words = rng.integers(0, 300, 1_000_000).astype(np.uint16)
+    ids = [np.ascontiguousarray(x) for x in np.array_split(words, 1000)]
+    tracemalloc.start()
+    packing.Index(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48.5 * len(words), peak / len(words)
+
+
+def test_shards_are_dealt_without_python_workers(spark):
+    import contextlib
+    import io
+
+    plan = io.StringIO()
+    dealt, shards = packing.dealt_out(spark.range(100).selectExpr("id AS doc_id", "10L AS n_ids", "id * 1000000007 AS signature"), 1000)
+    with contextlib.redirect_stdout(plan):
+        dealt.explain()
+    assert shards > 1 and "LocalTableScan" in plan.getvalue() and "ExistingRDD" not in plan.getvalue()
+    empty, shards = packing.dealt_out(spark.range(0).selectExpr("id AS doc_id", "10L AS n_ids", "id AS signature"), 1000)
+    assert shards == 0 and empty.count() == 0
+
+
+def test_encoders_are_freed_once_all_is_tokenised(monkeypatch):
+    import pyarrow as pa
+
+    class Dealt:
+        def repartitionById(self, *_):  # noqa: N802
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    monkeypatch.setattr(packing, "tokenised", lambda *_: None)
+    monkeypatch.setattr(packing, "settle", lambda df: df)
+    monkeypatch.setattr(packing, "dealt_out", lambda *_: (Dealt(), 1))
+    run = packing.pack(None)
+    (ids,) = packing.encoder("byte_bpe_50k").all_ids(pa.array(["some text"]))
+    names = ["doc_id", "ids", "n_ids", "signature", "shard"]
+    batch = pa.RecordBatch.from_arrays([pa.array([7]), pa.array([ids + b"\0\0"], pa.binary()), pa.array([3]), pa.array([1]), pa.array([0])], names=names)
+    assert [r for out in run(iter([batch])) for r in out.column("doc_id").to_pylist()] and not packing._encoders
