@@ -90,12 +90,11 @@ def promoted_style(style: Column, text: Column, in_text_box: Column) -> Column:
     references, a table of contents or an image label. Contents styles and text boxes keep theirs."""
     clean = heading_text(text)
     named = F.lower(clean).isin("references", "table of contents") | clean.rlike(r"(?i)\bimage\s+\d+\s*$")
-    level = heading_level_by_number(text)
+    numbered = F.concat(F.lit("Heading"), heading_level_by_number(text).cast("string"))
     return (
         F.when(in_text_box | style.startswith("TOC"), style)
         .when((style == "Heading2") & (clean != "") & ~named, "Heading1")
-        .when(level.isNotNull(), F.concat(F.lit("Heading"), level.cast("string")))
-        .otherwise(style)
+        .otherwise(F.coalesce(numbered, style))
     )
 
 
