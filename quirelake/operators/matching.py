@@ -283,15 +283,27 @@ def served_from_store(requests: DataFrame, hours: int = 24, width: int = 3600) -
     return met.select(*[F.col(f"`{c}`") for c in requests.columns], serves.alias("saved_at"))
 
 
-def latest_within(left: DataFrame, right: DataFrame, key: str, hours: int) -> DataFrame:
-    """left (key, ts) with found: the latest ts of right (key, ts) at or before it within `hours`. Both sides are dealt
-    by key and time slice of that width, so that a hot key's rows spread; a slice meets itself and the one before. Equal
-    rows of left stay apart."""
-    slice_ = F.floor(F.unix_timestamp("ts") / (hours * 3600))
-    own = settle(left.withColumns({"_slice": slice_, "_row": F.monotonically_increasing_id()}))
-    near = right.select(key, F.col("ts").alias("_ts"), F.explode(F.array(slice_, slice_ + 1)).alias("_slice")).distinct()
-    met = own.join(near, [key, "_slice"], "left").withColumn("_ok", (F.col("_ts") <= F.col("ts")) & (F.col("_ts") >= F.col("ts") - F.make_dt_interval(hours=F.lit(hours))))
-    return met.groupBy("_row", *left.columns).agg(F.max(F.when(F.col("_ok"), F.col("_ts"))).alias("found")).drop("_row")
+def latest_within(left: DataFrame, right: DataFrame, key: str, hours: int, width: int = 3600) -> DataFrame:
+    """left (key, ts) with found: the latest ts of right (key, ts) at or before it within `hours`; equal rows of left
+    stay apart.
+
+    Both sides are dealt by key and slices of `width` seconds, so that a hot key's rows spread. The latest of right is
+    one met before in the order of a slice, or else the last of the nearest slice before that holds any.
+    """
+    slice_ = _slice(F.unix_micros(F.col("ts").cast("timestamp")), width * 1_000_000)
+    none = F.lit(None).cast(right.schema["ts"].dataType)
+    asked = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("_row"), F.col(f"`{key}`").alias("_k"), F.col("ts").alias("_t"), slice_.alias("_slice"), none.alias("_mark"))
+    marks = settle(right.where(F.col(f"`{key}`").isNotNull() & F.col("ts").isNotNull()).select(F.col(f"`{key}`").alias("_k"), F.col("ts").alias("_t"), slice_.alias("_slice")).distinct())
+    both = asked.unionByName(marks.withColumn("_mark", F.col("_t")), allowMissingColumns=True)
+    # a range takes in all of the same time, marks as well
+    near = F.max("_mark").over(W.partitionBy("_k", "_slice").orderBy("_t").rangeBetween(W.unboundedPreceding, W.currentRow))
+    met = both.withColumn("_near", near).where("_row is not null")
+    slices = marks.groupBy("_k", "_slice").agg(F.max("_t").alias("_last"))
+    places = slices.unionByName(asked.select("_k", "_slice", none.alias("_last")).distinct()).groupBy("_k", "_slice").agg(F.max("_last").alias("_last"))
+    far = places.select("_k", "_slice", F.max("_last").over(W.partitionBy("_k").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)).alias("_far"))
+    latest = met.join(far, ["_k", "_slice"], "left").withColumn("_found", F.coalesce("_near", "_far"))
+    fits = F.col("_found") >= F.col("_t") - F.make_dt_interval(hours=F.lit(hours))
+    return latest.select("_row.*", F.when(fits, F.col("_found")).alias("found"))
 
 
 @F.arrow_udf(T.DoubleType())

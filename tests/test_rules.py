@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import threading
 
 from pyspark.sql import functions as F
 
@@ -143,6 +144,31 @@ def test_equal_requests_stay_apart(spark):
     assert matching.latest_within(left, right, "key", 24).count() == 3
 
 
+def test_latest_within_against_a_loop(spark):
+    rng = random.Random(5)
+    at = dt.datetime(2024, 1, 2)
+    moment = lambda: rng.choice([None, *[at + dt.timedelta(minutes=20 * rng.randint(0, 400))] * 9])
+    left = [(rng.choice(["a", "b", "c", None]), moment(), i) for i in range(400)]
+    right = [(rng.choice(["a", "b", None]), moment()) for _ in range(40)]
+    want = {i: max((r for j, r in right if j == k and None not in (k, r, t) and t - dt.timedelta(hours=24) <= r <= t), default=None) for k, t, i in left}
+    for kind in ("timestamp", "timestamp_ntz"):
+        got = matching.latest_within(spark.createDataFrame(left, f"key string, ts {kind}, id int"), spark.createDataFrame(right, f"key string, ts {kind}"), "key", 24).collect()
+        assert len(got) == 400 and {r.id: r.found for r in got} == want and {(r.key, r.ts, r.id) for r in got} == set(left)
+    assert sum(x is None for x in want.values()) > 50 and sum(x is not None for x in want.values()) > 50
+
+
+def test_a_hundred_thousand_requests_of_one_key_in_an_hour(spark):
+    """Each is looked up among all before it, which must not pair them: a minute would not do for ten thousand million pairs."""
+    times = spark.range(100_000).selectExpr("'k' as key", "timestamp_millis(1704153600000 + id * 30) as ts", "id")
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        got = matching.latest_within(times, times.selectExpr("key", "ts + interval 7 milliseconds as ts"), "key", 24).selectExpr("count(*)", "count(found)", "count_if(ts - found = interval 23 milliseconds)").first()
+    finally:
+        timer.cancel()
+    assert tuple(got) == (100_000, 99_999, 99_999)
+
+
 def test_heading_levels(spark):
     styles = spark.createDataFrame([("a", "My Heading 2", None, None), ("b", "Lead", None, "a"), ("c", "TOC 1", None, "a"), ("d", "x", 3, None), ("e", "y", None, "f"), ("f", "z", None, "e")], "style_id string, name string, outline int, base string")
     told = {r.style_id: (r.contents, r.style_level) for r in filters.style_levels(styles, []).collect()}
