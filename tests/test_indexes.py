@@ -3,6 +3,7 @@
 import difflib
 import random
 import re
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -81,6 +82,42 @@ def test_replacements_against_all_pairs(spark, least):
     assert sum(least <= s < 1 for _, s in want.values()) > 5
 
 
+@pytest.mark.parametrize(("least", "signed", "piece"), [(0.88, 16, 1000), (0.88, 6, 2), (0.75, 16, 3), (0.5, 5, 1000)])
+def test_similar_slugs_against_all_pairs(spark, monkeypatch, least, signed, piece):
+    """Words that are joined, cut, swapped, doubled, left out or of one letter, in short and long slugs; pairs must share a word, as ever."""
+    monkeypatch.setattr(matching, "SIGNED", signed)
+    monkeypatch.setattr(matching, "PIECE", piece)
+    rng = random.Random(23)
+    words = "a of in the real estate property business office people plant green red blue vector photograph flat set icon team".split()
+    known = {"-".join(rng.choice(words) for _ in range(rng.choice([1, 2, 3, 4, 6, 8, 8, 12, 20]))) for _ in range(150)}
+
+    def changed(slug):
+        parts = slug.split("-")
+        at = rng.randrange(len(parts))
+        other = rng.randrange(len(parts))
+        parts[at] = rng.choice([parts[at] + "s", parts[at][1:], parts[at] + parts[other], parts[at] + "-" + parts[at], parts[other], "a-" + parts[at], parts[at] + "zzz"])
+        return re.sub("-+", "-", "-".join(parts)).strip("-") if rng.random() < 0.5 else re.sub("-+", "-", "-".join(parts)).replace("-", "", 1).strip("-")
+
+    asked = {changed(s) for s in known} | {changed(changed(s)) for s in known} | {changed(changed(changed(s))) for s in known}
+    asked.discard("")
+    want = {(a, b): round(score(a, b), 9) for a in asked for b in known if a != b and set(a.split("-")) & set(b.split("-")) and score(a, b) >= least}
+    rows = matching.similar_slugs(spark.createDataFrame([(s,) for s in sorted(asked)], "slug string"), spark.createDataFrame([(s,) for s in sorted(known)], "other_slug string"), least).collect()
+    assert {(r.slug, r.other_slug): round(r.score, 9) for r in rows} == want and len(rows) == len(want) > 100
+
+
+def test_slugs_of_few_common_words_are_not_all_paired(spark):
+    """Each word is in one slug of eight: pairs that share one word are far too many for a minute, those that share three are not."""
+    word = lambda k: f"concat('common', substr(sha2(concat(id, '/{k}'), 256), 1, 1), substr('0123', 1 + ascii(substr(sha2(concat(id, '/{k}'), 256), 2, 1)) % 4, 1))"
+    slugs = spark.range(30_000).selectExpr("id", f"concat_ws('-', {', '.join(map(word, range(8)))}) as slug")
+    timer = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    try:
+        got = matching.similar_slugs(slugs.where("id % 2 = 0").selectExpr("regexp_replace(slug, '.$', 'x') as slug"), slugs.selectExpr("slug as other_slug"), 0.88).select("slug", "other_slug").collect()
+    finally:
+        timer.cancel()
+    assert sum(a[:-1] == b[:-1] for a, b in got) >= 15_000
+
+
 def test_the_best_of_three_slugs_counts(spark):
     items = [
         (1, "https://s.example/free-vector/real-estate-business-assessment_99.htm", None, "Real estate, business & assessment"),
